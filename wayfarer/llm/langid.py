@@ -7,7 +7,7 @@ K(landmarks, landmarks)^(-1/2) as the map.  On it, one ridge regression per
 language against the rest, in closed form.  A batch of texts is scored with
 matrix products: presence x landmarks, then x coefficients.
 
-n-grams are compared through a hash of 22 bits; only those that occur in some
+n-grams are compared through a hash of 20 bits; only those that occur in some
 landmark can count in a product, so they alone have a column.
 
 Defined results: null texts and texts without any letter give ``und`` with
@@ -29,29 +29,33 @@ from . import common as C
 #: Training texts per language, about; landmarks in all; bytes of a training text that is drawn at all.
 TRAIN_EACH, LANDMARKS = 250, 120
 LENGTHS = (1, 2, 3, 4)
-BITS = 22
+BITS = 20
 #: Columns that the landmarks' n-grams may take; the rarest among the landmarks go beyond it.
 COLUMNS = 24_000
 
 
 def grams(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For every length: hashes of all n-grams, and the row of each."""
+    """For every length: hashes of all n-grams, row after row, and how many each row has."""
     low = raw.copy()
     upper = (raw >= 65) & (raw <= 90)
     low[upper] += 32
     low[C.IS_SPACE[raw]] = 32
     wide = low.astype(np.uint32)
-    row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
+    ends = np.zeros(len(raw) + 1, bool)
+    ends[off[1:]] = True
+    whole = np.ones(len(raw), bool)
     code = np.zeros(len(raw), np.uint32)
     for n in range(1, max(LENGTHS) + 1):
         m = len(raw) - n + 1
         if m <= 0:
-            return
+            yield np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
+            continue
         code = code[:m] * np.uint32(0x01000193) + wide[n - 1 :]
+        if n > 1:  # not across the end of a row
+            whole = whole[:m] & ~ends[n - 1 : n - 1 + m]
         if n in LENGTHS:
             h = (code ^ np.uint32(n * 0x5BD1E995 % 2**32)) * np.uint32(0x9E3779B1)
-            inside = row[:m] == row[n - 1 :]
-            yield (h >> np.uint32(32 - BITS))[inside], row[:m][inside]
+            yield (h >> np.uint32(32 - BITS))[whole], np.maximum(np.diff(off) - n + 1, 0)
 
 
 class LanguageModel:
@@ -65,19 +69,18 @@ class LanguageModel:
         """0/1 per row and column, and the number of distinct n-grams per row and length."""
         n = len(off) - 1
         x = np.zeros((n, len(self.weight)), np.float32)
-        flat = x.reshape(-1)
         sizes = np.zeros((n, len(LENGTHS)))
-        for k, (h, row) in enumerate(grams(raw, off)):
-            at = self.column[h]
-            known = at >= 0
-            flat[row[known].astype(np.int64) * len(self.weight) + at[known]] = 1
-            # the norm: distinct hashes, in a bitmap per row
-            for i in range(n):
-                a, b = np.searchsorted(row, i), np.searchsorted(row, i, "right")
-                if b > a:
-                    self.mark[h[a:b]] = True
-                    sizes[i, k] = np.count_nonzero(self.mark) if b - a > 200_000 else len(np.unique(h[a:b]))
-                    self.mark[h[a:b]] = False
+        for k, (h, size) in enumerate(grams(raw, off)):
+            end = np.cumsum(size)
+            for i in np.flatnonzero(size):
+                s = np.sort(h[end[i] - size[i] : end[i]])
+                fresh = np.empty(len(s), bool)
+                fresh[0] = True
+                np.not_equal(s[1:], s[:-1], out=fresh[1:])
+                s = s[fresh]
+                sizes[i, k] = len(s)
+                at = self.column[s]
+                x[i, at[at >= 0]] = 1
         return x, sizes
 
     def _kernel(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -107,9 +110,8 @@ class LanguageModel:
         # landmarks: the same number of each language, spread over its rows
         per = max(1, self.most // len(self.languages))
         pick = np.concatenate([np.flatnonzero(y == c)[np.linspace(0, (y == c).sum() - 1, min(per, (y == c).sum())).astype(int)] for c in range(len(self.languages))])
-        self.mark = np.zeros(1 << BITS, bool)
         found: list[list[np.ndarray]] = [[np.unique(h) for h, _ in grams(raw[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))] for i in pick]
-        self.column = np.full(1 << BITS, -1, np.int32)
+        self.column = np.full(1 << BITS, -1, np.int16)
         self.edge, used, seen = [0], [], np.zeros(1 << BITS, bool)
         for k in range(len(LENGTHS)):
             every = np.concatenate([f[k] for f in found if k < len(f)] or [np.zeros(0, np.uint32)])
@@ -121,7 +123,7 @@ class LanguageModel:
             used.append(value)
             self.edge.append(self.edge[-1] + len(value))
         value = np.concatenate(used)
-        self.column[value] = np.arange(len(value), dtype=np.int32)
+        self.column[value] = np.arange(len(value), dtype=np.int16)
         self.weight = np.ones(len(value), np.float32)
         self.landmark = np.zeros((len(value), len(pick)), np.float32)
         for j, f in enumerate(found):

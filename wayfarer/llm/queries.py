@@ -23,16 +23,30 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media
+
+    return media(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scoring import lm_score
+
+    return lm_score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op5_toxicity": op5_toxicity,
+    "op8_media": op8_media,
     "op9_quality": op9_quality,
+    "op10_lm_score": op10_lm_score,
 }
 
 #: DuckDB SQL of those that SQL expresses whole; the others are tested against brute force or held-out labels.
