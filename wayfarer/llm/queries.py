@@ -17,6 +17,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar
+
+    return similar(_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -29,6 +35,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixture
 
@@ -55,8 +67,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_packing": op3_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_vector_near_dedup": op6_vector_near_dedup,
     "op7_mixture": op7_mixture,
     "op8_media": op8_media,
     "op9_quality": op9_quality,
