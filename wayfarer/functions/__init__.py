@@ -1 +1,3 @@
-"""Package."""
+"""Column functions."""
+
+from .scalar import *  # noqa: F403

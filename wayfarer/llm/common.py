@@ -243,3 +243,13 @@ def flatten_list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.asarray(column.offsets).astype(np.int64)
     values = column.values.to_numpy(zero_copy_only=False)
     return (values[at[0] : at[-1]], at - at[0]) if len(at) else (values, np.zeros(1, np.int64))
+
+
+def flatten_list_structs(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Fields of a column of lists of structs of numbers, without nulls, and the offset of each row's."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    at = np.asarray(column.offsets).astype(np.int64)
+    inner = column.values.slice(at[0], at[-1] - at[0]) if len(at) else column.values
+    fields = inner.flatten()
+    return {f.name: x.to_numpy(zero_copy_only=False) for f, x in zip(column.type.value_type, fields, strict=True)}, at - at[0]

@@ -116,16 +116,20 @@ def _levels(sketch: np.ndarray) -> tuple[np.ndarray, int]:
 # -- keys -----------------------------------------------------------------
 
 
-def _bitmap(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token bitmap of each set (bytes), and how many of its bits are set."""
-    n = len(at) - 1
-    bits = np.zeros((n, BITS), bool)
-    bits[np.repeat(np.arange(n), np.diff(at)), (C.mix(values ^ np.uint64(0x51ED270B)) % np.uint64(BITS)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1), bits.sum(1)
+def bitmap(values: np.ndarray, bits: int) -> bytes:
+    """Token bitmap of a set."""
+    out = np.zeros(bits, bool)
+    out[(C.mix(values ^ np.uint64(0x51ED270B)) % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def fine_bits(n: int) -> int:
+    """Bits of the bitmap that a pair is looked at with: four to eight for each element."""
+    return max(64, 1 << (4 * n - 1).bit_length())
 
 
 def _keyed(docs: DataFrame, width: int, percent: int, level: np.ndarray, usual: int, parts: int) -> DataFrame:
-    """Prefix keys of every class, packed by partition (part, keys), and its bitmap (cid, n, bitmap)."""
+    """Prefix keys of every class, packed by partition: (part, keys)."""
     spark = docs.sparkSession
     # one byte a cell: CELLS_MOST bytes at most
     shared = spark.sparkContext.broadcast(level)
@@ -136,7 +140,6 @@ def _keyed(docs: DataFrame, width: int, percent: int, level: np.ndarray, usual:
         lev, seen = shared.value, set()
         held: list[np.ndarray] = []
         size = 0
-        names = ["part", "keys", "cid", "n", "bitmap"]
 
         def packed() -> pa.RecordBatch:
             every = np.concatenate(held, axis=1)
@@ -148,7 +151,7 @@ def _keyed(docs: DataFrame, width: int, percent: int, level: np.ndarray, usual:
             every, part = every[:, order], part[order]
             edge = np.flatnonzero(np.diff(part, prepend=-1))
             data = [every[:, a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(part)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(part[edge].astype(np.int32)), pa.array(data, pa.binary()), pa.nulls(len(edge), pa.int64()), pa.nulls(len(edge), pa.int64()), pa.nulls(len(edge), pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(part[edge].astype(np.int32)), pa.array(data, pa.binary())], ["part", "keys"])
 
         for batch in batches:
             for _, _, values, at in _sets(batch, width):
@@ -165,16 +168,13 @@ def _keyed(docs: DataFrame, width: int, percent: int, level: np.ndarray, usual:
                     key = usually[: long[k]]
                     held.append(np.stack([key, np.full(len(key), cid[k]).view(np.uint64), np.full(len(key), n[k], np.uint64)]))
                     size += len(key)
-                if fresh:
-                    maps, _ = _bitmap(values, at)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(fresh), pa.int32()), pa.nulls(len(fresh), pa.binary()), pa.array(cid[fresh]), pa.array(n[fresh]), pa.array([maps[k].tobytes() for k in fresh], pa.binary())], names)
                 if size >= KEYS:
                     yield packed()
                     held, size = [], 0
         if size:
             yield packed()
 
-    return docs.select("text").mapInArrow(run, "part int, keys binary, cid long, n long, bitmap binary")
+    return docs.select("text").mapInArrow(run, "part int, keys binary")
 
 
 def _met(keyed: DataFrame, percent: int, level: np.ndarray, usual: int, parts: int) -> DataFrame:
@@ -212,8 +212,7 @@ def _met(keyed: DataFrame, percent: int, level: np.ndarray, usual: int, parts: i
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(key[at].view(np.int64)), pa.array(cid[at]), pa.array(n[at])], names)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(pairs.shape[1], np.int32)), pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], names)
 
-    packed = keyed.where("part is not null").select("part", "keys").repartition(parts, "part")
-    return packed.mapInArrow(run, "kind int, a long, b long, n long")
+    return keyed.repartition(parts, "part").mapInArrow(run, "kind int, a long, b long, n long")
 
 
 # -- signature trees ------------------------------------------------------
@@ -290,9 +289,8 @@ def tree_pairs(unit: np.ndarray, block: np.ndarray, cid: np.ndarray, component:
 
 
 def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes out of members (key, cid, n, component, bitmap) of keys where components meet."""
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("g"))
-    rows = members.join(size, "key").withColumn("blocks", F.when(F.col("g") > BLOCK, F.ceil(F.col("g") * 2 / BLOCK)).otherwise(1).cast("int"))
+    """Pairs (a, b) of classes out of members (key, g, cid, n, component, bitmap) of keys where components meet, ``g`` members each."""
+    rows = members.withColumn("blocks", F.when(F.col("g") > BLOCK, F.ceil(F.col("g") * 2 / BLOCK)).otherwise(1).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cid", "key"), F.col("blocks")).cast("int"))
     # a block meets every block of its key once, itself included
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -334,53 +332,75 @@ def _tree_candidates(members: DataFrame, percent: int) -> DataFrame:
 # -- exact comparison -----------------------------------------------------
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar, as edges (u, v)."""
-    wanted = C.cut(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
-    # a filter of fixed size: FILTER_BITS / 64 rows at most; the join after it is exact
-    bit = F.pmod(F.xxhash64("cid"), F.lit(FILTER_BITS))
-    words = wanted.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cid), {FILTER_BITS}) & 63 as int))")).alias("m")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    table[words.column("w").to_numpy()] = words.column("m").to_numpy()
-
-    own = docs.select("text").mapInArrow(_class_ids(width), "text string, cid long")
+def _of_classes(wanted: DataFrame, docs: DataFrame, width: int, column: str, kind: str, make) -> DataFrame:
+    """(cid, n, ``column``) of the classes ``wanted`` (cid, rep), computed from their representatives' texts, perhaps with some others."""
+    # a filter of fixed size, FILTER_BITS / 64 rows at most: it saves work, what it lets pass besides does no harm
+    bit = F.col("cid").bitwiseXOR(F.col("rep")).bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = wanted.select(bit.alias("bit"))
+    words = rows.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("m")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    @F.arrow_udf("boolean")
-    def hit(column: pa.Array) -> pa.Array:
-        h = column.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array((shared.value[h >> 6] >> (h & 63)) & 1 == 1)
-
-    some = own.where("cid is not null").where(hit(F.pmod(F.xxhash64("cid"), F.lit(FILTER_BITS)))).join(wanted, "cid", "left_semi")
-    one = some.groupBy("cid").agg(F.first("text").alias("text"))
-    sets = C.keep(one.mapInArrow(_set_rows(width), "cid long, s array<long>"), "sets")
-    left = sets.select(F.col("cid").alias("a"), F.col("s").alias("x"))
-    right = sets.select(F.col("cid").alias("b"), F.col("s").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    both = both.select("a", "b", common.alias("o"), (F.size("x") + F.size("y")).alias("t"))
-    return both.where(F.col("o") * 100 >= (F.col("t") - F.col("o")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
-def _class_ids(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            doc = batch.column("doc_id").to_numpy()
             for i, j, values, at in _sets(batch, width):
                 cid, _ = _set_keys(values, at)
-                yield pa.RecordBatch.from_arrays([batch.column("text")[i:j], pa.array(cid, mask=np.diff(at) == 0)], ["text", "cid"])
+                b = ((cid ^ doc[i:j]) & (FILTER_BITS - 1)).astype(np.uint64)
+                hit = (shared.value[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+                k = np.flatnonzero(hit & (np.diff(at) > 0))
+                n = np.diff(at)[k]
+                yield pa.RecordBatch.from_arrays([pa.array(cid[k]), pa.array(n), make([values[at[x] : at[x + 1]] for x in k])], ["cid", "n", column])
 
-    return run
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"cid long, n long, {column} {kind}")
 
 
-def _set_rows(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, values, at in _sets(batch, width):
-                yield pa.RecordBatch.from_arrays([batch.column("cid")[i:j], C.list_array(values.view(np.int64), at)], ["cid", "s"])
+def _bounded(percent: int):
+    """Whether two sets may be similar, from their bitmaps: what one has outside the other's bits is not shared."""
+
+    def run(n: pa.Array, x: pa.Array, m: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for p, a, q, b in zip(n.to_pylist(), x.to_pylist(), m.to_pylist(), y.to_pylist(), strict=True):
+            u, v = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+            w = min(len(u), len(v))  # the place in a wider map is the place in a narrower one, modulo its width
+            u, v = (_folded(z, w) for z in (u, v))
+            o = min(p - int(np.bitwise_count(u & ~v).sum()), q - int(np.bitwise_count(v & ~u).sum()))
+            out.append(o * 100 >= (p + q - o) * percent)
+        return pa.array(out, pa.bool_())
 
     return run
 
 
+def _folded(z: np.ndarray, width: int) -> np.ndarray:
+    return np.bitwise_or.reduce(z.reshape(-1, width), axis=0)
+
+
+def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are similar, as edges (u, v): by bitmaps first, then by the sets themselves."""
+
+    def wanted(some: DataFrame) -> DataFrame:
+        ids = some.select(F.col("a").alias("cid")).union(some.select("b")).distinct()
+        return ids.join(reps, "cid")
+
+    maps = C.keep(_of_classes(wanted(pairs), docs, width, "m", "binary", lambda sets: pa.array([bitmap(s, fine_bits(len(s))) for s in sets], pa.binary())), "bitmaps")
+    maps = maps.dropDuplicates(["cid"])
+    left = maps.select(F.col("cid").alias("a"), F.col("n").alias("p"), F.col("m").alias("x"))
+    right = maps.select(F.col("cid").alias("b"), F.col("n").alias("q"), F.col("m").alias("y"))
+    may = F.arrow_udf(_bounded(percent), "boolean")
+    close = C.cut(pairs.join(left, "a").join(right, "b").where(may("p", "x", "q", "y")).select("a", "b"))
+
+    def lists(sets: list[np.ndarray]) -> pa.Array:
+        return C.list_array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64), np.append(0, np.cumsum([len(s) for s in sets])))
+
+    sets = C.keep(_of_classes(wanted(close), docs, width, "s", "array<long>", lists), "sets").dropDuplicates(["cid"])
+    left = sets.select(F.col("cid").alias("a"), F.col("s").alias("x"))
+    right = sets.select(F.col("cid").alias("b"), F.col("s").alias("y"))
+    both = close.join(left, "a").join(right, "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("t"))
+    return C.cut(both.where(F.col("o") * 100 >= (F.col("t") - F.col("o")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -389,22 +409,27 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     measured, sketch = _measure(docs, width, cells)
     level, usual = _levels(sketch)
     parts = C.parts_for(int(sketch.sum() * (100 - percent) // 100), KEYS // 2)
-    keyed = C.keep(_keyed(docs, width, percent, level, usual, parts), "keys")
+    keyed = _keyed(docs, width, percent, level, usual, parts)
     met = C.keep(_met(keyed, percent, level, usual, parts), "met")
+    reps = C.cut(measured.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep")))
     members = met.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("cid"), "n")
-    stars = met.where("kind = 1").select("a", "b").distinct()
-    edges = C.cut(_linked(stars, docs, width, percent))
+    stars = C.cut(met.where("kind = 1").select("a", "b").distinct())
+    edges = _linked(stars, reps, docs, width, percent)
     label = C.components(edges)
     rest = members.join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    several = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    maps = keyed.where("cid is not null").groupBy("cid").agg(F.first("bitmap").alias("bitmap"))
-    rest = rest.join(several, "key").join(maps, "cid")
-    more = C.cut(_tree_candidates(rest, percent))
+    # keys where components meet; of keys with the same members, one
+    seen = [F.sum(F.shiftright(F.xxhash64("cid", F.lit(k)), 24)).alias(f"s{k}") for k in (1, 2, 3)]
+    several = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("g"), *seen)
+    several = several.where("c0 <> c1").groupBy("g", "s1", "s2", "s3").agg(F.min("key").alias("key"))
+    rest = C.cut(rest.join(several.select("key", "g"), "key"))
+    inside = rest.select("cid").distinct().join(reps, "cid")
+    maps = _of_classes(inside, docs, width, "bitmap", "binary", lambda sets: pa.array([bitmap(s, BITS) for s in sets], pa.binary()))
+    maps = C.keep(maps.select("cid", "bitmap"), "signatures").dropDuplicates(["cid"])
+    more = C.cut(_tree_candidates(rest.join(maps, "cid"), percent))
     if more.limit(1).count():
-        edges = edges.unionByName(_linked(more, docs, width, percent))
+        edges = C.cut(edges.unionByName(_linked(more, reps, docs, width, percent)))
         label = C.components(edges)
-    classes = measured.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"))
-    classes = classes.join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    classes = reps.join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = classes.join(smallest, "component").select("cid", "component_id")
     out = measured.join(named, "cid", "left")

@@ -37,8 +37,8 @@ from . import common as C
 CAPACITY, SEPARATOR = 1024, 2
 #: Pieces of a shard, about; islands of a shard; epochs; generations of an epoch; packings of an island.
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2000, 2, 2, 4, 4
-#: Distinct pieces that a task remembers before it forgets them all.
-REMEMBERED = 400_000
+#: Distinct pieces that a worker remembers before it forgets them all.
+REMEMBERED = 800_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -80,11 +80,39 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool: list[np.ndarray] = []
+        none = np.zeros(0, np.int64)
+        #: Tables of (hash, first id, ids), sorted by hash: all that is remembered, and what came lately.
+        self.tables = [(np.zeros(0, np.uint64), none, none)] * 2
+        self.pool = np.zeros(1 << 20, np.uint32)
         self.size = 0
 
+    def _learn(self, value: np.ndarray, pieces: list[str]) -> None:
+        """Asks the tokenizer for new pieces, a few at a time: what it returns is large."""
+        count = np.zeros(len(pieces), np.int64)
+        begin = np.zeros(len(pieces), np.int64)
+        for k in range(0, len(pieces), 2048):
+            for i, e in enumerate(self.tokenizer.encode_batch_fast(pieces[k : k + 2048], add_special_tokens=False), k):
+                ids = e.ids
+                count[i], begin[i] = len(ids), self.size
+                if self.size + len(ids) > len(self.pool):
+                    self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+                self.pool[self.size : self.size + len(ids)] = ids
+                self.size += len(ids)
+        late = _joined(self.tables[1], (value, begin, count))
+        self.tables[1] = late
+        if len(late[0]) > 60_000:
+            self.tables = [_joined(self.tables[0], late), (np.zeros(0, np.uint64), begin[:0], begin[:0])]
+
+    def _recalled(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First id and number of ids of each piece, -1 for those not remembered."""
+        begin, count = np.full((2, len(value)), -1, np.int64)
+        for known, b, c in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+                hit = known[at] == value
+                begin[hit], count[hit] = b[at[hit]], c[at[hit]]
+        return begin, count
+
     def _starts(self, cp: np.ndarray, kind: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Where the pattern begins a match."""
         n = len(cp)
@@ -125,27 +153,17 @@ class Encoder:
         end = np.append(start[1:], len(raw))
         h = C.span_hash(C.prefix_hash(raw, C.EXACT), start, end)
         value, one, which = np.unique(h, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, value), max(len(self.known) - 1, 0))
-        new = np.flatnonzero(self.known[at] != value) if len(self.known) else np.arange(len(value))
+        begin, count = self._recalled(value)
+        new = np.flatnonzero(begin < 0)
         if len(new):
-            if len(self.known) + len(new) > REMEMBERED and len(self.known):
+            if len(self.tables[0][0]) + len(new) > REMEMBERED:
                 self.forget()
-                return self.encode(raw, off)
-            pieces = [text[start[k] : end[k]].decode("utf-8", "replace") for k in one[new]]
-            got = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-            size = np.array([len(g) for g in got], np.int64)
-            begin = self.size + np.cumsum(size) - size
-            self.pool.append(np.array([x for g in got for x in g], np.uint32))
-            self.size += int(size.sum())
-            self.known = np.concatenate([self.known, value[new]])
-            order = np.argsort(self.known)
-            self.known = self.known[order]
-            self.begin, self.count = np.concatenate([self.begin, begin])[order], np.concatenate([self.count, size])[order]
-            self.pool = [np.concatenate(self.pool)]
-            at = np.searchsorted(self.known, value)
-        count, begin = self.count[at][which], self.begin[at][which]
+                new = np.arange(len(value))
+            self._learn(value[new], [text[start[k] : end[k]].decode("utf-8", "replace") for k in one[new]])
+            begin, count = self._recalled(value)
+        count, begin = count[which], begin[which]
         total = np.cumsum(count)
-        ids = self.pool[0][np.repeat(begin - (total - count), count) + np.arange(total[-1])]
+        ids = self.pool[np.repeat(begin - (total - count), count) + np.arange(total[-1])]
         row_at = np.append(0, total)[np.searchsorted(start, off)]
         # rows with a code point of unsure class, as the tokenizer itself splits them
         odd = np.unique(np.searchsorted(cp_off, np.flatnonzero(kind == _UNSURE), "right") - 1)
@@ -159,6 +177,22 @@ class Encoder:
         return ids, row_at
 
 
+def _joined(a: tuple, b: tuple) -> tuple:
+    value, begin, count = (np.concatenate(x) for x in zip(a, b, strict=True))
+    order = np.argsort(value)
+    return value[order], begin[order], count[order]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker: the next task finds what this one remembers."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
 
 
@@ -167,12 +201,12 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
     path = path or tokenizer_path()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, uid = Encoder(path), TaskContext.get().partitionId() << 36
+        tokens, uid = encoder(path), TaskContext.get().partitionId() << 36
         for batch in batches:
             raw, off = C.flatten(batch.column("text"))
             doc_id = batch.column("doc_id")
             for i, j in C.steps(off, 1 << 20):
-                ids, at = encoder.encode(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                ids, at = tokens.encode(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 size = np.diff(at) + 1
                 many = -(-size // capacity)
                 row = np.repeat(np.arange(j - i), many)

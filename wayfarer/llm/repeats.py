@@ -8,16 +8,20 @@ anchor, so an anchor stands for a stretch of text, its context.
 
 1. A fixed-size bit filter of the anchors that occur in more than one document,
    built by counting packed anchor hashes over all documents.
-2. The contexts of anchors that pass the filter meet by anchor.  Where all
-   contexts of an anchor are equal, the smallest id decides.  Otherwise the
-   distinct contexts form an enhanced suffix array; a stack scan over its common
-   prefixes enumerates the interval tree, and every interval of at least
-   ``LENGTH`` common bytes whose left extensions differ is a maximal repeat: all
-   of its occurrences beyond the smallest id are marked.  (What one and the same
-   byte precedes everywhere is part of the longer repeat one byte to the left.)
-3. An anchor with more contexts than a task should hold is resolved string by
-   string instead, by a grouped minimum over their hashes.
-4. The marks of a document meet its text again, and overlapping marks merge.
+2. The distinct contexts of anchors that pass the filter meet by anchor, with
+   the smallest and greatest id of their documents.  A context that is there
+   twice goes whole beyond its smallest id.  Different contexts of an anchor form
+   an enhanced suffix array; a stack scan over its common prefixes enumerates the
+   interval tree, and every interval of at least ``LENGTH`` common bytes whose
+   left extensions differ is a maximal repeat, with all of its occurrences.
+   (What one and the same byte precedes everywhere is part of the longer repeat
+   one byte to the left.)  These verdicts belong to contexts, not to places.
+3. An anchor with more distinct contexts than a task should hold is resolved
+   string by string instead, by a grouped minimum over their hashes.
+4. Places of contexts join the verdicts; a row has those of one context and one
+   buffer, so that a passage of very many documents is many rows.  Documents with
+   greater ids than the verdict's are marked.
+5. The marks of a document meet its text again, and overlapping marks merge.
 
 The filter only saves work: a saturated filter lets anchors of one document
 pass, and these mark nothing.
@@ -43,20 +47,23 @@ from . import common as C
 LENGTH, GRAM = 50, 16
 #: Bits of the filter of shared anchors.
 FILTER_BITS = 1 << 26
-#: Contexts that one suffix array takes, about; contexts of an anchor from which strings are resolved one by one.
+#: Contexts that one suffix array takes, about; distinct contexts of an anchor from which strings are resolved one by one.
 BLOCK, CROWD = 12_000, 60_000
+#: Contexts, places or marks that a task gathers before it passes them on.
+BUFFER = 400_000
 #: Anchors that a partition counts, about.
 PART = 1_000_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
 class Anchors:
-    """Anchors of the strings of some rows: hash, row, first string's start, bytes of the context."""
+    """Anchors of the strings of some rows: hash, row, first string's start, bytes and hash of the context."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray):
         n = len(raw)
         if n < LENGTH:
-            self.hash, self.row, self.start, self.size = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+            self.hash, self.context = np.zeros((2, 0), np.uint64)
+            self.row, self.start, self.size, self.begin = np.zeros((4, 0), np.int64)
             return
         c = C.prefix_hash(raw, C.EXACT)
         _, down = C.powers(n + 1)
@@ -78,6 +85,7 @@ class Anchors:
         stop = np.flatnonzero(np.append(~good[1:] | change[1:], True) & good)
         self.hash, self.row, self.start, self.size = h[at[start]], row[start], start - off[row[start]], stop - start + LENGTH
         self.begin = start
+        self.context = C.span_hash(c, start, start + self.size)
 
 
 def _pieces(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -200,69 +208,50 @@ def maximal_repeats(texts: list[bytes], docs: np.ndarray, least: int = LENGTH) -
     return which[rank], offset[rank], np.repeat(common, each), np.repeat(m, each)
 
 
-def _block_marks(a: np.ndarray, doc: np.ndarray, uid: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marks (uid, start, end) out of contexts sorted by anchor, then id."""
+def _verdicts(a: np.ndarray, low: np.ndarray, high: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, start, end, id): bytes of each distinct context that go from documents beyond the id.
+
+    Contexts come sorted by anchor, with the smallest and greatest id of their documents.
+    """
     first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(a))))
-    several = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))[group]
-    at = np.flatnonzero(several)
-    if not len(at):
-        return (np.zeros(0, np.int64),) * 3
-    group, doc, uid, start, texts = group[at], doc[at], uid[at], start[at], [texts[k] for k in at]
-    # classes of equal contexts; the first of each has its smallest id
-    ids: dict[tuple[int, bytes], int] = {}
-    cls = np.array([ids.setdefault((g, t), len(ids)) for g, t in zip(group.tolist(), texts, strict=True)], np.int64)
-    _, rep = np.unique(cls, return_index=True)
-    low = doc[rep]
-    alone = np.bincount(group[rep], minlength=group[-1] + 1)[group[rep]] == 1
+    count = np.diff(np.append(first, len(a)))
+    several = np.repeat(np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first), count)
     size = np.array([len(t) for t in texts], np.int64)
-    # a context that is there with a smaller id is marked whole
-    simple = np.flatnonzero(doc > low[cls])
-    out = [(uid[simple], start[simple], start[simple] + size[simple])]
-    mixed = np.flatnonzero(~alone)
+    # a context that is there with a smaller id goes whole
+    own = np.flatnonzero(high > low)
+    out = [(own, np.zeros(len(own), np.int64), size[own], low[own])]
+    mixed = np.flatnonzero(several & np.repeat(count > 1, count))
     if len(mixed):
-        which, offset, common, m = maximal_repeats([texts[rep[k]] for k in mixed], low[mixed])
-        # every row of a class has its class's occurrences; those beyond the repeat's smallest id are marked
-        order = np.argsort(cls, kind="stable")
-        many = np.bincount(cls, minlength=len(rep))
-        head = np.cumsum(many) - many
+        which, offset, common, m = maximal_repeats([texts[k] for k in mixed], low[mixed])
         k = mixed[which]
-        each = many[k]
-        row = order[np.repeat(head[k] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
-        offset, common, m = np.repeat(offset, each), np.repeat(common, each), np.repeat(m, each)
-        hit = doc[row] > m
-        row, offset, common = row[hit], offset[hit], common[hit]
-        out.append((uid[row], start[row] + offset, start[row] + offset + common))
-    u, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
-    # overlapping marks of a row are one
-    order = np.lexsort((-e, s, u))
-    u, s, e = u[order], s[order], e[order]
-    return _merged(u, s, e)
-
-
-def _merged(u: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Union of intervals sorted by owner and start."""
+        hit = high[k] > m
+        out.append((k[hit], offset[hit], (offset + common)[hit], m[hit]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _merged(u: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Union of intervals sorted by owner and start: (owner, start, end, place of its first)."""
     if not len(u):
-        return u, s, e
+        return u, s, e, u
     part = np.concatenate([[0], np.cumsum(u[1:] != u[:-1])])
     base = part * (int(e.max()) + 1)
     reach = np.maximum.accumulate(e + base)
     new = np.ones(len(u), bool)
     new[1:] = s[1:] + base[1:] > reach[:-1]
     k = np.flatnonzero(new)
-    return u[k], s[k], np.maximum.reduceat(e + base, k) - base[k]
+    return u[k], s[k], np.maximum.reduceat(e + base, k) - base[k], k
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by anchor and id -> marks (kind 0: uid, start, end), or single strings (kind 1: uid, start, hash, id)."""
-    names = ["kind", "uid", "start", "end", "doc_id"]
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by anchor and hash -> verdicts (kind 0: a, c, start, end, id), or single strings (kind 1: a, c, start, hash, id)."""
+    names = ["kind", "a", "c", "start", "end", "m"]
     held: list[tuple] = []
     size, crowd = 0, None
 
-    def marks(rows: list[tuple]) -> pa.RecordBatch:
-        cols = [np.concatenate([r[k] for r in rows]) for k in range(4)]
-        u, s, e = _block_marks(*cols, [t for r in rows for t in r[4]])
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), np.int32)), pa.array(u), pa.array(s), pa.array(e), pa.nulls(len(u), pa.int64())], names)
+    def verdicts(rows: list[tuple]) -> pa.RecordBatch:
+        a, c, low, high = (np.concatenate([r[k] for r in rows]) for k in range(4))
+        k, start, end, m = _verdicts(a, low, high, [t for r in rows for t in r[4]])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(len(k), np.int32), a[k], c[k], start, end, m)], names)
 
     def strings(r: tuple) -> pa.RecordBatch:
         raw = np.frombuffer(b"".join(r[4]), np.uint8)
@@ -271,43 +260,67 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(len(long)), many)
         at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         begin = (np.cumsum(long) - long)[row] + at
-        h = C.span_hash(C.prefix_hash(raw, C.EXACT), begin, begin + LENGTH)
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(row), np.int32)), pa.array(r[2][row]), pa.array(r[3][row] + at), pa.array(h.view(np.int64)), pa.array(r[1][row])], names)
+        h = C.span_hash(C.prefix_hash(raw, C.EXACT), begin, begin + LENGTH).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.ones(len(row), np.int32), r[0][row], r[1][row], at, h, r[2][row])], names)
+
+    for row in _distinct(batches):
+        a = row[0][0]
+        if crowd is not None and crowd == a:
+            yield strings(row)
+            continue
+        crowd = None
+        if held and held[-1][0][0] != a and size >= BLOCK:
+            yield verdicts(held)
+            held, size = [], 0
+        held.append(row)
+        size += len(row[0])
+        # an anchor that is too much for one task: all of its contexts leave as strings
+        if size > CROWD and sum(len(r[0]) for r in held if r[0][0] == a) > CROWD:
+            crowd = a
+            yield from (strings(r) for r in held if r[0][0] == a)
+            held = [r for r in held if r[0][0] != a]
+            size = sum(len(r[0]) for r in held)
+    if held:
+        yield verdicts(held)
+
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Runs of one anchor (a, c, low, high, texts), equal contexts made one; a run goes on where a batch or a stretch of it ends."""
+    last: list | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = (*(batch.column(c).to_numpy() for c in ("a", "doc_id", "uid", "start")), batch.column("ctx").to_pylist())
-        a = cols[0]
-        edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])).tolist()
-        for i, j in zip(edge, [*edge[1:], len(a)], strict=True):
-            rows = tuple(c[i:j] for c in cols)
-            if crowd is not None and crowd == a[i]:
-                yield strings(rows)
-                continue
-            crowd = None
-            if held and held[-1][0][0] != a[i] and size >= BLOCK:
-                yield marks(held)
-                held, size = [], 0
-            held.append(rows)
-            size += j - i
-            # an anchor that is too much for one task: all of its contexts leave as strings
-            own = 0
-            if size > CROWD:
-                own = sum(len(r[0]) for r in held if r[0][0] == a[i])
-            if own > CROWD:
-                crowd = a[i]
-                yield from (strings(r) for r in held if r[0][0] == crowd)
-                held = [r for r in held if r[0][0] != crowd]
-                size = sum(len(r[0]) for r in held)
-    if held:
-        yield marks(held)
+        cols = [batch.column(x).to_numpy() for x in ("a", "c", "low", "high")] + [batch.column("ctx").to_pylist()]
+        if last is not None:
+            cols = [np.concatenate([x, y]) if k < 4 else x + y for k, (x, y) in enumerate(zip(last, cols, strict=True))]
+        a, c, low, high, text = cols
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
+        cols = [a[new], c[new], np.minimum.reduceat(low, new), np.maximum.reduceat(high, new), [text[k] for k in new]]
+        last = [x[-1:] for x in cols]  # more of this context may follow
+        cols = [x[:-1] for x in cols]
+        edge = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]])).tolist() if len(cols[0]) else []
+        for i, j in zip(edge, [*edge[1:], len(cols[0])], strict=True):
+            yield tuple(x[i:j] for x in cols)
+    if last is not None:
+        yield tuple(last)
+
+
+def _filter(rows: DataFrame) -> np.ndarray:
+    """The bits ``bit`` of a fixed-size filter as 64-bit words: FILTER_BITS / 64 rows at most, whatever the input."""
+    words = rows.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("m")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
+    return table
+
+
+def _passes(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """(uid, spans): the marks of every document that has any."""
+    """(doc_id, sub, s, e): starts and ends of the marks of every document that has any; ``sub`` tells texts of one id apart."""
     spark = docs.sparkSession
-    rows = docs.where("doc_id is not null and octet_length(text) >= 50").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("uid"))
+    rows = docs.where(f"doc_id is not null and octet_length(text) >= {LENGTH}").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _sub())
     _, size = C.text_size(docs)
     parts = C.parts_for(size // 17, PART)
     packed = rows.select("text").mapInArrow(_packed_anchors(parts), "part int, h binary").repartition(parts, "part")
@@ -318,44 +331,139 @@ def _found(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(table)
     shift = np.uint64(64 - FILTER_BITS.bit_length() + 1)
 
+    def anchors(batch: pa.RecordBatch):
+        """Anchors that pass the filter: (bytes of the step, anchors, places, rows of the batch, bytes left out before)."""
+        raw, off = C.flatten(batch.column("text"))
+        for part, at, i, skipped in _pieces(raw, off):
+            found = Anchors(part, at)
+            k = np.flatnonzero(_passes(shared.value, found.hash >> shift))
+            if len(k):
+                yield part, found, k, found.row[k] + i, skipped
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        """Distinct contexts of a buffer: (a, c, low, high, ctx)."""
+        held: list[tuple] = []
+        size = 0
+
+        def emit() -> pa.RecordBatch:
+            a, c, low, high, n = (np.concatenate([h[x] for h in held]) for x in range(5))
+            data = np.concatenate([h[5] for h in held])
+            begin = np.cumsum(n) - n
+            order = np.lexsort((c, a))
+            a, c = a[order], c[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
+            one = order[new]
+            to = np.append(0, np.cumsum(n[one]))
+            ctx = data[np.repeat(begin[one] - to[:-1], n[one]) + np.arange(to[-1])]
+            ctx = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(ctx)])
+            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(c[new]), pa.array(np.minimum.reduceat(low[order], new)), pa.array(np.maximum.reduceat(high[order], new)), ctx], ["a", "c", "low", "high", "ctx"])
+
         for batch in batches:
-            raw, off = C.flatten(batch.column("text"))
-            doc, uid = batch.column("doc_id").to_numpy(), batch.column("uid").to_numpy()
-            for part, at, i, skipped in _pieces(raw, off):
-                found = Anchors(part, at)
-                b = found.hash >> shift
-                k = np.flatnonzero((bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1))
-                if not len(k):
-                    continue
-                row = found.row[k] + i
-                n = found.size[k]
+            doc = batch.column("doc_id").to_numpy()
+            for part, found, k, row, _ in anchors(batch):
+                a, c, d = found.hash[k].view(np.int64), found.context[k].view(np.int64), doc[row]
+                order = np.lexsort((c, a))
+                new = np.flatnonzero(np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])]))
+                one = k[order[new]]
+                n = found.size[one]
                 to = np.append(0, np.cumsum(n))
-                data = part[np.repeat(found.begin[k] - to[:-1], n) + np.arange(to[-1])]
-                ctx = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([pa.array(found.hash[k].view(np.int64)), pa.array(doc[row]), pa.array(uid[row]), pa.array(found.start[k] + skipped), ctx], ["a", "doc_id", "uid", "start", "ctx"])
+                data = part[np.repeat(found.begin[one] - to[:-1], n) + np.arange(to[-1])]
+                held.append((a[order[new]], c[order[new]], np.minimum.reduceat(d[order], new), np.maximum.reduceat(d[order], new), n, data))
+                size += len(one)
+                if size >= BUFFER:
+                    yield emit()
+                    held, size = [], 0
+        if size:
+            yield emit()
+
+    met = rows.mapInArrow(contexts, "a long, c long, low long, high long, ctx binary")
+    met = met.repartition(C.parts_for(size, 16 << 20), "a").sortWithinPartitions("a", "c")
+    found = C.keep(met.mapInArrow(_resolved, "kind int, a long, c long, start long, end long, m long"), "verdicts")
+    strings = found.where("kind = 1").select("a", "c", "start", F.col("end").alias("h"), "m")
+    least = strings.groupBy("h").agg(F.min("m").alias("m"))
+    single = strings.drop("m").join(least, "h").select("a", "c", "start", (F.col("start") + LENGTH).alias("end"), "m")
+    verdict = F.struct("start", "end", "m")
+    verdicts = C.keep(found.where("kind = 0").select("a", "c", "start", "end", "m").unionByName(single).groupBy("a", "c").agg(F.collect_list(verdict).alias("v")), "resolved")
+    told = spark.sparkContext.broadcast(_filter(verdicts.select(F.col("c").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit"))))
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places of contexts that may have a verdict, those of a context and buffer in one row: (a, c, doc_id, sub, at)."""
+        held: list[tuple] = []
+        size = 0
+
+        def emit() -> pa.RecordBatch:
+            a, c, doc, sub, at = (np.concatenate([h[x] for h in held]) for x in range(5))
+            order = np.lexsort((c, a))
+            a, c = a[order], c[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
+            to = np.append(new, len(a))
+            lists = [C.list_array(x[order], to) for x in (doc, sub, at)]
+            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(c[new]), *lists], ["a", "c", "doc_id", "sub", "at"])
+
+        for batch in batches:
+            doc, sub = batch.column("doc_id").to_numpy(), batch.column("sub").to_numpy()
+            for _, found, k, row, skipped in anchors(batch):
+                hit = _passes(told.value, found.context[k] & np.uint64(FILTER_BITS - 1))
+                k, row = k[hit], row[hit]
+                held.append((found.hash[k].view(np.int64), found.context[k].view(np.int64), doc[row], sub[row], (found.start[k] + skipped).astype(np.int32)))
+                size += len(k)
+                if size >= BUFFER:
+                    yield emit()
+                    held, size = [], 0
+        if size:
+            yield emit()
+
+    places = rows.mapInArrow(occurrences, "a long, c long, doc_id array<long>, sub array<int>, at array<int>")
+    marks = places.join(verdicts, ["a", "c"]).mapInArrow(_marks, "doc_id long, sub int, start int, end int")
+    return marks.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "end")).alias("v"))
 
-    met = rows.mapInArrow(contexts, "a long, doc_id long, uid long, start long, ctx binary")
-    met = met.repartition(C.parts_for(size, 16 << 20), "a").sortWithinPartitions("a", "doc_id")
-    found = C.keep(met.mapInArrow(_marks, "kind int, uid long, start long, end long, doc_id long"), "marks")
-    marks = found.where("kind = 0").select("uid", "start", "end")
-    strings = found.where("kind = 1").select("uid", "start", F.col("end").alias("h"), "doc_id")
-    least = strings.groupBy("h").agg(F.min("doc_id").alias("m"))
-    single = strings.join(least, "h").where("doc_id > m").select("uid", "start", (F.col("start") + LENGTH).alias("end"))
-    return marks.unionByName(single).groupBy("uid").agg(F.collect_list("start").alias("s"), F.collect_list("end").alias("e"))
 
+def _sub():
+    """32 bits of the text's hash: rows that share an id but not a text are told apart by it."""
+    return F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("sub")
 
-def _cut_out(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of the documents beyond each verdict's id, overlapping ones of a buffer made one."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def emit() -> pa.RecordBatch:
+        doc, sub, s, e = np.concatenate(held, axis=1)
+        order = np.lexsort((s, sub, doc))
+        doc, sub, s, e = doc[order], sub[order], s[order], e[order]
+        owner = np.cumsum(np.concatenate([[False], (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1])]))
+        _, s2, e2, k = _merged(owner, s, e)
+        return pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(sub[k].astype(np.int32)), pa.array(s2.astype(np.int32)), pa.array(e2.astype(np.int32))], ["doc_id", "sub", "start", "end"])
+
+    for batch in batches:
+        doc, to = C.flatten_list(batch.column("doc_id"))
+        sub, _ = C.flatten_list(batch.column("sub"))
+        at, _ = C.flatten_list(batch.column("at"))
+        v, v_to = C.flatten_list_structs(batch.column("v"))
+        # every place of a row with every verdict of its context
+        places, many = np.diff(to), np.diff(v_to)
+        each = np.repeat(many, places)
+        p = np.repeat(np.arange(len(doc)), each)
+        q = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(np.repeat(v_to[:-1], places), each)
+        hit = doc[p] > v["m"][q]
+        p, q = p[hit], q[hit]
+        held.append(np.stack([doc[p], sub[p].astype(np.int64), at[p] + v["start"][q], at[p] + v["end"][q]]))
+        size += len(p)
+        if size >= BUFFER:
+            yield emit()
+            held, size = [], 0
+    if size:
+        yield emit()
+
+
+def _cut_out(text: pa.Array, marks: pa.Array) -> pa.Array:
     raw, off = C.flatten(text)
     gone = np.zeros(len(raw) + 1, np.int32)
-    empty = pa.array([[]], starts.type)
-    starts, ends = (x.fill_null(empty[0]) if x.null_count else x for x in (starts, ends))
-    s, at = C.flatten_list(starts)
-    e, _ = C.flatten_list(ends)
+    v, at = C.flatten_list_structs(marks)
     base = np.repeat(off[:-1], np.diff(at))
-    np.add.at(gone, s + base, 1)
-    np.add.at(gone, e + base, -1)
+    np.add.at(gone, v["start"] + base, 1)
+    np.add.at(gone, v["end"] + base, -1)
     out = np.cumsum(gone[:-1]) > 0
     count = np.append(0, np.cumsum(out))
     # a run begins at a removed byte after a kept one, or with its row
@@ -370,11 +478,12 @@ def _cut_out(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
 
 
 def _with_cuts(docs: DataFrame) -> DataFrame:
-    uid = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
-    marks = _found(docs).withColumnRenamed("uid", "_rep_uid")
-    rows = docs.withColumn("_rep_uid", uid).join(marks.withColumnRenamed("s", "_rep_s").withColumnRenamed("e", "_rep_e"), "_rep_uid", "left")
+    marks = _found(docs).select(F.col("doc_id").alias("_rep_id"), F.col("sub").alias("_rep_s"), F.col("v").alias("_rep_v"))
+    rows = docs.withColumn("_rep_sub", _sub())
+    rows = rows.join(marks, (rows.doc_id == F.col("_rep_id")) & (F.col("_rep_sub") == F.col("_rep_s")), "left")
     cut = F.arrow_udf(_cut_out, "struct<n_bytes long, n_removed long, n_spans long, kept binary>")
-    return rows.withColumn("_rep", cut("text", "_rep_s", "_rep_e")).drop("_rep_uid", "_rep_s", "_rep_e")
+    none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
+    return rows.withColumn("_rep", cut("text", F.coalesce("_rep_v", none))).drop("_rep_id", "_rep_s", "_rep_sub", "_rep_v")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
