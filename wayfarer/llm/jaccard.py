@@ -45,8 +45,8 @@ CELLS_LEAST, CELLS_MOST = 1 << 18, 1 << 24
 CHUNK = 1 << 15
 #: Bits of a token bitmap; children of a tree node; levels; members of a block.
 BITS, FAN, LEVELS, BLOCK = 2048, 8, 4, 1024
-#: Keys of a partition, about, and how many of them a task gathers at a time.
-KEYS = 2_000_000
+#: Keys of a partition, about, and how many of them a task gathers at a time before it passes them on.
+KEYS, BUFFER = 2_000_000, 500_000
 #: Bits of the filter for the classes whose sets are wanted.
 FILTER_BITS = 1 << 24
 
@@ -168,7 +168,7 @@ def _keyed(docs: DataFrame, width: int, percent: int, level: np.ndarray, usual:
                     key = usually[: long[k]]
                     held.append(np.stack([key, np.full(len(key), cid[k]).view(np.uint64), np.full(len(key), n[k], np.uint64)]))
                     size += len(key)
-                if size >= KEYS:
+                if size >= BUFFER:
                     yield packed()
                     held, size = [], 0
         if size:
@@ -408,7 +408,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     cells = int(min(max(1 << int(np.ceil(np.log2(max(size / 6 / 32, 1)))), CELLS_LEAST), CELLS_MOST))
     measured, sketch = _measure(docs, width, cells)
     level, usual = _levels(sketch)
-    parts = C.parts_for(int(sketch.sum() * (100 - percent) // 100), KEYS // 2)
+    parts = C.parts_for(int(sketch.sum() * (100 - percent) // 100), KEYS // 4)
     keyed = _keyed(docs, width, percent, level, usual, parts)
     met = C.keep(_met(keyed, percent, level, usual, parts), "met")
     reps = C.cut(measured.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep")))
