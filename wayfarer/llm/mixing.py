@@ -17,8 +17,7 @@ hashes of ids, so reruns agree.
 
 Defined results: null text has size 0; a null source is a source, last in
 order; sources of size 0 have target 0; repeated rows are rows of their own,
-taken alike unless they lie in their source's last block; an empty table gives
-an empty mix.  Extra columns are carried along by ``mix``; columns beginning
+taken alike; an empty table gives an empty mix.  Extra columns are carried along by ``mix``; columns beginning
 with ``_mix`` are reserved.
 """
 
@@ -33,8 +32,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 #: Blocks a source at most, and rows that a block has about, as long as that is fewer blocks.
 BLOCKS, BLOCK_ROWS = 4096, 64
-#: Times that a last block's gap is narrowed by its largest row that fits.
-FILLS = 5
+#: Rows of a last block among which those are chosen that bring the words nearest to the target.
+CHOICE = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -92,14 +91,30 @@ def _split(quotas: DataFrame, level: int, seed: int) -> DataFrame:
     step = f"(a, i) -> element_at(transform(array({draw}), d -> {state}), 1)"
     total = "aggregate(q, 0L, (s, x) -> s + x)"
     left = f"aggregate(sequence(1, size(q)), named_struct('slots', floor({total} / 2D) + 0D, 'total', {total} + 0D, 'out', cast(array() as array<bigint>)), {step}, a -> a.out)"
-    halves = quotas.select("node", "q", F.expr(left).alias("l"))
+    halves = quotas.where(F.size("q") > 0).select("node", "q", F.expr(left).alias("l"))
     pair = F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("l").alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("q", "l", lambda a, b: a - b).alias("q"))))
     return C.cut(halves.select(pair.alias("h")).select("h.node", "h.q"))
 
 
+def _best_start() -> str:
+    """SQL for the descending walk over ``items`` that ends nearest to ``need``: (distance, first item, reach).
+
+    A walk takes each item that is no larger than what is still needed or, with reach 2, than twice that.
+    """
+    walk = "aggregate(slice(items, k, size(items)), need, (g, x) -> if(x.s <= g * {r}, g - x.s, g))"
+    tries = [f"transform(sequence(1, size(items)), k -> named_struct('d', abs({walk.format(r=r)}), 'k', k, 'r', {r}))" for r in (1, 2)]
+    return f"array_min(concat({', '.join(tries)}, array(named_struct('d', abs(need), 'k', size(items) + 1, 'r', 1))))"
+
+
+def _picks() -> str:
+    """SQL for the items that the best walk takes."""
+    start = "named_struct('g', need, 'out', cast(array() as array<struct<o: bigint, _mix_key: bigint, doc_id: bigint, s: bigint>>))"
+    return f"aggregate(slice(items, best.k, size(items)), {start}, (a, x) -> if(x.s <= a.g * best.r, named_struct('g', a.g - x.s, 'out', concat(a.out, array(x))), a), a -> a.out)"
+
+
 def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, shards: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sources, takes, last rows): takes has the shards of each block's takes, last rows the keys taken from last blocks."""
-    rows = C.keep(_measured(docs, seed).select("doc_id", "source", "_mix_size", "_mix_key"), "measured")
+    rows = C.keep(_measured(docs, seed).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "_mix_size", "_mix_key"), "measured")
     sources = C.cut(_targets(rows, weights, share, cap))
     placed = rows.join(sources, rows.source.eqNullSafe(sources.source)).select("rank", "blocks", "left", "rounds", "_mix_size", "_mix_key", "doc_id")
     placed = placed.withColumn("block", F.pmod("_mix_key", F.col("blocks")))
@@ -109,22 +124,19 @@ def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, s
     blocks = blocks.withColumn("sum", F.sum("size").over(by_source)).withColumn("part", (F.col("sum") <= F.col("left") + 1e-6).cast("int"))
     prefix = Window.partitionBy("rank").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = C.cut(blocks.withColumn("last", (F.col("part") == 0) & (F.sum(1 - F.col("part")).over(prefix) == 1)))
-    # rows of the last block: those that fit, in hashed order
+    # rows of the last block: those that fit, in hashed order, but for the last few, which are chosen to end near the target
     last = blocks.where("last").select("rank", "block", (F.col("left") - (F.col("sum") - F.col("size"))).alias("need"))
-    near = placed.join(last, ["rank", "block"]).select("rank", "block", "need", "doc_id", "_mix_key", "_mix_size")
+    near = placed.join(last, ["rank", "block"]).where("_mix_size > 0").groupBy("rank", "block", "_mix_key", "doc_id").agg(F.sum("_mix_size").alias("s"), F.first("need").alias("need"))
     in_block = Window.partitionBy("rank", "block").orderBy("_mix_key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     of_block = Window.partitionBy("rank", "block")
-    near = near.withColumn("run", F.sum("_mix_size").over(in_block)).withColumn("at", F.count(F.lit(1)).over(in_block))
-    near = near.withColumn("fit", F.col("run") <= F.col("need")).withColumn("gap", F.col("need") - F.coalesce(F.max(F.when(F.col("fit"), F.col("run"))).over(of_block), F.lit(0)))
-    # then, a few times, the largest row that still fits; at last the one that comes nearest
-    for _ in range(FILLS):
-        fits = F.when(~F.col("fit") & (F.col("_mix_size") <= F.col("gap")) & (F.col("_mix_size") > 0), F.struct("_mix_size", "at"))
-        near = near.withColumn("more", F.max(fits).over(of_block))
-        near = near.withColumn("fit", F.col("fit") | F.coalesce(F.col("at") == F.col("more.at"), F.lit(False))).withColumn("gap", F.col("gap") - F.coalesce("more._mix_size", F.lit(0)))
-    off = F.when(~F.col("fit"), F.struct(F.abs(F.col("_mix_size") - F.col("gap")).alias("d"), F.col("at").alias("at")))
-    near = near.withColumn("best", F.min(off).over(of_block))
-    chosen = near.where(F.col("fit") | ((F.col("at") == F.col("best.at")) & (F.col("best.d") < F.col("gap"))))
-    chosen = chosen.groupBy("rank", "block", "_mix_key", "doc_id").agg(F.count(F.lit(1)).alias("extra"))
+    near = near.withColumn("run", F.sum("s").over(in_block)).withColumn("at", F.count(F.lit(1)).over(in_block))
+    near = near.withColumn("p", F.coalesce(F.max(F.when(F.col("run") <= F.col("need"), F.col("at"))).over(of_block), F.lit(0)))
+    near = near.withColumn("whole", F.col("at") <= F.col("p") - CHOICE // 4).where(F.col("at") <= F.col("p") + CHOICE - CHOICE // 4)
+    near = near.withColumn("need", F.col("need") - F.coalesce(F.max(F.when(F.col("whole"), F.col("run"))).over(of_block), F.lit(0)))
+    open_rows = F.struct((-F.col("s")).alias("o"), "_mix_key", "doc_id", "s")
+    choice = near.where(~F.col("whole")).groupBy("rank", "block").agg(F.first("need").alias("need"), F.array_sort(F.collect_list(open_rows)).alias("items"))  # CHOICE items at most
+    choice = choice.withColumn("best", F.expr(_best_start())).select("rank", "block", F.explode(F.expr(_picks())).alias("x"))
+    chosen = choice.select("rank", "block", "x._mix_key", "x.doc_id").unionByName(near.where("whole").select("rank", "block", "_mix_key", "doc_id"))
     # one entry for every take of a block, in a permuted order of its source
     count = F.col("rounds") + F.col("part") + F.col("last").cast("int")
     takes = blocks.where(count > 0).select("rank", "block", F.explode(F.sequence(F.lit(1), count)).alias("round"), ((F.col("last")) & (F.col("round") == count)).alias("partly"))

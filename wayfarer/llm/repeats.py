@@ -298,7 +298,9 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         cols = [a[new], c[new], np.minimum.reduceat(low, new), np.maximum.reduceat(high, new), [text[k] for k in new]]
         last = [x[-1:] for x in cols]  # more of this context may follow
         cols = [x[:-1] for x in cols]
-        edge = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]])).tolist() if len(cols[0]) else []
+        if not len(cols[0]):
+            continue
+        edge = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]])).tolist()
         for i, j in zip(edge, [*edge[1:], len(cols[0])], strict=True):
             yield tuple(x[i:j] for x in cols)
     if last is not None:
