@@ -8,14 +8,16 @@ anchor, so an anchor stands for a stretch of text, its context.
 
 1. A fixed-size bit filter of the anchors that occur in more than one document,
    built by counting packed anchor hashes over all documents.
-2. The distinct contexts of anchors that pass the filter meet by anchor, with
-   the smallest and greatest id of their documents.  A context that is there
-   twice goes whole beyond its smallest id.  Different contexts of an anchor form
-   an enhanced suffix array; a stack scan over its common prefixes enumerates the
-   interval tree, and every interval of at least ``LENGTH`` common bytes whose
-   left extensions differ is a maximal repeat, with all of its occurrences.
-   (What one and the same byte precedes everywhere is part of the longer repeat
-   one byte to the left.)  These verdicts belong to contexts, not to places.
+2. Hashes of the distinct contexts of anchors that pass the filter meet by
+   anchor, with the smallest and greatest id of their documents.  An anchor with
+   one context needs no more: beyond its smallest id the context goes whole.
+   Anchors with several contexts enter a second filter, and only their contexts'
+   bytes travel.  These form an enhanced suffix array for each anchor; a stack
+   scan over its common prefixes enumerates the interval tree, and every interval
+   of at least ``LENGTH`` common bytes whose left extensions differ is a maximal
+   repeat, with all of its occurrences.  (What one and the same byte precedes
+   everywhere is part of the longer repeat one byte to the left.)  These verdicts
+   belong to contexts, not to places.
 3. An anchor with more distinct contexts than a task should hold is resolved
    string by string instead, by a grouped minimum over their hashes.
 4. Places of contexts join the verdicts; a row has those of one context and one
@@ -44,13 +46,13 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 #: Bits of the filter of shared anchors.
 FILTER_BITS = 1 << 26
 #: Contexts that one suffix array takes, about; distinct contexts of an anchor from which strings are resolved one by one.
 BLOCK, CROWD = 12_000, 60_000
 #: Contexts, places or marks that a task gathers before it passes them on.
-BUFFER = 400_000
+BUFFER = 300_000
 #: Anchors that a partition counts, about.
 PART = 1_000_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -148,6 +150,49 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["w", "m"])
 
 
+def _fewest(a: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equal contexts made one; of an anchor's distinct contexts the first two, which say enough."""
+    order = np.lexsort((c, a))
+    a, c, low, high, size = (x[order] for x in (a, c, low, high, size))
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])) if len(a) else order
+    if not len(new):
+        return a, c, low, high, size
+    a, c, low, high, size = a[new], c[new], np.minimum.reduceat(low, new), np.maximum.reduceat(high, new), size[new]
+    third = np.zeros(len(a), bool)
+    third[2:] = a[2:] == a[:-2]
+    return tuple(x[~third] for x in (a, c, low, high, size))
+
+
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed context hashes of whole anchors -> verdicts of anchors with one context (kind 0), filter words of the others (kind 1: a, c)."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for data in batch.column("h").to_pylist():
+            x = np.frombuffer(data, np.int64).reshape(5, -1)
+            held.append((x[0], x[1], x[2], x[2] + x[3], x[4]))
+            size += x.shape[1]
+        if size >= 4 * PART:  # what an anchor of very many contexts leaves is two of them
+            held = [_fewest(*(np.concatenate(y) for y in zip(*held, strict=True)))]
+            size = len(held[0][0])
+    if not held:
+        return
+    a, c, low, high, long = _fewest(*(np.concatenate(y) for y in zip(*held, strict=True)))
+    twin = np.zeros(len(a), bool)
+    same = a[1:] == a[:-1]
+    twin[1:] |= same
+    twin[:-1] |= same
+    whole = np.flatnonzero(~twin & (high > low))
+    names = ["kind", "a", "c", "start", "end", "m"]
+    zero = np.zeros(len(whole), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero.astype(np.int32), a[whole], c[whole], zero, long[whole], low[whole])], names)
+    bit = np.unique(a[twin].view(np.uint64) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
+    word, first = np.unique(bit >> 6, return_index=True)
+    mask = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), first).view(np.int64) if len(bit) else word
+    zero = np.zeros(len(word), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero.astype(np.int32) + 1, word, mask, zero, zero, zero)], names)
+
+
 def intervals(lcp: np.ndarray, least: int, doc: np.ndarray, left: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Interval tree of a suffix array, by a scan with a stack: (common bytes, first rank, last rank, smallest id).
 
@@ -307,14 +352,19 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield tuple(last)
 
 
-def _filter(rows: DataFrame) -> np.ndarray:
-    """The bits ``bit`` of a fixed-size filter as 64-bit words: FILTER_BITS / 64 rows at most, whatever the input."""
-    words = rows.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("m")).toArrow()
+def _words(words: DataFrame) -> np.ndarray:
+    """A filter out of its 64-bit words (w, m): FILTER_BITS / 64 rows at most reach the driver, whatever the input."""
+    found = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     table = np.zeros(FILTER_BITS // 64, np.uint64)
-    table[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
+    table[found.column("w").to_numpy()] = found.column("m").to_numpy().view(np.uint64)
     return table
 
 
+def _filter(rows: DataFrame) -> np.ndarray:
+    """A filter out of its bits ``bit``."""
+    return _words(rows.select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("m")))
+
+
 def _passes(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
@@ -326,22 +376,49 @@ def _found(docs: DataFrame) -> DataFrame:
     _, size = C.text_size(docs)
     parts = C.parts_for(size // 17, PART)
     packed = rows.select("text").mapInArrow(_packed_anchors(parts), "part int, h binary").repartition(parts, "part")
-    # FILTER_BITS / 64 rows at most, whatever the input
-    words = packed.mapInArrow(_several, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
-    table[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(table)
+    words = packed.mapInArrow(_several, "w long, m long")
+    shared = spark.sparkContext.broadcast(_words(words))
     shift = np.uint64(64 - FILTER_BITS.bit_length() + 1)
 
-    def anchors(batch: pa.RecordBatch):
-        """Anchors that pass the filter: (bytes of the step, anchors, places, rows of the batch, bytes left out before)."""
+    def anchors(batch: pa.RecordBatch, table: np.ndarray):
+        """Anchors that pass a filter: (bytes of the step, anchors, places, rows of the batch, bytes left out before)."""
         raw, off = C.flatten(batch.column("text"))
         for part, at, i, skipped in _pieces(raw, off):
             found = Anchors(part, at)
-            k = np.flatnonzero(_passes(shared.value, found.hash >> shift))
+            k = np.flatnonzero(_passes(table, found.hash >> shift))
             if len(k):
                 yield part, found, k, found.row[k] + i, skipped
 
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct contexts of a buffer by their hashes, packed by partition."""
+        held: list[tuple] = []
+        size = 0
+
+        def pack() -> pa.RecordBatch:
+            a, c, low, high, long = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, c, low, high, long = _fewest(a, c, low, high, long)
+            part = ((a.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            every, part = np.stack([a, c, low, high - low, long])[:, order], part[order]
+            edge = np.flatnonzero(np.diff(part, prepend=-1))
+            data = [every[:, i:j].tobytes() for i, j in zip(edge, [*edge[1:], len(part)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part[edge].astype(np.int32)), pa.array(data, pa.binary())], ["part", "h"])
+
+        for batch in batches:
+            doc = batch.column("doc_id").to_numpy()
+            for _, found, k, row, _ in anchors(batch, shared.value):
+                held.append((found.hash[k].view(np.int64), found.context[k].view(np.int64), doc[row], doc[row], found.size[k]))
+                size += len(k)
+                if size >= 2 * BUFFER:
+                    yield pack()
+                    held, size = [], 0
+        if size:
+            yield pack()
+
+    kinds = rows.mapInArrow(hashes, "part int, h binary").repartition(parts, "part")
+    kinds = C.keep(kinds.mapInArrow(_kinds, "kind int, a long, c long, start long, end long, m long"), "kinds")
+    several = spark.sparkContext.broadcast(_words(kinds.where("kind = 1").select(F.col("a").alias("w"), F.col("c").alias("m"))))
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct contexts of a buffer: (a, c, low, high, ctx)."""
         held: list[tuple] = []
@@ -362,7 +439,7 @@ def _found(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             doc = batch.column("doc_id").to_numpy()
-            for part, found, k, row, _ in anchors(batch):
+            for part, found, k, row, _ in anchors(batch, several.value):
                 a, c, d = found.hash[k].view(np.int64), found.context[k].view(np.int64), doc[row]
                 order = np.lexsort((c, a))
                 new = np.flatnonzero(np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])]))
@@ -385,7 +462,8 @@ def _found(docs: DataFrame) -> DataFrame:
     least = strings.groupBy("h").agg(F.min("m").alias("m"))
     single = strings.drop("m").join(least, "h").select("a", "c", "start", (F.col("start") + LENGTH).alias("end"), "m")
     verdict = F.struct("start", "end", "m")
-    verdicts = C.keep(found.where("kind = 0").select("a", "c", "start", "end", "m").unionByName(single).groupBy("a", "c").agg(F.collect_list(verdict).alias("v")), "resolved")
+    whole = kinds.where("kind = 0").select("a", "c", "start", "end", "m")
+    verdicts = C.keep(found.where("kind = 0").select("a", "c", "start", "end", "m").unionByName(whole).unionByName(single).groupBy("a", "c").agg(F.collect_list(verdict).alias("v")), "resolved")
     told = spark.sparkContext.broadcast(_filter(verdicts.select(F.col("c").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("bit"))))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +482,7 @@ def _found(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             doc, sub = batch.column("doc_id").to_numpy(), batch.column("sub").to_numpy()
-            for _, found, k, row, skipped in anchors(batch):
+            for _, found, k, row, skipped in anchors(batch, shared.value):
                 hit = _passes(told.value, found.context[k] & np.uint64(FILTER_BITS - 1))
                 k, row = k[hit], row[hit]
                 held.append((found.hash[k].view(np.int64), found.context[k].view(np.int64), doc[row], sub[row], (found.start[k] + skipped).astype(np.int32)))
