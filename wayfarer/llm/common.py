@@ -19,7 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a longer document is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
+
+#: Rows of an Arrow batch: a text may be long, and every worker holds some batches.
+BATCH_ROWS = 2000
+
+# what a worker frees goes back to the machine instead of staying in a pool of its own
+pa.set_memory_pool(pa.system_memory_pool())
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.zeros(256, bool)
@@ -37,6 +43,14 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[int, np.ndarray] = {}
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches were made ``BATCH_ROWS`` rows long, unless someone has set their length."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":  # Spark's default
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

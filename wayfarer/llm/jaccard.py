@@ -403,7 +403,7 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perc
 
 def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, size = C.text_size(docs)
     cells = int(min(max(1 << int(np.ceil(np.log2(max(size / 6 / 32, 1)))), CELLS_LEAST), CELLS_MOST))
     measured, sketch = _measure(docs, width, cells)

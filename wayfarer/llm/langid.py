@@ -95,7 +95,7 @@ class LanguageModel:
 
     def fit(self, docs: DataFrame) -> LanguageModel:
         """``docs``: (doc_id, text, lang).  Takes about ``each`` texts of each language, drawn by a hash of the id."""
-        docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+        docs = C.small_batches(docs).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
         n = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not n:
             return self

@@ -126,7 +126,7 @@ def store(docs: DataFrame, folder: str) -> None:
             done.append(archive.close())
         yield pa.RecordBatch.from_pylist([dict(zip(("name", "size", "members"), x, strict=True)) for x in done], pa.schema([("name", pa.string()), ("size", pa.int64()), ("members", pa.int64())]))
 
-    report = docs.select("doc_id", "text").mapInArrow(pack, "name string, size long, members long")
+    report = C.small_batches(docs).select("doc_id", "text").mapInArrow(pack, "name string, size long, members long")
     report.write.json(f"{folder}/report")
 
 

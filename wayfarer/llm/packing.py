@@ -225,7 +225,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
                 yield pa.RecordBatch.from_arrays([doc_id[i:j].take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.arange(uid, uid + len(row)))], ["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
                 uid += len(row)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, PIECES)
+    return C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, PIECES)
 
 
 # -- grouping genetic algorithm ------------------------------------------

@@ -208,7 +208,7 @@ class QualityModel:
         share = {y: int(1_000_000 * min(1.0, self.train_rows / 2 / k)) for y, k in n.items()}
         limit = F.when(F.col("y") == 1, share.get(1, 0)).otherwise(share.get(0, 0))
         # a bounded sample of ids: its expected size is train_rows
-        rows = docs.select("doc_id", "text").join(F.broadcast(labels.where(draw <= limit)), "doc_id").select("y", "text")
+        rows = C.small_batches(docs).select("doc_id", "text").join(F.broadcast(labels.where(draw <= limit)), "doc_id").select("y", "text")
         got = rows.mapInArrow(_described, "y int, x array<double>").toArrow()
         y = got.column("y").to_numpy()
         if len(np.unique(y)) < 2:

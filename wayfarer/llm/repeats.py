@@ -52,7 +52,7 @@ FILTER_BITS = 1 << 26
 #: Contexts that one suffix array takes, about; distinct contexts of an anchor from which strings are resolved one by one.
 BLOCK, CROWD = 12_000, 60_000
 #: Contexts, places or marks that a task gathers before it passes them on.
-BUFFER = 300_000
+BUFFER = 200_000
 #: Anchors that a partition counts, about.
 PART = 1_000_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -372,7 +372,7 @@ def _passes(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
 def _found(docs: DataFrame) -> DataFrame:
     """(doc_id, sub, s, e): starts and ends of the marks of every document that has any; ``sub`` tells texts of one id apart."""
     spark = docs.sparkSession
-    rows = docs.where(f"doc_id is not null and octet_length(text) >= {LENGTH}").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _sub())
+    rows = C.small_batches(docs).where(f"doc_id is not null and octet_length(text) >= {LENGTH}").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _sub())
     _, size = C.text_size(docs)
     parts = C.parts_for(size // 17, PART)
     packed = rows.select("text").mapInArrow(_packed_anchors(parts), "part int, h binary").repartition(parts, "part")

@@ -163,7 +163,7 @@ class ToxicityModel:
         draw = F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), F.lit(1_000_000))
         chosen = labels.where(draw < int(1_000_000 * min(1.0, self.train_rows / max(n, 1))) + (n <= self.train_rows))
         # a bounded sample of ids: its expected size is train_rows
-        rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        rows = C.small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
         part = F.pmod(F.xxhash64("doc_id", F.lit(self.seed + 1)), F.lit(10))
         rows = C.keep(rows.withColumn("part", part).repartition(6), "toxicity_train")
         seen = {(r["first"], r["y"]): r["n"] for r in rows.groupBy((F.col("part") < 4).alias("first"), "y").agg(F.count(F.lit(1)).alias("n")).collect()}
