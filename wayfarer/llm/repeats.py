@@ -85,7 +85,8 @@ class Anchors:
         start = np.flatnonzero(change & good)
         # a stretch ends where the next begins or strings stop fitting
         stop = np.flatnonzero(np.append(~good[1:] | change[1:], True) & good)
-        self.hash, self.row, self.start, self.size = h[at[start]], row[start], start - off[row[start]], stop - start + LENGTH
+        # the smallest hashes of windows are small numbers: mixed again, they fill filters and partitions evenly
+        self.hash, self.row, self.start, self.size = C.mix(h[at[start]]), row[start], start - off[row[start]], stop - start + LENGTH
         self.begin = start
         self.context = C.span_hash(c, start, start + self.size)
 
