@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as S
+from ..operators import delays as D
 from ..operators import graph as G
 from ..operators import statistics as A
 from ..operators import transforms as X
+from ..operators import triptransfers as T
+from ..operators.assembly import fifo_lines as fifo
 from ..operators.skyline import skyline
+from ..storage import keep_path
+from ..streaming.delays import counts_by_window, follow
 from . import journeys as J
 from . import multicriteria as M
 from .network import derived, network_ctes
@@ -404,3 +409,74 @@ def restricted_pareto(spark, sf_dir):
     net = derived(spark, sf_dir)
     batch = _batch(net)
     return M.restricted(M.pareto_sets(net, batch, max_trips=_M_ROUNDS), J.pareto(net, batch, _M_ROUNDS), batch, 1.25, 1.25)
+
+
+# -- lines, transfers between trips, delays -------------------------------
+
+_DELAYS = "delays AS (SELECT trip, trip * 15485863 % n AS first_idx, CASE " + " ".join(f"WHEN trip * 7919 % 1000 < {most} THEN {low} + trip * 104729 % {high - low + 1}" for most, low, high in D.CLASSES) + " END AS delay FROM ev WHERE idx = 0)"
+_LATE = (
+    f"{_DELAYS}, x AS (SELECT ev.*, arr + CASE WHEN idx >= first_idx THEN least(delay, 600) ELSE 0 END AS a, dep + CASE WHEN idx >= first_idx THEN least(delay, 900) ELSE 0 END AS d FROM ev JOIN delays USING (trip)), "
+    "late AS (SELECT trip, idx, stop, CAST(min(least(a, d)) OVER (PARTITION BY trip ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS arr, "
+    "CAST(least(d, coalesce(min(least(a, d)) OVER (PARTITION BY trip ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), d)) AS BIGINT) AS dep, n FROM x)"
+)
+
+
+@_query(f", {_DELAYS} SELECT trip, first_idx, delay FROM delays")
+def delay_scenario(spark, sf_dir):
+    return D.scenario(derived(spark, sf_dir).events)
+
+
+@_query(f", {_LATE} SELECT * FROM late")
+def delayed_events(spark, sf_dir):
+    """Arrivals at most 600 and departures at most 900 seconds late."""
+    ev = derived(spark, sf_dir).events
+    return D.delayed(ev, D.scenario(ev), 600, 900)
+
+
+@_query(f", {_SEQ.format(ev='ev')} SELECT trip, min(trip) OVER (PARTITION BY stops ORDER BY trip ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS pattern FROM seq")
+def fifo_lines(spark, sf_dir):
+    """Lines without overtaking, shown by their stop pattern (which trip begins a line depends on the order of fitting)."""
+    ev = derived(spark, sf_dir).events
+    lines = fifo(ev)
+    pattern = X.sequences(ev).select("trip", F.min("trip").over(Window.partitionBy("stops")).alias("pattern"))
+    return lines.join(pattern, "trip").select("trip", "pattern")
+
+
+def _headway_lines(net):
+    return net.events.select("trip", F.floor(F.col("trip") / 3).alias("line")).distinct()
+
+
+_LINES = "e3 AS MATERIALIZED (SELECT trip * 3 + k AS trip, trip AS line, idx, stop, arr + k * 1800 AS arr, dep + k * 1800 AS dep, n FROM ev, (SELECT CAST(range AS BIGINT) AS k FROM range(3)) WHERE trip % 40 = 0)"
+
+
+@_query(
+    f", {_LINES}, ways AS (SELECT src, dst, travel_time FROM edges UNION ALL SELECT stop_id, stop_id, 0 FROM stops), "
+    "f AS (SELECT e.trip AS from_trip, e.idx AS from_idx, e.line AS from_line, w.dst AS to_stop, w.travel_time, e.arr + w.travel_time + s.min_transfer_time AS ready FROM e3 e JOIN ways w ON w.src = e.stop JOIN stops s ON s.stop_id = w.dst WHERE e.idx > 0), "
+    "g AS (SELECT from_trip, from_idx, from_line, b.line, b.idx AS to_idx, travel_time, min({'dep': b.dep, 'trip': b.trip}) AS m FROM f JOIN e3 b ON b.stop = f.to_stop AND b.dep >= f.ready AND b.idx < b.n - 1 WHERE b.line <> from_line OR b.idx <> from_idx GROUP BY ALL), "
+    "h AS (SELECT g.*, m.dep AS dep, m.trip AS to_trip FROM g WHERE m.trip <> from_trip) "
+    "SELECT h.from_trip, h.from_idx, h.to_trip, h.to_idx, h.travel_time FROM h JOIN e3 o ON o.trip = h.from_trip AND o.idx = h.from_idx JOIN e3 p ON p.trip = h.from_trip AND p.idx = h.from_idx - 1 JOIN e3 q ON q.trip = h.to_trip AND q.idx = h.to_idx + 1 JOIN stops s ON s.stop_id = p.stop "
+    "WHERE (h.line <> h.from_line OR h.to_idx < h.from_idx OR h.dep < o.dep) AND NOT (p.stop = q.stop AND p.arr + s.min_transfer_time <= q.dep)"
+)
+def trip_transfers(spark, sf_dir):
+    """The network of the lines whose number 40 divides, three trips each: transfers by the as-of join."""
+    net = derived(spark, sf_dir)
+    net = X.with_headway(net.replace(events=net.events.where("trip % 40 = 0")))
+    return T.event_transfers(net, _headway_lines(net))
+
+
+@_query(f", {_LATE} SELECT d.trip, d.first_idx, d.delay FROM delays d")
+def streamed_delays(spark, sf_dir):
+    """Updates written in four files and followed as a stream; every trip's last one is its delay."""
+    ev = derived(spark, sf_dir).events
+    final = D.scenario(ev)
+    k = F.explode(F.array(*(F.lit(x) for x in range(4)))).alias("k")
+    updates = final.select("*", k).where("k = 3 or pmod(trip + k, 3) = 0")
+    updates = updates.select("trip", "first_idx", F.when(F.col("k") == 3, F.col("delay")).otherwise(F.col("k") * 7).alias("delay"), (F.col("k") * 600).cast("long").alias("reveal_time"))
+    return follow(spark, keep_path(updates.repartition(4, "reveal_time"), "updates"), files=2)
+
+
+@_query("SELECT time_bucket(INTERVAL '1 hour', CAST(ts AS TIMESTAMP)) AS start, count(*) AS events FROM events WHERE ts IS NOT NULL GROUP BY 1", network=False)
+def streamed_event_counts(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = keep_path(table.select(F.col("ts").cast("timestamp").alias("ts")), "events")
+    return counts_by_window(spark, folder, "ts timestamp", "ts", lateness="3650 days")

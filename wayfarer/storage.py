@@ -21,13 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: loops call it every round, so that plans don't grow."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written and read back: loops call it every round, so that plans don't grow and executors may fail."""
+    return keep(df, "round")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Written as a table in the shared folder and read back."""
+def keep_path(df: DataFrame, name: str) -> str:
+    """Writes a table in the shared folder and returns its path."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    return path
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Written as a table in the shared folder and read back."""
+    path = keep_path(df, name)
     return df.sparkSession.read.schema(df.schema).parquet(path)
