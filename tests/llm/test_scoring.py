@@ -79,3 +79,42 @@ def test_empty_and_untrained(spark):
     held = next(i for i in range(100) if K.remainder(i, 7) == 2)
     (r,) = scoring.lm_score(K.documents(spark, [(held, "a b", None, "s")])).collect()
     assert (r["n_known"], r["train_tokens"], r["base_score"]) == (0, 0, 0.0)
+
+
+def backoff(rows):
+    """Scores by dictionaries: 2- and 3-grams of all training words that occur twice."""
+    sents = {i: [*K.words(t), END] for i, t, *_ in rows}
+    train = [s for i, s in sents.items() if K.remainder(i, 7) != 2]
+    c = [Counter(tuple(s[i : i + k]) for s in train for i in range(len(s) - k + 1)) for k in (1, 2, 3)]
+    norm = sum(c[0].values()) + len(c[0]) + 1
+    p, fail = [{}, {}, {}], {}
+    uni = lambda w: (c[0][(w,)] + 1) / norm
+    low = {2: lambda g: uni(g[1]), 3: lambda g: p[1][g[1:]]}
+    for k in (2, 3):
+        kept = {g: n for g, n in c[k - 1].items() if n >= 2}
+        left, lower = Counter(), Counter()
+        for g, n in kept.items():
+            p[k - 1][g] = (n - 0.6) / c[k - 2][g[:-1]]
+            left[g[:-1]] += p[k - 1][g]
+            lower[g[:-1]] += low[k](g)
+        fail |= {h: max(1 - left[h], 1e-9) / max(1 - lower[h], 1e-9) for h in left}
+
+    def prob(g):
+        if len(g) == 1:
+            return uni(g[0])
+        return p[len(g) - 1].get(g) or fail.get(g[:-1], 1.0) * prob(g[1:])
+
+    return {i: sum(math.log10(prob(tuple(s[max(0, k - 2) : k + 1]))) for k in range(len(s))) for i, s in sents.items()}
+
+
+def test_longer_ngrams_of_all_words(spark):
+    """Few broadcast words and n-grams: those of all other words still enter the model."""
+    rng = np.random.default_rng(5)
+    rows = [r for r in K.awkward_rows(12, 90) if r[0] != 8]
+    rows += [(1000 + i, " ".join(f"v{x}" for x in rng.integers(0, 60, 80)), None, "s") for i in range(60)]
+    docs = K.documents(spark, rows).select("doc_id", "text", (common.crc_mod(7) == 2).alias("held_out"))
+    want = backoff(rows)
+    for bounds in ({"heads": 5, "arcs": 5}, {}):
+        model = scoring.BackoffModel(**bounds).fit(docs.where("not held_out"))
+        for r in model.score(docs).collect():
+            assert abs(r["score"] - want[r["doc_id"]]) < 1e-6 * max(1, abs(want[r["doc_id"]])), r

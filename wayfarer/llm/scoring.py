@@ -1,20 +1,24 @@
 """LM scoring with a weighted backoff automaton.
 
 Unigrams: every training word, with add-one smoothing and one share for all
-unknown words.  Longer n-grams (absolute discounting, backoff weights that make
-each history's distribution sum to one) become states with failure arcs: the
-state after a word is the longest history of the model that ends the text so
-far; a word without an arc there follows the failure arc, pays its weight, and
-tries again from the shorter history.
-
-Counts cover every training document.  What is broadcast is bounded: the
-``heads`` most frequent words and ``arcs`` n-grams over the ``core`` most
-frequent of these.  Words beyond the heads are scored by a shuffle join of
-their hashes with the count table, so no word goes without its count.
-
-Failure arcs only shorten a history of two words, so a position's state
-follows from the two words before it: a whole buffer of texts is traversed
-with array operations, all positions at once.
+unknown words.  Longer n-grams of all training words (absolute discounting of
+those that occur twice or more, backoff weights that make each history's
+distribution sum to one) are states with failure arcs: the state after a word
+is the longest history of the model that ends the text so far; a word without
+an arc there follows the failure arc, pays its weight, and tries again from the
+shorter history.
+
+A traversal's cost is a sum over the n-grams of a text: a word pays its unigram
+arc and the failure arc of the history it becomes, a 2-gram or 3-gram of the
+model pays the difference that its arc makes, with the failure arc of the
+history it becomes.  So the model is one table from n-gram hashes to weights,
+counted, discounted and joined in shuffles, and it grows with the corpus.  What
+is broadcast is bounded: the ``heads`` most frequent words, the ``arcs`` most
+frequent longer n-grams, and a filter of fixed size.  Every other word or
+n-gram gets its weight by a shuffle join of hashes.
+
+Hashes of n-grams are rotations and exclusive ors of word hashes, so that SQL
+finds the history and the shorter n-gram of each.
 
 Defined results: null and empty texts are one end token; repeated rows are
 scored one by one; without training documents N = V = 0, every token is
@@ -28,15 +32,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bounds of what is broadcast: words with counts, words that n-grams are made of, n-grams.
-HEADS, CORE, ARCS = 300_000, 1500, 250_000
-#: Tokens whose counts one task gathers before it passes them on.
-BUFFER = 3_000_000
+#: Bounds of what is broadcast: words and longer n-grams.
+HEADS, ARCS = 300_000, 250_000
+#: Tokens, and n-grams, whose counts one task gathers before it passes them on.
+BUFFER, GRAM_BUFFER = 3_000_000, 1_000_000
+#: 64-bit words of the filter of n-grams, as a power of two.
+FILTER = 21
 END = np.uint64(0x0E5D0E5D0E5D0E5D)
 DISCOUNT = 0.6
 
@@ -72,6 +78,56 @@ def _gathered(batches: Iterator[pa.RecordBatch], codes) -> Iterator[pa.RecordBat
         yield _tables(*np.unique(np.concatenate(held), return_counts=True))
 
 
+def _rotated(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def _rotated_column(x: Column, k: int) -> Column:
+    return F.shiftleft(x, k).bitwiseOR(F.shiftrightunsigned(x, 64 - k))
+
+
+def grams(tok: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the 2-grams and the index of each one's last token, and the same of the 3-grams, within rows."""
+    first = np.zeros(len(tok) + 1, bool)
+    first[at] = True
+    pair = _rotated(tok[:-1], 11) ^ _rotated(tok[1:], 32)
+    two = np.flatnonzero(~first[1 : len(tok)])
+    three = np.flatnonzero(~first[1 : len(tok) - 1] & ~first[2 : len(tok)])
+    return pair[two], two + 1, _rotated(pair[three], 26) ^ _rotated(pair[three + 1], 40), three + 2
+
+
+def _gathered_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, a, n): n-grams, their histories, and counts over a buffer at a time; those of 3-grams are negative."""
+    held: tuple[list, list, list, list] = ([], [], [], [])
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for hashes, histories, sign in ((held[0], held[1], 1), (held[2], held[3], -1)):
+            h, at, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
+            a = np.concatenate(histories)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(a.view(np.int64)), pa.array(sign * n.astype(np.int64))], ["h", "a", "n"])
+            hashes.clear()
+            histories.clear()
+
+    for batch in batches:
+        raw, off = C.flatten(batch.column("text"))
+        for i, j in C.steps(off):
+            tok, at = tokens(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+            if len(tok) < 2:
+                continue
+            h2, end2, h3, end3 = grams(tok, at)
+            pair = np.zeros(len(tok), np.uint64)
+            pair[end2] = h2
+            for part, x in zip(held, (h2, tok[end2 - 1], h3, pair[end3 - 1]), strict=True):
+                part.append(x)
+            size += len(h2) + len(h3)
+            if size >= GRAM_BUFFER:
+                yield from out()
+                size = 0
+    if size:
+        yield from out()
+
+
 def _at_least(counts: DataFrame, most: int) -> int:
     """The smallest count that at most ``most`` rows reach, from a histogram over quarter powers of two."""
     bucket = F.floor(F.log2("n") * 4).cast("int")
@@ -93,7 +149,7 @@ def _place(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """The model on an executor: unigram table of the heads, arcs and failure weights of longer histories."""
+    """The same model in one process, with n-grams of ``core`` words only: states, arcs and failure arcs one by one.  Tests check its sums."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, core: np.ndarray, total: int, distinct: int):
         order = np.argsort(words)
@@ -184,37 +240,89 @@ class Automaton:
         return size, np.bincount(row, known, minlength=n).astype(np.int64), *sums, tok[tails], np.searchsorted(tails, at)
 
 
+class Hot:
+    """What every executor holds: weights of the heads and of the most frequent longer n-grams, and the filter."""
+
+    def __init__(self, table: pa.Table, bits: np.ndarray):
+        h = table.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        self.key = h[order]
+        self.base, self.model = (table.column(c).to_numpy()[order] for c in ("base", "model"))
+        self.bits = bits
+
+    def traverse(self, tok: np.ndarray, at: np.ndarray):
+        """Per row: tokens, words and longer n-grams met here: known words, base and model log10; words and n-grams to be looked up, with their offsets."""
+        n, size = len(at) - 1, np.diff(at)
+        row = np.repeat(np.arange(n), size)
+        h2, end2, h3, end3 = grams(tok, at)
+        key, place = np.concatenate([tok, h2, h3]), np.concatenate([row, row[end2], row[end3]])
+        word = np.arange(len(key)) < len(tok)
+        found = _place(key, self.key)
+        met = found >= 0
+        known = np.bincount(row, met[: len(tok)], minlength=n).astype(np.int64)
+        base, model = (np.bincount(place[met], x[found[met]], minlength=n).astype(float) for x in (self.base, self.model))
+        away = ~met & (word | (self.bits[key >> np.uint64(64 - FILTER)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool))
+        key, place = key[away], place[away]
+        order = np.argsort(place, kind="stable")
+        return size, known, base, model, key[order], np.searchsorted(place[order], np.arange(n + 1))
+
+
 class BackoffModel:
-    """fit() counts over all training documents; score() adds up every text."""
+    """fit() counts over all training documents; score() adds up every text.
+
+    ``heads`` and ``arcs`` bound what is broadcast, never the model; ``core`` is no longer used.
+    """
 
-    def __init__(self, heads: int = HEADS, core: int = CORE, arcs: int = ARCS):
-        self.heads, self.core, self.arcs = heads, core, arcs
+    def __init__(self, heads: int = HEADS, core: int | None = None, arcs: int = ARCS):
+        self.heads, self.arcs = heads, arcs
 
     def fit(self, docs: DataFrame) -> BackoffModel:
         text = C.small_batches(docs).select("text")
         found = text.mapInArrow(lambda it: _gathered(it, lambda raw, off: tokens(raw, off)[0]), "h long, n long")
-        self.counts = C.keep(found.groupBy("h").agg(F.sum("n").alias("n")), "counts")
-        row = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+        counts = C.keep(found.groupBy("h").agg(F.sum("n").alias("n")), "counts")
+        row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.total, self.distinct = int(row["n"]), int(row["v"])
-        self.least = _at_least(self.counts, self.heads)
-        # at most ``heads`` rows
-        top = self.counts.where(F.col("n") >= self.least).toArrow()
-        h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
-        core = h[np.lexsort((h, -n))[: self.core]]
-        self.model = Automaton(h, n, core, self.total, self.distinct)
-        shared = docs.sparkSession.sparkContext.broadcast(self.model)
-
-        def codes(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-            m, (tok, at) = shared.value, tokens(raw, off)
-            head = _place(tok, m.words)
-            return m.pairs(np.where(head >= 0, m.core[head] if len(m.core) else -1, -1), at)
-
-        grams = C.cut(text.mapInArrow(lambda it: _gathered(it, codes), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2"))
-        # at most ``arcs`` rows
-        kept = grams.where(F.col("n") >= _at_least(grams, self.arcs)).toArrow()
-        self.model.learn(kept.column("h").to_numpy(), kept.column("n").to_numpy())
+        self.norm = float(self.total + self.distinct + 1)
+        found = text.mapInArrow(_gathered_grams, "h long, a long, n long").groupBy("h", "a").agg(F.sum("n").alias("n"))
+        self.weights = C.keep(self._weighed(counts, C.keep(found.where("abs(n) >= 2"), "grams")), "weights")
+        words, longer = self.weights.where("known = 1"), self.weights.where("known = 0")
+        # at most ``heads`` and ``arcs`` rows
+        hot = words.where(F.col("n") >= _at_least(words, self.heads)).unionByName(longer.where(F.col("n") >= _at_least(longer, self.arcs)))
+        # at most 2 ** FILTER rows
+        bars = longer.groupBy(F.shiftrightunsigned("h", 64 - FILTER).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
+        bits = np.zeros(1 << FILTER, np.uint64)
+        bits[bars.column("i").to_numpy()] = bars.column("b").to_numpy().view(np.uint64)
+        table = hot.select("h", "base", "model").toArrow()
+        self.model = Hot(table, bits)
         return self
 
+    def _weighed(self, counts: DataFrame, found: DataFrame) -> DataFrame:
+        """(h, n, known, base, model): what each word and longer n-gram adds to a text's scores."""
+        log = lambda left, lower: F.log10(F.greatest(left, F.lit(1e-9)) / F.greatest(lower, F.lit(1e-9)))
+        seen = F.col("n") - DISCOUNT
+        uni = counts.select("h", "n", F.log10((F.col("n") + 1) / F.lit(self.norm)).alias("base"))
+        two = found.where("n > 0").withColumn("v", _rotated_column(F.col("h").bitwiseXOR(_rotated_column(F.col("a"), 11)), 32))
+        two = two.join(uni.select(F.col("h").alias("v"), F.col("base").alias("word")), "v").select("h", "a", "n", "word")
+        # failure arcs of one-word histories
+        last = two.groupBy("a").agg(F.sum(seen).alias("s"), F.sum(F.pow(F.lit(10.0), "word")).alias("q"))
+        uni = uni.join(last, uni.h == last.a, "left").withColumn("fail", F.coalesce(log(1 - F.col("s") / F.col("n"), 1 - F.col("q")), F.lit(0.0))).select("h", "n", "base", "fail")
+        uni = C.keep(uni, "words")
+        two = two.join(uni.select(F.col("h").alias("a"), F.col("n").alias("of"), "fail"), "a")
+        two = two.withColumn("arc", F.log10(seen / F.col("of"))).select("h", "n", "arc", (F.col("arc") - F.col("word") - F.col("fail")).alias("more"))
+        two = C.keep(two, "pairs")
+        three = found.where("n < 0").select("h", F.col("a"), (-F.col("n")).alias("n"), _rotated_column(F.col("h").bitwiseXOR(_rotated_column(F.col("a"), 26)), 24).alias("b"))
+        three = three.join(two.select(F.col("h").alias("b"), "arc"), "b").select("h", "a", "n", "arc")
+        # failure arcs of two-word histories
+        last = three.groupBy("a").agg(F.sum(seen).alias("s"), F.sum(F.pow(F.lit(10.0), "arc")).alias("q"))
+        two = two.join(last, two.h == last.a, "left").withColumn("fail", F.coalesce(log(1 - F.col("s") / F.col("n"), 1 - F.col("q")), F.lit(0.0)))
+        three = three.join(two.select(F.col("h").alias("a"), F.col("n").alias("of"), "fail"), "a")
+        none, row = F.lit(0.0), ("h", "n")
+        return (
+            uni.select(*row, F.lit(1).alias("known"), "base", (F.col("base") + F.col("fail")).alias("model"))
+            .unionByName(two.select(*row, F.lit(0).alias("known"), none.alias("base"), (F.col("more") + F.col("fail")).alias("model")))
+            .unionByName(three.select(*row, F.lit(0).alias("known"), none.alias("base"), (F.log10(seen / F.col("of")) - F.col("arc") - F.col("fail")).alias("model")))
+        )
+
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs`` without its text, with n_tokens, n_known, train_tokens, base_score and score."""
         shared = docs.sparkSession.sparkContext.broadcast(self.model)
@@ -225,28 +333,28 @@ class BackoffModel:
             for batch in batches:
                 raw, off = C.flatten(batch.column("text"))
                 for i, j in C.steps(off):
-                    size, known, base, model, tails, tail_at = m.traverse(*tokens(raw[off[i] : off[j]], off[i : j + 1] - off[i]))
+                    size, known, base, model, away, away_at = m.traverse(*tokens(raw[off[i] : off[j]], off[i : j + 1] - off[i]))
                     own = [batch.column(f.name)[i:j] for f in others]
-                    more = [pa.array(np.arange(uid, uid + j - i)), pa.array(size), pa.array(known), pa.array(base), pa.array(model), C.list_array(tails.view(np.int64), tail_at)]
+                    more = [pa.array(np.arange(uid, uid + j - i)), pa.array(size), pa.array(known), pa.array(base), pa.array(model), C.list_array(away.view(np.int64), away_at)]
                     uid += j - i
-                    yield pa.RecordBatch.from_arrays(own + more, [f.name for f in others] + ["_uid", "_size", "_known", "_base", "_model", "_tails"])
+                    yield pa.RecordBatch.from_arrays(own + more, [f.name for f in others] + ["_uid", "_size", "_known", "_base", "_model", "_away"])
 
         from pyspark.sql import types as T
 
-        schema = T.StructType([*others, *(T.StructField(n, t) for n, t in (("_uid", T.LongType()), ("_size", T.LongType()), ("_known", T.LongType()), ("_base", T.DoubleType()), ("_model", T.DoubleType()), ("_tails", T.ArrayType(T.LongType()))))])
+        schema = T.StructType([*others, *(T.StructField(n, t) for n, t in (("_uid", T.LongType()), ("_size", T.LongType()), ("_known", T.LongType()), ("_base", T.DoubleType()), ("_model", T.DoubleType()), ("_away", T.ArrayType(T.LongType()))))])
         part = C.keep(docs.mapInArrow(scan, schema), "traversed")
-        norm = float(self.total + self.distinct + 1)
-        tail = part.select("_uid", F.explode("_tails").alias("h")).join(self.counts.where(F.col("n") < self.least), "h", "left")
-        tail = tail.groupBy("_uid").agg(F.count("n").alias("_more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(norm))).alias("_log"))
-        more = part.drop("_tails").join(tail, "_uid", "left")
-        log = F.coalesce("_log", F.lit(0.0))
+        away = part.select("_uid", F.explode("_away").alias("h")).join(self.weights.select("h", "known", "base", "model"), "h")
+        away = away.groupBy("_uid").agg(F.sum("known").alias("_more"), F.sum("base").alias("_base_more"), F.sum("model").alias("_model_more"))
+        more = part.drop("_away").join(away, "_uid", "left")
+        known = F.col("_known") + F.coalesce("_more", F.lit(0))
+        unknown = (F.col("_size") - known) * F.log10(F.lit(1 / self.norm))
         return more.select(
             *(f.name for f in others),
             F.col("_size").alias("n_tokens"),
-            (F.col("_known") + F.coalesce("_more", F.lit(0))).alias("n_known"),
+            known.alias("n_known"),
             F.lit(self.total).cast("long").alias("train_tokens"),
-            (F.col("_base") + log).alias("base_score"),
-            (F.col("_model") + log).alias("score"),
+            (F.col("_base") + F.coalesce("_base_more", F.lit(0.0)) + unknown).alias("base_score"),
+            (F.col("_model") + F.coalesce("_model_more", F.lit(0.0)) + unknown).alias("score"),
         )
 
 
