@@ -88,3 +88,22 @@ def test_hypergeometric_draws(spark):
     rows = spark.range(2000).selectExpr(mixing._hypergeometric("100D", "30D", "40D", u) + " as x").collect()
     xs = [r["x"] for r in rows]
     assert min(xs) >= 0 and max(xs) <= 30 and abs(sum(xs) / len(xs) - 12) < 0.05
+
+
+def test_long_documents(spark):
+    """Documents of a source's size order: other blocks fill what they would leave."""
+    cases = [K.awkward_rows(4, 400)]
+    for first in (0, 10_000, 20_000):
+        rows = [(first + i, "w " * (20 + i % 21), None, "a") for i in range(2000)] + [(first + 5000 + i, "w " * 30_000, None, "a") for i in range(2)]
+        cases.append(rows + [(first + 6000 + i, "w " * 40, None, "bbc"[i % 3]) for i in range(1500)])
+    for rows in cases:
+        size, source = {i: len(K.words(t)) for i, t, *_ in rows}, {i: s for i, _, _, s in rows}
+        taken, target, sums = Counter(), {}, Counter()
+        for r in mixing.mixture(K.documents(spark, rows)).collect():
+            s, n = source[r["doc_id"]], size[r["doc_id"]]
+            taken[s] += r["taken"]
+            target[s] = r["target"]
+            sums[s] = (bits := sums[s] or 1) | bits << n | bits << 2 * n
+        for s, t in target.items():
+            best = next(d for d in range(200_000) if any(k >= 0 and sums[s] >> k & 1 for k in (round(t) - d, round(t) + d)))
+            assert abs(taken[s] - t) <= best + 1 + 0.01 * t, (s, taken[s], t, best)

@@ -2,8 +2,9 @@
 
 Rows fall into blocks of their source by a hash.  A source's target fixes how
 often each of its blocks is taken: whole rounds over all blocks, then a part
-round over the first blocks of a hashed order, and the rows of one last block
-that bring the words nearest to the target.  These block takes are quotas; the
+round over the blocks of a hashed order, those left out that do not fit any
+more, and rows of the blocks left out that bring the words nearest to the
+target.  These block takes are quotas; the
 tree splits them between the two halves of the output shards, level by level,
 each split a draw from the multivariate hypergeometric distribution (source
 after source, by inverse distribution function at a hashed uniform number).
@@ -120,14 +121,30 @@ def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, s
     placed = placed.withColumn("block", F.pmod("_mix_key", F.col("blocks")))
     blocks = placed.groupBy("rank", "block").agg(F.sum("_mix_size").alias("size"), F.first("left").alias("left"), F.first("rounds").alias("rounds"))
     order = F.xxhash64("rank", "block", F.lit(seed + 1))
-    by_source = Window.partitionBy("rank").orderBy(order, "block")  # at most BLOCKS rows
-    blocks = blocks.withColumn("sum", F.sum("size").over(by_source)).withColumn("part", (F.col("sum") <= F.col("left") + 1e-6).cast("int"))
-    prefix = Window.partitionBy("rank").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = C.cut(blocks.withColumn("last", (F.col("part") == 0) & (F.sum(1 - F.col("part")).over(prefix) == 1)))
-    # rows of the last block: those that fit, in hashed order, but for the last few, which are chosen to end near the target
-    last = blocks.where("last").select("rank", "block", (F.col("left") - (F.col("sum") - F.col("size"))).alias("need"))
-    near = placed.join(last, ["rank", "block"]).where("_mix_size > 0").groupBy("rank", "block", "_mix_key", "doc_id").agg(F.sum("_mix_size").alias("s"), F.first("need").alias("need"))
-    in_block = Window.partitionBy("rank", "block").orderBy("_mix_key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_order = F.array_sort(F.collect_list(F.struct(order.alias("o"), "block", "size")))  # at most BLOCKS items
+    taken = F.expr("aggregate(a, named_struct('g', left + 1e-6, 'out', cast(array() as array<int>)), (s, x) -> if(x.size <= s.g, named_struct('g', s.g - x.size, 'out', concat(s.out, array(cast(x.block as int)))), s))")
+    part = blocks.groupBy("rank").agg(F.first("left").alias("left"), in_order.alias("a")).select("rank", taken.alias("t"))
+    part = C.cut(part.select("rank", "t.out", F.greatest(F.col("t.g") - 1e-6, F.lit(0.0)).alias("need")))
+    blocks = blocks.join(part, "rank").withColumn("part", F.array_contains("out", F.col("block").cast("int")).cast("int")).drop("out")
+    # what is still needed comes from rows of the other blocks: all rows that fit of the richest in them, and some of one last block
+    open_blocks = blocks.where("part = 0").select("rank", "block", "need")
+    rest = placed.select("rank", "block", "_mix_size", "_mix_key", "doc_id").join(open_blocks, ["rank", "block"]).where("_mix_size > 0 and _mix_size <= 2 * need")
+    rest = rest.groupBy("rank", "block", "_mix_key", "doc_id").agg(F.sum("_mix_size").alias("s"), F.first("need").alias("need"))
+    fits = F.col("s") <= F.col("need")
+    mass = rest.groupBy("rank", "block").agg(F.first("need").alias("need"), F.coalesce(F.sum(F.when(fits, F.col("s"))), F.lit(0)).alias("mass"), F.min(F.when(~fits, F.col("s"))).alias("over"))
+    by_mass = Window.partitionBy("rank").orderBy(F.col("mass").desc(), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most BLOCKS rows
+    by_over = Window.partitionBy("rank").orderBy(F.col("over").asc_nulls_last(), "block")
+    source = Window.partitionBy("rank")
+    mass = mass.withColumn("run", F.sum("mass").over(by_mass)).withColumn("enough", F.sum("mass").over(source) >= F.col("need"))
+    mass = mass.withColumn("last", F.when(F.col("enough"), (F.col("run") >= F.col("need")) & (F.col("run") - F.col("mass") < F.col("need"))).otherwise(F.row_number().over(by_over) == 1))
+    mass = mass.withColumn("all", ~F.col("last") & (~F.col("enough") | (F.col("run") < F.col("need")))).where(F.col("last") | F.col("all"))
+    mass = C.cut(mass.withColumn("need", F.col("need") - F.coalesce(F.sum(F.when(F.col("all"), F.col("mass"))).over(source), F.lit(0))).select("rank", "block", "last", "all", "need", "mass"))
+    blocks = C.cut(blocks.drop("need").join(mass.select("rank", "block", F.lit(True).alias("last")), ["rank", "block"], "left").withColumn("last", F.coalesce("last", F.lit(False))))
+    # rows of the last block: those that fit, large ones at the end, but for the last few, which are chosen to end near the target
+    rest = rest.withColumnRenamed("need", "most").join(mass, ["rank", "block"])
+    every = rest.where(F.col("all") & (F.col("s") <= F.col("most"))).select("rank", "block", "_mix_key", "doc_id")
+    near = rest.where("last").select("rank", "block", "_mix_key", "doc_id", "s", "need")
+    in_block = Window.partitionBy("rank", "block").orderBy(F.col("s") * 8 > F.col("need"), "_mix_key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     of_block = Window.partitionBy("rank", "block")
     near = near.withColumn("run", F.sum("s").over(in_block)).withColumn("at", F.count(F.lit(1)).over(in_block))
     near = near.withColumn("p", F.coalesce(F.max(F.when(F.col("run") <= F.col("need"), F.col("at"))).over(of_block), F.lit(0)))
@@ -136,7 +153,7 @@ def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, s
     open_rows = F.struct((-F.col("s")).alias("o"), "_mix_key", "doc_id", "s")
     choice = near.where(~F.col("whole")).groupBy("rank", "block").agg(F.first("need").alias("need"), F.array_sort(F.collect_list(open_rows)).alias("items"))  # CHOICE items at most
     choice = choice.withColumn("best", F.expr(_best_start())).select("rank", "block", F.explode(F.expr(_picks())).alias("x"))
-    chosen = choice.select("rank", "block", "x._mix_key", "x.doc_id").unionByName(near.where("whole").select("rank", "block", "_mix_key", "doc_id"))
+    chosen = choice.select("rank", "block", "x._mix_key", "x.doc_id").unionByName(near.where("whole").select("rank", "block", "_mix_key", "doc_id")).unionByName(every)
     # one entry for every take of a block, in a permuted order of its source
     count = F.col("rounds") + F.col("part") + F.col("last").cast("int")
     takes = blocks.where(count > 0).select("rank", "block", F.explode(F.sequence(F.lit(1), count)).alias("round"), ((F.col("last")) & (F.col("round") == count)).alias("partly"))
