@@ -93,9 +93,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for small intermediate results."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A small intermediate result, written and read back: a reliable checkpoint would run its last stage twice."""
+    return keep(df, "cut")
 
 
 def text_size(docs: DataFrame) -> tuple[int, int]:
@@ -262,15 +261,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         offer = label.join(near, label.id == near.u).select("id", "component", F.least("component", "c").alias("c"))
         hook = offer.groupBy(F.col("component").alias("root")).agg(F.min("c").alias("h"))
         step = cut(offer.join(hook, offer.component == hook.root).select("id", F.least("c", "h").alias("component"), F.col("component").alias("was")))
+        if not step.where("component <> was").limit(1).count():
+            return label
         up = step.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        new = cut(step.join(up, "component", "left").select("id", F.least("component", F.coalesce("top", "component")).alias("component"), "was"))
-        moved = new.where(F.col("component") != F.col("was")).limit(1).count()
-        label = new.select("id", "component")
-        if not moved:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return label
+        label = cut(step.join(up, "component", "left").select("id", F.least("component", F.coalesce("top", "component")).alias("component")))
+    raise RuntimeError("components did not settle")
+
+
+def merged(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components ``label`` (id, component) after ``edges`` (u, v) were added: only what the new edges touch is worked on."""
+    name = label.select(F.col("id").alias("x"), F.col("component").alias("c"))
+    ends = edges
+    for end in ("u", "v"):
+        ends = ends.join(name.withColumnRenamed("x", end), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    lifted = components(ends.where("u <> v"))
+    lone = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct().join(label, "id", "left_anti")
+    rows = label.unionByName(lone.select("id", F.col("id").alias("component")))
+    top = lifted.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    return cut(rows.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component")))
 
 
 def flatten_list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -558,8 +558,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     maps = _of_classes(inside, docs, width, "m", "binary", lambda sets: pa.array([bitmap(s, fine_bits(len(s))) for s in sets], pa.binary()), clashing)
     maps = C.keep(maps.dropDuplicates(["cid"]), "bitmaps")
     compare = Comparison(docs, reps, maps, width, percent, clashing)
-    edges = compare.linked(stars)
-    label = C.components(edges)
+    label = C.components(compare.linked(stars))
     fold = F.arrow_udf(lambda m: pa.array([_folded(np.frombuffer(x, np.uint8), min(len(x), UNIT_BITS // 8)).tobytes() for x in m.to_pylist()], pa.binary()), "binary")
     narrow = maps.select("cid", fold("m").alias("bitmap"))
     no, rest = None, members
@@ -572,8 +571,7 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         if not pairs.limit(1).count():
             break
         links = compare.linked(pairs)
-        edges = C.cut(edges.unionByName(links))
-        label = C.components(edges)
+        label = C.merged(label, links)
         more = trees.where("key is not null").select("key").distinct()
         if not more.limit(1).count():
             break
