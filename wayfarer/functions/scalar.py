@@ -102,6 +102,18 @@ def vehicle_name(kind: Column) -> Column:
     return F.coalesce(F.get(F.array(*map(F.lit, VEHICLES)), kind.cast("int")), F.lit("Undefined"))
 
 
+#: Fixed values: (min longitude, min latitude, max longitude, max latitude) of boxes with a name.
+BOXES = {
+    "germany": (5.730, 47.160, 15.130, 55.070),
+    "deutschland": (5.730, 47.160, 15.130, 55.070),
+    "switzerland": (5.826, 45.487, 10.819, 48.142),
+    "bern": (7.307, 46.868, 7.563, 47.085),
+    "london": (-0.612, 51.233, 0.715, 51.707),
+}
+
+Box = tuple[Column, Column, Column, Column]
+
+
 def in_box(x: Column, y: Column, box: tuple[float, float, float, float]) -> Column:
     """Inside (min x, min y, max x, max y), edges included."""
     return x.between(box[0], box[2]) & y.between(box[1], box[3])
@@ -109,3 +121,31 @@ def in_box(x: Column, y: Column, box: tuple[float, float, float, float]) -> Colu
 
 def boxes_intersect(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:
     return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
+
+
+def box_union(a: Box, b: Box) -> Box:
+    """The least box around both."""
+    return F.least(a[0], b[0]), F.least(a[1], b[1]), F.greatest(a[2], b[2]), F.greatest(a[3], b[3])
+
+
+def box_intersection(a: Box, b: Box) -> Box:
+    """What both cover; all null where they don't meet."""
+    both = F.greatest(a[0], b[0]), F.greatest(a[1], b[1]), F.least(a[2], b[2]), F.least(a[3], b[3])
+    return tuple(F.when(boxes_intersect(a, b), c) for c in both)
+
+
+def box_around(box: Box, x: Column, y: Column) -> Box:
+    """The box, extended to hold a point."""
+    return box_union(box, (x, y, x, y))
+
+
+def format_milliseconds(ms: Column) -> Column:
+    """Minutes, seconds and milliseconds, without leading parts that are zero."""
+    m, s, rest = F.floor(ms / 60_000), F.floor(ms / 1000) % 60, ms % 1000
+    text = lambda x, unit: F.concat(x.cast("string"), F.lit(unit))
+    parts = F.array(F.when(m > 0, text(m, "m")), F.when((m > 0) | (s > 0), text(s, "s")), text(rest, "ms"))
+    return F.concat_ws(" ", F.filter(parts, lambda x: x.isNotNull()))
+
+
+def percent(share: Column, digits: int = 2) -> Column:
+    return F.concat(F.format_number(share * 100, digits), F.lit("%"))

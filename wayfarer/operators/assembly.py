@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -72,25 +74,27 @@ def from_feed(feed: dict[str, DataFrame], first: int, last: int, ignore_days: bo
 def fifo_lines(events: DataFrame) -> DataFrame:
     """(trip, line): trips of one stop sequence in lines whose trips never overtake, by first fit in order of departures.
 
-    A task sees the trips of one stop sequence; a line is named by its first trip.
+    Trips stream through sorted by their stops and departures; a task holds the last times of one sequence's open lines only.  A line is named by its first trip.
     """
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        times = [np.concatenate([d, a]) for a, d in zip(rows["arrs"], rows["deps"], strict=True)]
-        order = sorted(range(len(rows)), key=lambda i: (*rows["deps"].iloc[i], *(-rows["arrs"].iloc[i]), rows["trip"].iloc[i]))
-        last: list[np.ndarray] = []
-        names: list[int] = []
-        out = np.zeros(len(rows), np.int64)
-        for i in order:
-            line = next((k for k, t in enumerate(last) if (t <= times[i]).all()), len(last))
-            if line == len(last):
-                last.append(times[i])
-                names.append(rows["trip"].iloc[i])
-            last[line] = times[i]
-            out[i] = names[line]
-        return pd.DataFrame({"trip": rows["trip"], "line": out})
-
-    return sequences(events).groupBy("stops").applyInPandas(lambda rows: fit(rows), "trip long, line long")
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stops, last, names = None, [], []
+        for rows in frames:
+            out = np.zeros(len(rows), np.int64)
+            for i, (trip, here, arrs, deps) in enumerate(zip(rows["trip"], rows["stops"], rows["arrs"], rows["deps"], strict=True)):
+                if stops is None or not np.array_equal(here, stops):
+                    stops, last, names = here, [], []
+                times = np.concatenate([arrs, deps])
+                line = next((k for k, t in enumerate(last) if (t <= times).all()), len(last))
+                if line == len(last):
+                    last.append(times)
+                    names.append(trip)
+                last[line] = times
+                out[i] = names[line]
+            yield pd.DataFrame({"trip": rows["trip"], "line": out})
+
+    order = ["stops", "deps", F.transform("arrs", lambda x: -x), "trip"]
+    return sequences(events).repartition("stops").sortWithinPartitions(*order).mapInPandas(fit, "trip long, line long")
 
 
 def overtaking(events: DataFrame, lines: DataFrame) -> DataFrame:

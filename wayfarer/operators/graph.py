@@ -70,16 +70,32 @@ def distances(edges: DataFrame, sources: DataFrame, limit: int | None = None) ->
 
 
 def closure(edges: DataFrame, limit: int | None = None) -> DataFrame:
-    """Transitively closed: an edge for every shortest path (up to ``limit``)."""
-    found = distances(edges, edges.select(F.col("src").alias("source")).distinct(), limit)
-    return found.where("source <> vertex").select(F.col("source").alias("src"), F.col("vertex").alias("dst"), F.col("distance").alias("travel_time"))
+    """Transitively closed: an edge for every shortest path (up to ``limit``).
+
+    Paths double in length each round: those that the last round improved are joined to all before and behind them.
+    """
+    best = cut(least_edges(edges.where("src <> dst")))
+    if limit is not None:
+        best = best.where(F.col("travel_time") <= limit)
+    new = best
+    while True:
+        ahead = lambda x, y: x.select("src", F.col("dst").alias("m"), F.col("travel_time").alias("s")).join(y.select(F.col("src").alias("m"), "dst", F.col("travel_time").alias("t")), "m").select("src", "dst", (F.col("s") + F.col("t")).alias("travel_time"))
+        step = ahead(new, best).unionByName(ahead(best, new)).where("src <> dst")
+        if limit is not None:
+            step = step.where(F.col("travel_time") <= limit)
+        old = best.select("src", "dst", F.col("travel_time").alias("old"))
+        new = cut(least_edges(step).join(old, ["src", "dst"], "left").where("old is null or travel_time < old").drop("old"))
+        if not new.limit(1).count():
+            return best
+        best = cut(least_edges(best.unionByName(new)))
 
 
 def one_hop_transfers(edges: DataFrame, stops: DataFrame, limit: int) -> DataFrame:
     """Direct transfers between stops (stop_id) for every shortest path of ``limit`` at most, the faster direction for both."""
-    ids = stops.select(F.col("stop_id").alias("source"))
-    found = distances(edges, ids, limit).join(ids.withColumnRenamed("source", "vertex"), "vertex", "left_semi")
-    return symmetric(found.where("source <> vertex").select(F.col("source").alias("src"), F.col("vertex").alias("dst"), F.col("distance").alias("travel_time")))
+    found = closure(edges, limit)
+    for end in ("src", "dst"):
+        found = found.join(stops.select(F.col("stop_id").alias(end)), end, "left_semi")
+    return symmetric(found.select("src", "dst", "travel_time"))
 
 
 def reach(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -165,26 +181,110 @@ def reduce_graph(edges: DataFrame, stops: DataFrame) -> DataFrame:
         edges = cut(least_edges(rest.unionByName(through)))
 
 
+def isolate_degree_one(edges: DataFrame, keep: DataFrame) -> DataFrame:
+    """Without vertices, other than those of ``keep`` (id), that a single neighbour touches, until none is left."""
+    edges = cut(edges.where("src <> dst"))
+    while True:
+        ends = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        one = cut(ends.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k")).where("k = 1").join(keep.select("id"), "id", "left_anti").select("id"))
+        if not one.limit(1).count():
+            return edges
+        for end in ("src", "dst"):
+            edges = edges.join(one.withColumnRenamed("id", end), end, "left_anti")
+        edges = cut(edges)
+
+
+def min_change_time_graph(edges: DataFrame, stops: DataFrame) -> DataFrame:
+    """Transfers that a walk away from a stop and back within its minimum transfer time can't replace.
+
+    From every stop, paths go on as long as they take half its wait at most.  Vertices they end at that are stops or lie
+    beyond, and that the stop has no edge to which is as short, get an edge both ways.
+    """
+    half = stops.select(F.col("stop_id").alias("source"), F.floor(F.col("min_transfer_time") / 2).cast("long").alias("range"))
+    most = half.agg(F.max("range")).first()[0] or 0
+    near = distances(edges, half.select("source"), int(most)).join(half, "source").where("distance <= range")
+    least = least_edges(edges.where("src <> dst"))
+    beyond = near.join(least, near.vertex == least.src).select("source", F.col("dst").alias("vertex"), (F.col("distance") + F.col("travel_time")).alias("distance"))
+    best = near.select("source", "vertex", "distance").unionByName(beyond).groupBy("source", "vertex").agg(F.min("distance").alias("distance")).where("source <> vertex")
+    direct = least.select(F.col("src").alias("source"), F.col("dst").alias("vertex"), F.col("travel_time").alias("straight"))
+    rows = best.join(direct, ["source", "vertex"], "left").where("straight is null or straight > distance").join(half, "source")
+    at_stop = stops.select(F.col("stop_id").alias("vertex"), F.lit(True).alias("at_stop"))
+    rows = rows.join(at_stop, "vertex", "left").where("distance > range or at_stop")
+    return symmetric(rows.select(F.col("source").alias("src"), F.col("vertex").alias("dst"), F.col("distance").alias("travel_time")))
+
+
+def balls(edges: DataFrame, centers: DataFrame, size: int, start: int = 300) -> DataFrame:
+    """(center, vertex, distance): the ``size`` nearest vertices of each center (id), itself among them; of equally near ones the smallest ids.
+
+    The range doubles for centers that haven't found enough and still find more.
+    """
+    left, out, limit = cut(centers.select(F.col("id").alias("source"))), None, start
+    longest = edges.agg(F.max("travel_time")).first()[0] or 0
+    before = None
+    while left.limit(1).count():
+        found = cut(distances(edges, left, limit))
+        many = found.groupBy("source").agg(F.count(F.lit(1)).alias("k"))
+        done = many.where(F.col("k") >= size).select("source")
+        if before is not None:  # the range grew by more than any edge: who found nothing new has found all
+            done = done.union(many.join(before, ["source", "k"], "left_semi").select("source")).distinct()
+        done = cut(done)
+        order = Window.partitionBy("source").orderBy("distance", "vertex")
+        part = found.join(done, "source", "left_semi").withColumn("n", F.row_number().over(order)).where(F.col("n") <= size)
+        part = part.select(F.col("source").alias("center"), "vertex", "distance")
+        out = part if out is None else out.unionByName(part)
+        left = cut(left.join(done, "source", "left_anti"))
+        before, limit = cut(many), limit * 2 + longest
+    return out if out is not None else centers.select(F.col("id").alias("center"), F.col("id").alias("vertex"), F.lit(0).cast("long").alias("distance"))
+
+
+def least_mode_edges(modes: dict[str, DataFrame]) -> DataFrame:
+    """The fastest mode's time of each pair of vertices: a lower bound for searches over several modes."""
+    out = None
+    for edges in modes.values():
+        out = edges.select("src", "dst", "travel_time") if out is None else out.unionByName(edges.select("src", "dst", "travel_time"))
+    return least_edges(out)
+
+
+def merge_shortcuts(old: DataFrame, new: DataFrame, most: int = 2**30) -> DataFrame:
+    """Old shortcuts (src, dst, travel_time, min_delay, max_delay) and new ones (src, dst, travel_time): those that are new, or found again, count for every delay."""
+    n = new.select("src", "dst", F.col("travel_time").alias("_t"))
+    both = old.join(n, ["src", "dst"], "full_outer")
+    again = F.col("_t").isNotNull()
+    return both.select("src", "dst", F.coalesce("travel_time", "_t").alias("travel_time"), F.when(again, 0).otherwise(F.col("min_delay")).cast("long").alias("min_delay"), F.when(again, most).otherwise(F.col("max_delay")).cast("long").alias("max_delay"))
+
+
+def wrong_shortcuts(shortcuts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Shortcuts (src, dst, travel_time) that aren't shortest paths of ``edges``, beside the distance, null where there is no path."""
+    found = distances(edges, shortcuts.select(F.col("src").alias("source")).distinct())
+    found = found.select(F.col("source").alias("src"), F.col("vertex").alias("dst"), "distance")
+    return shortcuts.join(found, ["src", "dst"], "left").where("distance is null or distance <> travel_time").select("src", "dst", "travel_time", "distance")
+
+
 # -- places ---------------------------------------------------------------
 
 
 def _cells(points: DataFrame, degrees: float, spread: bool) -> DataFrame:
-    """Points with their grid cell, or with the nine around it."""
-    x, y = F.floor(F.col("lon") / degrees), F.floor(F.col("lat") / degrees)
-    if not spread:
-        return points.withColumn("_x", x).withColumn("_y", y)
-    near = F.array(*(F.struct((x + i).alias("x"), (y + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    return points.withColumn("_c", F.explode(near)).select(*points.columns, F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y"))
+    """Points with their grid cell, or with the cells around it.  A cell's width in longitude follows from its row's latitude, and columns meet again at 180 degrees."""
+    row = F.floor(F.col("lat") / degrees)
+    near = F.array(*(row + j for j in (-1, 0, 1))) if spread else F.array(row)
+    rows = points.withColumn("_y", F.explode(near))
+    # the row's greatest latitude decides how wide its cells are, so that a neighbour is one column away at most
+    edge = F.least(F.greatest(F.abs(F.col("_y")), F.abs(F.col("_y") + 1), F.abs(F.col("_y") + 2), F.abs(F.col("_y") - 1)) * degrees, F.lit(89.9))
+    columns = F.greatest(F.floor(F.cos(F.radians(edge)) * (360 / degrees)), F.lit(1))
+    x = F.floor((F.col("lon") + 180) / 360 * columns)
+    beside = F.array_distinct(F.transform(F.array(*(F.lit(i) for i in (-1, 0, 1))), lambda i: F.pmod(x + i, columns))) if spread else F.array(F.pmod(x, columns))
+    return rows.withColumn("_x", F.explode(beside))
 
 
 def within_range(points: DataFrame, others: DataFrame, cm: float) -> DataFrame:
-    """Pairs (id, other, distance) at most ``cm`` apart; both tables (id, lat, lon), within 60 degrees of the equator.
+    """Pairs (id, other, distance) at most ``cm`` apart; both tables (id, lat, lon).
 
     An equality join on cells at least as wide as the range, then the exact distance.
     """
-    degrees = max(cm / 100 / 55_000.0, 1e-6)
-    a = _cells(points, degrees, True)
-    b = _cells(others.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "lat", "lon"), degrees, False).drop("lat", "lon")
+    degrees = min(max(cm / 100 / 55_000.0, 1e-6), 180.0)
+    a = _cells(points.select("id", "lat", "lon"), degrees, True)
+    b = _cells(others.select(F.col("id").alias("other"), "lat", "lon"), degrees, False)
+    b = b.select("other", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "_x", "_y")
     both = a.join(b, ["_x", "_y"]).withColumn("distance", geo_distance_cm(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
     return both.where(F.col("distance") <= cm).select("id", "other", "distance")
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo_distance_cm
 from ..plans.network import Network
 from .transforms import connections, sequences
 
@@ -125,3 +126,25 @@ def two_smallest(rows: DataFrame, keys: Sequence[str], column: str) -> DataFrame
     order = Window.partitionBy(*keys).orderBy(column)
     ranked = rows.withColumn("_k", F.row_number().over(order)).where("_k <= 2")
     return ranked.groupBy(*keys).agg(F.min(column).alias("smallest"), F.max(F.when(F.col("_k") == 2, F.col(column))).alias("second"))
+
+
+def route_extremes(net: Network, places: DataFrame) -> DataFrame:
+    """Per stop with a later halt: the greatest distance in kilometres, speed, and distance times speed, to a later halt of a trip through it.  ``places``: (id, lat, lon)."""
+    at = places.select(F.col("id").alias("stop"), "lat", "lon")
+    here = net.events.join(at, "stop").select("trip", "stop", F.col("idx").alias("i"), "dep", "lat", "lon")
+    there = net.events.join(at, "stop").select("trip", F.col("idx").alias("j"), "arr", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    rows = here.join(there, "trip").where("i < j")
+    km = geo_distance_cm(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) / 100_000.0
+    rows = rows.withColumn("km", km).withColumn("speed", F.col("km") / (F.col("arr") - F.col("dep")))
+    return rows.groupBy("stop").agg(F.max("km").alias("distance"), F.max("speed").alias("speed"), F.max(F.col("km") * F.col("speed")).alias("speed_distance"))
+
+
+def feasibility(transfers: DataFrame) -> DataFrame:
+    """One row about transfers with ``holds`` and ``slack``: how many, how many fail, the mean and worst slack of these."""
+    bad = F.when(~F.col("holds"), F.col("slack"))
+    return transfers.agg(F.count(F.lit(1)).alias("transfers"), F.count(bad).alias("failing"), F.avg(bad).alias("mean_slack"), F.min(bad).alias("worst_slack"))
+
+
+def update_statistics(updates: DataFrame) -> DataFrame:
+    """Per reveal time: updates, trips, mean and greatest delay."""
+    return updates.groupBy("reveal_time").agg(F.count(F.lit(1)).alias("updates"), F.count_distinct("trip").alias("trips"), F.avg("delay").alias("mean_delay"), F.max("delay").alias("greatest_delay"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import in_box
 from ..plans.network import Network
+from ..storage import cut
 
 
 def sequences(events: DataFrame) -> DataFrame:
@@ -158,3 +160,71 @@ def events_from_connections(conns: DataFrame) -> DataFrame:
     heads = rows.select("trip", F.col("k").alias("idx"), F.col("dep_stop").alias("stop"), F.coalesce("before", "dep").alias("arr"), "dep", (F.col("m") + 1).alias("n"))
     tails = rows.where("k = m - 1").select("trip", (F.col("k") + 1).alias("idx"), F.col("arr_stop").alias("stop"), "arr", F.col("arr").alias("dep"), (F.col("m") + 1).alias("n"))
     return heads.unionByName(tails).select("trip", F.col("idx").cast("long").alias("idx"), "stop", "arr", "dep", F.col("n").cast("long").alias("n"))
+
+
+def bounding_box(points: DataFrame) -> DataFrame:
+    """One row: the least box around points (lat, lon)."""
+    return points.agg(F.min("lon").alias("min_lon"), F.min("lat").alias("min_lat"), F.max("lon").alias("max_lon"), F.max("lat").alias("max_lat"))
+
+
+def clip_to_box(net: Network, places: DataFrame, box: tuple[float, float, float, float]) -> Network:
+    """Only stops whose place (id, lat, lon) lies in the box, then whatever still is a valid network."""
+    inside = places.where(in_box(F.col("lon"), F.col("lat"), box)).select(F.col("id").alias("stop_id"))
+    return validate(clip(net, inside))
+
+
+def clip_graph(edges: DataFrame, places: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Only edges between vertices (id, lat, lon) in the box."""
+    inside = places.where(in_box(F.col("lon"), F.col("lat"), box)).select("id")
+    for end in ("src", "dst"):
+        edges = edges.join(inside.withColumnRenamed("id", end), end, "left_semi")
+    return edges
+
+
+def network_from_connections(conns: DataFrame, edges: DataFrame, waits: DataFrame) -> Network:
+    """A network of connections: stops are where these begin or end, with their wait (stop_id, name, min_transfer_time)."""
+    ends = conns.select(F.col("dep_stop").alias("stop_id")).union(conns.select("arr_stop")).distinct()
+    return Network(waits.join(ends, "stop_id", "left_semi"), events_from_connections(conns), edges)
+
+
+def keep_component(net: Network, ids: DataFrame) -> Network:
+    """The network on a component's vertices (id) alone; the same ids give a second network its twin."""
+    return clip(net, ids.select(F.col("id").alias("stop_id")))
+
+
+def ranked(rows: DataFrame, order: list) -> DataFrame:
+    """``rows`` with ``place``, from 0 in a total order: ranges are sorted apart, and only their sizes meet."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    placed = dealt.withColumn("_i", inner).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return placed.withColumn("place", (F.col("_i") + F.col("_before")).cast("long")).drop("_part", "_i", "_before")
+
+
+#: Orders of connections; each ends in all columns, so that it is total.
+CONNECTION_ORDERS = {
+    "ascending": ("dep", "arr", "dep_stop", "arr_stop", "trip"),
+    "descending": ("-dep", "-arr", "-dep_stop", "-arr_stop", "-trip"),
+    "by_departure": ("dep_stop", "dep", "arr", "arr_stop", "trip"),
+    "by_arrival": ("arr_stop", "arr", "dep", "dep_stop", "trip"),
+    "arrivals_first": ("arr", "dep", "arr_stop", "dep_stop", "trip"),
+}
+
+
+def sorted_connections(conns: DataFrame, order: str) -> DataFrame:
+    """Connections with their place in one of ``CONNECTION_ORDERS``."""
+    return ranked(conns, [F.col(c.lstrip("-")).desc() if c[0] == "-" else F.col(c) for c in CONNECTION_ORDERS[order]])
+
+
+def combinable(pairs: DataFrame, net: Network) -> DataFrame:
+    """Pairs of connections (arr_stop, arr, trip; next_stop, next_dep, next_trip) with whether the second can follow the first.
+
+    On the same trip always; at the same stop after its wait; between stops by their transfer; never before the arrival.
+    """
+    wait = net.stops.select(F.col("stop_id").alias("arr_stop"), F.col("min_transfer_time").alias("_wait"))
+    way = net.edges.groupBy(F.col("src").alias("arr_stop"), F.col("dst").alias("next_stop")).agg(F.min("travel_time").alias("_walk"))
+    rows = pairs.join(wait, "arr_stop", "left").join(way, ["arr_stop", "next_stop"], "left")
+    need = F.when(F.col("arr_stop") == F.col("next_stop"), F.col("_wait")).otherwise(F.col("_walk"))
+    fits = (F.col("arr") <= F.col("next_dep")) & ((F.col("trip") == F.col("next_trip")) | F.coalesce(F.col("arr") + need <= F.col("next_dep"), F.lit(False)))
+    return rows.withColumn("combinable", fits).drop("_wait", "_walk")

@@ -25,10 +25,12 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, rig
     return rows.select("_left.*", *(F.col(f"_right.{c}").alias(c) for c in take))
 
 
-def event_transfers(net: Network, lines: DataFrame) -> DataFrame:
+def event_transfers(net: Network, lines: DataFrame, max_wait: int | None = None) -> DataFrame:
     """(from_trip, from_idx, to_trip, to_idx, travel_time): from every halt the first trip of each line and halt it can reach.
 
     ``lines``: (trip, line) without overtaking.  Neither transfers to the same line that win nothing nor U-turns are kept.
+    ``max_wait``: seconds that one may wait for the trip after walking and the stop's wait; stops then meet in slots of
+    time, so that a hub's halts don't all meet all its lines.
     """
     ev = net.events.join(lines, "trip")
     wait = net.stops.select("stop_id", "min_transfer_time")
@@ -37,9 +39,17 @@ def event_transfers(net: Network, lines: DataFrame) -> DataFrame:
     ready = halts.join(ways, halts.stop == ways.src).join(wait, F.col("dst") == F.col("stop_id"))
     ready = ready.select("from_trip", "from_idx", "from_line", F.col("dst").alias("to_stop"), "travel_time", (F.col("arr") + F.col("travel_time") + F.col("min_transfer_time")).alias("ready"))
     board = ev.where("idx < n - 1").select("line", F.col("stop").alias("to_stop"), F.col("idx").alias("to_idx"), "dep", F.col("trip").alias("to_trip"))
-    places = board.select("line", "to_stop", "to_idx").distinct()
-    wanted = ready.join(places, "to_stop").where("line <> from_line or to_idx <> from_idx")
-    found = as_of(wanted, board, ["line", "to_stop", "to_idx"], "ready", "dep", ["dep", "to_trip"]).where("to_trip is not null and to_trip <> from_trip")
+    if max_wait is None:
+        places = board.select("line", "to_stop", "to_idx").distinct()
+        wanted = ready.join(places, "to_stop").where("line <> from_line or to_idx <> from_idx")
+        found = as_of(wanted, board, ["line", "to_stop", "to_idx"], "ready", "dep", ["dep", "to_trip"]).where("to_trip is not null and to_trip <> from_trip")
+    else:
+        slot = lambda c: F.floor(F.col(c) / max(max_wait, 1))
+        near = ready.withColumn("slot", F.explode(F.array(slot("ready"), slot("ready") + 1)))
+        met = near.join(board.withColumn("slot", slot("dep")), ["to_stop", "slot"])
+        met = met.where((F.col("dep") >= F.col("ready")) & (F.col("dep") <= F.col("ready") + max_wait)).where("line <> from_line or to_idx <> from_idx")
+        first = met.groupBy("from_trip", "from_idx", "from_line", "line", "to_stop", "to_idx", "travel_time").agg(F.min(F.struct("dep", "to_trip")).alias("m"))
+        found = first.select("from_trip", "from_idx", "from_line", "line", "to_idx", "travel_time", "m.*").where("to_trip <> from_trip")
     # the line's own trips: only an earlier one is worth a change
     own = ev.select(F.col("trip").alias("from_trip"), F.col("idx").alias("from_idx"), F.col("dep").alias("own_dep"))
     found = found.join(own, ["from_trip", "from_idx"]).where("line <> from_line or to_idx < from_idx or dep < own_dep")
@@ -55,3 +65,42 @@ def feasible(transfers: DataFrame, net: Network) -> DataFrame:
     a = net.events.select(F.col("trip").alias("from_trip"), F.col("idx").alias("from_idx"), "arr")
     b = net.events.select(F.col("trip").alias("to_trip"), F.col("idx").alias("to_idx"), "dep")
     return transfers.join(a, ["from_trip", "from_idx"]).join(b, ["to_trip", "to_idx"]).where("arr + travel_time <= dep").select(*transfers.columns)
+
+
+def reduce_transfers(transfers: DataFrame, net: Network) -> DataFrame:
+    """Only transfers that lead somewhere sooner than their trip does by staying seated, or by what stands before them.
+
+    A trip's halts count from the last to the first, a halt's transfers in order of the arrival they lead to.  Each
+    offers arrivals at all later halts of its goal, and at what one transfer reaches from there; it is kept if one of these
+    is earlier than all that stands before it.
+    """
+    ev, order = net.events, ["from_trip", "from_idx", "to_trip", "to_idx"]
+    walks = net.edges.select("src", "dst", "travel_time").unionByName(net.stops.select(F.col("stop_id").alias("src"), F.col("stop_id").alias("dst"), F.lit(0).cast("long").alias("travel_time")))
+    walk = walks.select("src", F.col("dst").alias("place"), F.col("travel_time").alias("walk"))
+    stay = ev.where("idx > 0").join(walk, ev.stop == walk.src)
+    # (from_trip, place, arrival, halt, rank ...): staying comes first at every halt
+    nothing = F.lit(-1).cast("long")
+    stay = stay.select(F.col("trip").alias("from_trip"), "place", (F.col("arr") + F.col("walk")).alias("arrival"), F.col("idx").alias("from_idx"), nothing.alias("reach"), nothing.alias("to_trip"), nothing.alias("to_idx"))
+    at = ev.select(F.col("trip").alias("to_trip"), F.col("idx").alias("to_idx"), F.col("arr").alias("reach"))
+    later = ev.select(F.col("trip").alias("to_trip"), F.col("idx").alias("_j"), F.col("stop").alias("_s"), F.col("arr").alias("_a"))
+    rides = transfers.select(*order).join(at, ["to_trip", "to_idx"]).join(later, "to_trip").where("_j > to_idx").join(walk, F.col("_s") == F.col("src"))
+    rides = rides.select("from_trip", "place", (F.col("_a") + F.col("walk")).alias("arrival"), "from_idx", "reach", "to_trip", "to_idx")
+    # staying has -1 for a goal and an arrival there, and so stands first
+    rank = ["reach", "to_trip", "to_idx"]
+    offers = stay.unionByName(rides).groupBy("from_trip", "place", "from_idx", *rank).agg(F.min("arrival").alias("arrival"))
+    before = Window.partitionBy("from_trip", "place").orderBy(F.desc("from_idx"), *rank).rowsBetween(Window.unboundedPreceding, -1)
+    better = offers.withColumn("least", F.min("arrival").over(before)).where("to_trip >= 0 and (least is null or arrival < least)")
+    return transfers.join(better.select(*order).distinct(), order, "left_semi")
+
+
+def reached_index(boarded: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, trip, reached): the least halt that the trip or an earlier one of its line was boarded at (trip, idx); null before the first."""
+    order = Window.partitionBy("line").orderBy("dep", "trip")
+    rows = lines.join(boarded.groupBy("trip").agg(F.min("idx").alias("idx")), "trip", "left")
+    return rows.select("line", "trip", F.min("idx").over(order).alias("reached"))
+
+
+def sweep_groups(events: DataFrame, keys: Sequence[str], time: str, candidate: str) -> DataFrame:
+    """Events with ``sweep``: how many candidate departures (boolean column) of the key are not before them, which is the run of a backward sweep that sees them."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(time)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.withColumn("sweep", F.sum(F.col(candidate).cast("long")).over(order))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import functions as S
@@ -12,35 +10,20 @@ from ..operators import delays as D
 from ..operators import graph as G
 from ..operators import statistics as A
 from ..operators import transforms as X
-from ..operators import triptransfers as T
 from ..operators.assembly import fifo_lines as fifo
 from ..operators.skyline import skyline
 from ..storage import keep_path
 from ..streaming.delays import counts_by_window, follow
 from . import journeys as J
 from . import multicriteria as M
-from .network import derived, network_ctes
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .network import derived
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401  as this module's own
+from .registry import query as _query
 
-#: Queries of a batch, and the rounds that the oracle's unrolled SQL has; the last improves nothing at the oracle's size.
+#: Queries of a batch, and the rounds that the oracle's unrolled SQL has.  Spark's rounds go on until none improves anything.
 BATCH, ROUNDS = 6, 7
 
 
-def _query(sql: str | None = None, network: bool = True):
-    """Registers a query by its function's name, with SQL over the network's CTEs."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = f"WITH {network_ctes()} {sql}" if network else sql
-        return f
-
-    return add
-
-
 # -- network and transforms -----------------------------------------------
 
 
@@ -77,8 +60,8 @@ _SEQ = "seq AS (SELECT trip, list(stop ORDER BY idx) AS stops, list(arr ORDER BY
 
 @_query(
     f", ev2 AS (SELECT trip * 2 + k AS trip, idx, stop, arr - CASE WHEN k = 1 AND idx > 0 THEN 60 ELSE 0 END AS arr, dep, n FROM ev, (SELECT CAST(range AS BIGINT) AS k FROM range(2))), {_SEQ.format(ev='ev2')}, "
-    "f AS (SELECT trip, arrs, deps, lead(arrs) OVER w AS a2, lead(deps) OVER w AS d2 FROM seq WINDOW w AS (PARTITION BY stops ORDER BY deps, list_transform(arrs, x -> -x), trip)), "
-    "bad AS (SELECT trip FROM f WHERE a2 IS NOT NULL AND len(list_filter(list_zip(arrs, a2), x -> x[2] > x[1])) = 0 AND len(list_filter(list_zip(deps, d2), x -> x[2] < x[1])) = 0) "
+    "f AS (SELECT trip, arrs, deps, lead(arrs) OVER w AS a2, lead(deps) OVER w AS d2 FROM seq WINDOW w AS (PARTITION BY stops ORDER BY deps, list_transform(arrs, lambda x: -x), trip)), "
+    "bad AS (SELECT trip FROM f WHERE a2 IS NOT NULL AND len(list_filter(list_zip(arrs, a2), lambda x: x[2] > x[1])) = 0 AND len(list_filter(list_zip(deps, d2), lambda x: x[2] < x[1])) = 0) "
     "SELECT trip, idx, stop, arr, dep, n FROM ev2 WHERE trip NOT IN (SELECT trip FROM bad)"
 )
 def dominated_trips_dropped(spark, sf_dir):
@@ -176,40 +159,46 @@ def reverse_edges(spark, sf_dir):
     return G.with_reverse(derived(spark, sf_dir).edges)
 
 
-@_query("SELECT src, dst, min(travel_time) AS travel_time FROM (SELECT * FROM edges WHERE src < dst UNION ALL SELECT dst, src, travel_time FROM edges WHERE src < dst) GROUP BY ALL")
-def symmetric_edges(spark, sf_dir):
-    return G.symmetric(derived(spark, sf_dir).edges.where("src < dst"))
-
-
-#: Chains of four neighbours, one direction and the other.
-_CHAIN = "chain AS (SELECT * FROM edges WHERE abs(src - dst) = 1)"
-_WALK = "walk AS (SELECT src AS source, src AS vertex, CAST(0 AS BIGINT) AS distance FROM (SELECT DISTINCT src FROM chain) UNION SELECT w.source, c.dst, w.distance + c.travel_time FROM walk w JOIN chain c ON c.src = w.vertex WHERE w.distance + c.travel_time <= 6000)"
+#: Transfers and a road that passes all stops, with gaps backwards after each twelve and both ways after each 24.
+ROADS = (
+    "roads AS MATERIALIZED (SELECT src, dst, min(travel_time) AS travel_time FROM (SELECT * FROM edges "
+    "UNION ALL SELECT a.stop_id, b.stop_id, 100 + a.stop_id * 37 % 200 FROM stops a JOIN stops b ON b.stop_id = a.stop_id + 1 WHERE a.stop_id % 24 <> 23 "
+    "UNION ALL SELECT b.stop_id, a.stop_id, 100 + a.stop_id * 53 % 200 FROM stops a JOIN stops b ON b.stop_id = a.stop_id + 1 WHERE a.stop_id % 12 <> 11) GROUP BY ALL)"
+)
+#: Shortest paths of up to 128 roads, by squaring.
+CLOSED = f"{ROADS}, d0 AS MATERIALIZED (SELECT * FROM roads UNION ALL SELECT stop_id, stop_id, 0 FROM stops), " + ", ".join(
+    f"d{k} AS MATERIALIZED (SELECT a.src, b.dst, min(a.travel_time + b.travel_time) AS travel_time FROM d{k - 1} a JOIN d{k - 1} b ON a.dst = b.src GROUP BY ALL)" for k in range(1, 8)
+)
 
 
-def _chain(net):
-    return net.edges.where(F.abs(F.col("src") - F.col("dst")) == 1)
+def roads(net):
+    here, next_ = net.stops.select("stop_id"), net.stops.select((F.col("stop_id") - 1).alias("stop_id"))
+    both = here.join(next_, "stop_id").select(F.col("stop_id").alias("a"), (F.col("stop_id") + 1).alias("b"))
+    on = both.where("a % 24 <> 23").select(F.col("a").alias("src"), F.col("b").alias("dst"), (100 + F.col("a") * 37 % 200).alias("travel_time"))
+    back = both.where("a % 12 <> 11").select(F.col("b").alias("src"), F.col("a").alias("dst"), (100 + F.col("a") * 53 % 200).alias("travel_time"))
+    return G.least_edges(net.edges.unionByName(on).unionByName(back))
 
 
-_CLOSED = f"WITH RECURSIVE {network_ctes()}, {_CHAIN}, {_WALK} "
+@_query(f", {ROADS} SELECT src, dst, min(travel_time) AS travel_time FROM (SELECT * FROM roads UNION ALL SELECT dst, src, travel_time FROM roads) GROUP BY ALL")
+def symmetric_edges(spark, sf_dir):
+    return G.symmetric(roads(derived(spark, sf_dir)))
 
 
-@_query(_CLOSED + "SELECT source AS src, vertex AS dst, min(distance) AS travel_time FROM walk WHERE source <> vertex GROUP BY ALL", network=False)
+@_query(f", {CLOSED} SELECT * FROM d7 WHERE src <> dst")
 def transitive_closure(spark, sf_dir):
-    return G.closure(_chain(derived(spark, sf_dir)))
+    return G.closure(roads(derived(spark, sf_dir)))
 
 
-@_query(_CLOSED + "SELECT src, dst, min(travel_time) AS travel_time FROM (SELECT source AS src, vertex AS dst, distance AS travel_time FROM walk WHERE distance <= 900 UNION ALL SELECT vertex, source, distance FROM walk WHERE distance <= 900) WHERE src <> dst GROUP BY ALL", network=False)
+@_query(f", {CLOSED} SELECT src, dst, min(travel_time) AS travel_time FROM (SELECT * FROM d7 UNION ALL SELECT dst, src, travel_time FROM d7) WHERE src <> dst AND travel_time <= 900 GROUP BY ALL")
 def one_hop_transfers(spark, sf_dir):
     net = derived(spark, sf_dir)
-    return G.one_hop_transfers(_chain(net), net.stops, 900)
+    return G.one_hop_transfers(roads(net), net.stops, 900)
 
 
-@_query("SELECT stop_id AS id, CASE WHEN stop_id % 4 = 3 OR stop_id = (SELECT max(stop_id) FROM stops) AND NOT EXISTS (SELECT 1 FROM stops s WHERE s.stop_id = stops.stop_id + 1) AND stop_id % 4 = 0 THEN stop_id ELSE stop_id - stop_id % 4 END AS component FROM stops")
+@_query(f", {CLOSED} SELECT a.src AS id, min(a.dst) AS component FROM d7 a JOIN d7 b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src")
 def strong_components(spark, sf_dir):
-    """Transfers without those back from the last of each four: it is reached but does not reach."""
     net = derived(spark, sf_dir)
-    edges = net.edges.where("src % 4 <> 3")
-    return G.strong_components(edges, net.stops.select(F.col("stop_id").alias("id")))
+    return G.strong_components(roads(net), net.stops.select(F.col("stop_id").alias("id")))
 
 
 @_query("SELECT (SELECT count(*) FROM stops) AS vertices, count(*) AS edges, CAST(sum(CAST(src = dst AS BIGINT)) AS BIGINT) AS loops, max(travel_time) AS longest, CAST(sum(travel_time) AS BIGINT) AS total, CAST(0 AS BIGINT) AS multi_edges, (SELECT count(*) FROM stops WHERE stop_id NOT IN (SELECT src FROM edges)) AS isolated FROM edges")
@@ -327,13 +316,13 @@ def query_batch(spark, sf_dir):
 def pareto_arrivals(spark, sf_dir):
     """Arrival and trips, from every query's source to all stops."""
     net = derived(spark, sf_dir)
-    return J.pareto(net, _batch(net), ROUNDS)
+    return J.pareto(net, _batch(net))
 
 
 @_query(_FRONT + "SELECT query_id, stop, min(arrival) AS arrival FROM front GROUP BY ALL")
 def earliest_arrivals(spark, sf_dir):
     net = derived(spark, sf_dir)
-    return J.earliest(net, _batch(net), ROUNDS)
+    return J.earliest(net, _batch(net))
 
 
 @_query(_FRONT + "SELECT front.* FROM front JOIN q ON q.query_id = front.query_id AND q.target = front.stop")
@@ -341,13 +330,13 @@ def target_journeys(spark, sf_dir):
     """One-to-one, with labels dropped that can't improve the target."""
     net = derived(spark, sf_dir)
     batch = _batch(net)
-    return J.to_targets(J.pareto(net, batch, ROUNDS, prune_targets=True), batch)
+    return J.to_targets(J.pareto(net, batch, prune_targets=True), batch)
 
 
 @_query(_FRONT + ", grid AS (SELECT DISTINCT query_id, stop, CAST(k AS BIGINT) AS trips FROM front, (SELECT range AS k FROM range(8))) SELECT * FROM (SELECT g.query_id, g.stop, g.trips, min(f.arrival) AS arrival FROM grid g LEFT JOIN front f ON f.query_id = g.query_id AND f.stop = g.stop AND f.trips <= g.trips GROUP BY ALL) WHERE arrival IS NOT NULL")
 def arrivals_by_trips(spark, sf_dir):
     net = derived(spark, sf_dir)
-    return J.arrival_times(J.pareto(net, _batch(net), ROUNDS), ROUNDS)
+    return J.arrival_times(J.pareto(net, _batch(net)), ROUNDS)
 
 
 @_query(_FRONT + ", targets AS (SELECT s_nationkey AS set_id, s_suppkey AS vertex FROM supplier) SELECT CAST(set_id AS BIGINT) AS set_id, query_id, stop, trips, arrival FROM front JOIN targets ON vertex = stop")
@@ -355,13 +344,13 @@ def arrivals_at_target_sets(spark, sf_dir):
     """One-to-many: the stops of each nation are a target set."""
     net = derived(spark, sf_dir)
     sets = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").cast("long").alias("set_id"), F.col("s_suppkey").alias("vertex"))
-    return J.to_sets(J.pareto(net, _batch(net), ROUNDS), sets).select("set_id", "query_id", "stop", "trips", "arrival")
+    return J.to_sets(J.pareto(net, _batch(net)), sets).select("set_id", "query_id", "stop", "trips", "arrival")
 
 
 @_query(_FRONT + "SELECT avg(k) AS journeys FROM (SELECT count(*) AS k FROM front GROUP BY query_id, stop)")
 def journeys_per_query(spark, sf_dir):
     net = derived(spark, sf_dir)
-    return A.journeys_per_query(J.pareto(net, _batch(net), ROUNDS))
+    return A.journeys_per_query(J.pareto(net, _batch(net)))
 
 
 @_query(
@@ -388,14 +377,15 @@ def _bags_sql(rounds: int) -> str:
     return ", ".join([*parts, f"mfront AS ({union})"])
 
 
-_M_ROUNDS = 3
+#: Rounds of the oracle for three criteria; Spark goes on until none improves anything.
+_M_ROUNDS = 6
 
 
 @_query(f", {_Q}, {_bags_sql(_M_ROUNDS)} SELECT * FROM mfront")
 def pareto_with_walking(spark, sf_dir):
     """Arrival, trips and transfer time."""
     net = derived(spark, sf_dir)
-    return M.pareto_sets(net, _batch(net), max_trips=_M_ROUNDS)
+    return M.pareto_sets(net, _batch(net))
 
 
 _ANCHORED = (
@@ -408,7 +398,7 @@ _ANCHORED = (
 def restricted_pareto(spark, sf_dir):
     net = derived(spark, sf_dir)
     batch = _batch(net)
-    return M.restricted(M.pareto_sets(net, batch, max_trips=_M_ROUNDS), J.pareto(net, batch, _M_ROUNDS), batch, 1.25, 1.25)
+    return M.restricted(M.pareto_sets(net, batch), J.pareto(net, batch), batch, 1.25, 1.25)
 
 
 # -- lines, transfers between trips, delays -------------------------------
@@ -433,37 +423,33 @@ def delayed_events(spark, sf_dir):
     return D.delayed(ev, D.scenario(ev), 600, 900)
 
 
-@_query(f", {_SEQ.format(ev='ev')} SELECT trip, min(trip) OVER (PARTITION BY stops ORDER BY trip ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS pattern FROM seq")
-def fifo_lines(spark, sf_dir):
-    """Lines without overtaking, shown by their stop pattern (which trip begins a line depends on the order of fitting)."""
-    ev = derived(spark, sf_dir).events
-    lines = fifo(ev)
-    pattern = X.sequences(ev).select("trip", F.min("trip").over(Window.partitionBy("stops")).alias("pattern"))
-    return lines.join(pattern, "trip").select("trip", "pattern")
+_FIFO = (
+    "e4 AS (SELECT trip * 3 + k AS trip, idx, stop, arr + k * 600 - CASE WHEN k = 1 THEN idx * 140 ELSE 0 END AS arr, dep + k * 600 - CASE WHEN k = 1 THEN idx * 140 ELSE 0 END AS dep, n FROM ev, (SELECT CAST(range AS BIGINT) AS k FROM range(3))), "
+    f"{_SEQ.format(ev='e4')}, t AS MATERIALIZED (SELECT trip, stops, list_concat(deps, arrs) AS times, row_number() OVER (PARTITION BY stops ORDER BY deps, list_transform(arrs, lambda x: -x), trip) AS k FROM seq), "
+    "fit AS (SELECT stops, k, [times] AS lasts, [trip] AS names, trip, trip AS line FROM t WHERE k = 1 UNION ALL "
+    "SELECT stops, k, CASE WHEN p IS NULL THEN list_append(lasts, times) ELSE list_transform(lasts, lambda x, i: CASE WHEN i = p THEN times ELSE x END) END, CASE WHEN p IS NULL THEN list_append(names, trip) ELSE names END, trip, CASE WHEN p IS NULL THEN trip ELSE names[p] END "
+    "FROM (SELECT t.stops, t.k, t.times, t.trip, f.lasts, f.names, nullif(list_position(list_transform(f.lasts, lambda l: len(list_filter(list_zip(l, t.times), lambda z: z[1] > z[2])) = 0), true), 0) AS p FROM fit f JOIN t ON t.stops = f.stops AND t.k = f.k + 1))"
+)
 
 
-def _headway_lines(net):
-    return net.events.select("trip", F.floor(F.col("trip") / 3).alias("line")).distinct()
+def overtaken(events):
+    """Three trips for each, ten minutes apart, the second of which makes up 140 seconds a halt."""
+    k = F.explode(F.array(*(F.lit(x).cast("long") for x in range(3)))).alias("k")
+    late = F.col("k") * 600 - F.when(F.col("k") == 1, F.col("idx") * 140).otherwise(0)
+    return events.select("*", k).select((F.col("trip") * 3 + F.col("k")).alias("trip"), "idx", "stop", (F.col("arr") + late).alias("arr"), (F.col("dep") + late).alias("dep"), "n")
 
 
-_LINES = "e3 AS MATERIALIZED (SELECT trip * 3 + k AS trip, trip AS line, idx, stop, arr + k * 1800 AS arr, dep + k * 1800 AS dep, n FROM ev, (SELECT CAST(range AS BIGINT) AS k FROM range(3)) WHERE trip % 40 = 0)"
+@_query(f", {_FIFO} SELECT trip, line FROM fit", recursive=True)
+def fifo_lines(spark, sf_dir):
+    """Lines without overtaking, by first fit in order of departures."""
+    return fifo(overtaken(derived(spark, sf_dir).events))
 
 
-@_query(
-    f", {_LINES}, ways AS (SELECT src, dst, travel_time FROM edges UNION ALL SELECT stop_id, stop_id, 0 FROM stops), "
-    "f AS (SELECT e.trip AS from_trip, e.idx AS from_idx, e.line AS from_line, w.dst AS to_stop, w.travel_time, e.arr + w.travel_time + s.min_transfer_time AS ready FROM e3 e JOIN ways w ON w.src = e.stop JOIN stops s ON s.stop_id = w.dst WHERE e.idx > 0), "
-    "g AS (SELECT from_trip, from_idx, from_line, b.line, b.idx AS to_idx, travel_time, min({'dep': b.dep, 'trip': b.trip}) AS m FROM f JOIN e3 b ON b.stop = f.to_stop AND b.dep >= f.ready AND b.idx < b.n - 1 WHERE b.line <> from_line OR b.idx <> from_idx GROUP BY ALL), "
-    "h AS (SELECT g.*, m.dep AS dep, m.trip AS to_trip FROM g WHERE m.trip <> from_trip) "
-    "SELECT h.from_trip, h.from_idx, h.to_trip, h.to_idx, h.travel_time FROM h JOIN e3 o ON o.trip = h.from_trip AND o.idx = h.from_idx JOIN e3 p ON p.trip = h.from_trip AND p.idx = h.from_idx - 1 JOIN e3 q ON q.trip = h.to_trip AND q.idx = h.to_idx + 1 JOIN stops s ON s.stop_id = p.stop "
-    "WHERE (h.line <> h.from_line OR h.to_idx < h.from_idx OR h.dep < o.dep) AND NOT (p.stop = q.stop AND p.arr + s.min_transfer_time <= q.dep)"
-)
-def trip_transfers(spark, sf_dir):
-    """The network of the lines whose number 40 divides, three trips each: transfers by the as-of join."""
-    net = derived(spark, sf_dir)
-    net = X.with_headway(net.replace(events=net.events.where("trip % 40 = 0")))
-    return T.event_transfers(net, _headway_lines(net))
+def headway_lines(net):
+    return net.events.select("trip", F.floor(F.col("trip") / 3).alias("line")).distinct()
 
 
+_LINES = "e3 AS MATERIALIZED (SELECT trip * 3 + k AS trip, trip AS line, idx, stop, arr + k * 1800 AS arr, dep + k * 1800 AS dep, n FROM ev, (SELECT CAST(range AS BIGINT) AS k FROM range(3)))"
 @_query(f", {_LATE} SELECT d.trip, d.first_idx, d.delay FROM delays d")
 def streamed_delays(spark, sf_dir):
     """Updates written in four files and followed as a stream; every trip's last one is its delay."""

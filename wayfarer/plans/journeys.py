@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import closure, distances
 from ..storage import cut
 from .network import Network
 
@@ -107,6 +108,32 @@ def arrival_times(front: DataFrame, max_trips: int) -> DataFrame:
     return rows.select("query_id", "stop", "trips", F.min("arrival").over(order).alias("arrival")).where("arrival is not null")
 
 
+def unlimited(net: Network, roads: DataFrame) -> Network:
+    """The network for walks of any length over ``roads``: its edges are the shortest paths between stops."""
+    found = closure(roads)
+    for end in ("src", "dst"):
+        found = found.join(net.stops.select(F.col("stop_id").alias(end)), end, "left_semi")
+    return net.replace(edges=found.select("src", "dst", "travel_time"))
+
+
+def from_vertices(queries: DataFrame, roads: DataFrame, stops: DataFrame) -> DataFrame:
+    """Labels to begin with for queries from any vertex of ``roads``: all stops at their distance, as ``initial`` of ``labels``."""
+    near = distances(roads, queries.select("source").distinct()).join(stops.select(F.col("stop_id").alias("vertex")), "vertex", "left_semi")
+    rows = queries.join(near, "source").select("query_id", F.col("vertex").alias("stop"), (F.col("dep_time") + F.col("distance")).alias("arrival"), F.when(F.col("source") != F.col("vertex"), F.col("source")).alias("via"))
+    return rows.groupBy(*_KEY).agg(F.min(F.struct("arrival", "via")).alias("l")).select(*_KEY, "l.arrival", "l.via")
+
+
+def to_vertices(front: DataFrame, roads: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """One-to-all: (query_id, vertex, arrival) at all vertices of ``roads``, by a last walk from the best stop; ``queries`` adds the walk from the source itself."""
+    best = front.groupBy(*_KEY).agg(F.min("arrival").alias("arrival"))
+    if queries is not None:
+        best = best.unionByName(queries.select("query_id", F.col("source").alias("stop"), F.col("dep_time").alias("arrival")))
+    walk = closure(roads).select(F.col("src").alias("stop"), F.col("dst").alias("vertex"), "travel_time")
+    there = best.join(walk, "stop").select("query_id", "vertex", (F.col("arrival") + F.col("travel_time")).alias("arrival"))
+    here = best.select("query_id", F.col("stop").alias("vertex"), "arrival")
+    return there.unionByName(here).groupBy("query_id", "vertex").agg(F.min("arrival").alias("arrival"))
+
+
 def to_targets(front: DataFrame, queries: DataFrame) -> DataFrame:
     """Only each query's own target."""
     return front.join(queries.select("query_id", F.col("target").alias("stop")), _KEY, "left_semi")

@@ -40,9 +40,22 @@ def graphml_lines(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return vertices.select(node.alias("value")).unionByName(edges.select(edge.alias("value")))
 
 
-def write_csv(net: Network, folder: str) -> None:
-    """stops, trips (their halts) and footpaths as CSV with a header."""
-    for name, table in (("stops", net.stops), ("trips", net.events), ("footpaths", net.edges)):
+def write_graphml(edges: DataFrame, vertices: DataFrame, folder: str) -> None:
+    """A GraphML document as a folder of text parts; in order of their names they are the document."""
+    spark = edges.sparkSession
+    keys = "".join(f'<key id="{k}" for="{of}" attr.name="{k}" attr.type="{t}"/>' for k, of, t in (("lat", "node", "double"), ("lon", "node", "double"), ("travel_time", "edge", "long")))
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', keys, '<graph edgedefault="directed">']
+    ends = spark.createDataFrame([(0, i, x) for i, x in enumerate(head)] + [(3, 0, "</graph>"), (3, 1, "</graphml>")], "kind int, n long, value string")
+    nodes = graphml_lines(edges.limit(0), vertices).select(F.lit(1).alias("kind"), F.xxhash64("value").alias("n"), "value")
+    arcs = graphml_lines(edges, vertices.limit(0)).select(F.lit(2).alias("kind"), F.xxhash64("value").alias("n"), "value")
+    lines = ends.unionByName(nodes).unionByName(arcs)
+    lines.repartitionByRange("kind", "n").sortWithinPartitions("kind", "n").select("value").write.text(folder)
+
+
+def write_csv(net: Network, folder: str, lines: DataFrame | None = None) -> None:
+    """stops, trips (their halts), footpaths and, if given, lines (trip, line) as CSV with a header."""
+    tables = [("stops", net.stops), ("trips", net.events), ("footpaths", net.edges)]
+    for name, table in tables + ([("lines", lines)] if lines is not None else []):
         table.write.option("header", True).csv(f"{folder}/{name}.csv")
 
 

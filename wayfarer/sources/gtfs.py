@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +25,13 @@ COLUMNS = {
 
 def _raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The file's known columns as text, blank where a row or the whole column lacks them; a missing file has no rows."""
-    paths = spark.read.format("binaryFile").option("pathGlobFilter", f"{name}.txt").load(folder).select("path")
-    if not paths.limit(1).count():
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    try:
+        table = reader.csv(f"{folder}/{name}.txt")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in COLUMNS[name]))
-    table = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(f"{folder}/{name}.txt")
     return table.select(*(F.coalesce(F.trim(F.col(c)), F.lit("")).alias(c) if c in table.columns else F.lit("").alias(c) for c in COLUMNS[name]))
 
 
