@@ -22,6 +22,7 @@ def check(rows, got):
     assert len(got) == len(want)
     for r in got:
         held, size, known, n, base = want[r["doc_id"]]
+        assert abs(r["base_score"] - base) < 1e-9 * max(1, abs(base)), r
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, size, known, n)
         assert math.isfinite(r["score"]) and r["score"] <= 1e-9
 
@@ -35,7 +36,7 @@ def test_small_heads(spark):
     """Most words beyond the broadcast ones: their counts still arrive."""
     rows = K.awkward_rows(11, 80)
     docs = K.documents(spark, rows).select("doc_id", "text", (common.crc_mod(7) == 2).alias("held_out"))
-    model = scoring.BackoffModel(heads=20, core=10, arcs=15).fit(docs.where("not held_out"))
+    model = scoring.BackoffModel(heads=20, arcs=15).fit(docs.where("not held_out"))
     check(rows, model.score(docs).collect())
 
 
@@ -48,28 +49,20 @@ def test_whole_table(spark, sf_dir):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_each_history_sums_to_one():
-    """Probabilities of all words after a history, unknown ones as one, add up to one."""
+def test_each_history_sums_to_one(spark):
+    """Probabilities of all words after a history, unknown ones as one, add up to one: each is what the traversal adds for the word."""
     rng = np.random.default_rng(1)
-    words = np.unique(rng.integers(1, 1 << 60, 30).astype(np.uint64))
-    counts = rng.integers(1, 50, len(words))
-    m = scoring.Automaton(words, counts, words[:12].copy(), int(counts.sum()), len(words))
-    texts = rng.integers(0, 12, 4000)
-    ids = m.core[scoring._place(words[:12][texts], m.words)]
-    code, n = np.unique(m.pairs(ids, np.arange(0, 4001, 10)), return_counts=True)
-    # counts of words must not fall below those of the pairs they begin
-    m.counts[:] = 0
-    np.add.at(m.counts, scoring._place(words[:12][texts], m.words), 1)
-    m.norm = m.counts.sum() + len(words) + 1
-    m.unigram = np.log10((m.counts + 1) / m.norm)
-    m.learn(code, n)
+    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 12, 60)), None, "s") for i in range(60)]
+    m = scoring.BackoffModel().fit(K.documents(spark, rows).select("text"))
+    words = m.model.lexicon.word
+    assert len(words) == 13  # with the end
     for history in ([0], [3], [0, 5], [7, 2], [11, 11]):
         total = 0.0
         for w in [*words, np.uint64(3)]:
             tok = np.append(words[history], w).astype(np.uint64)
-            _, _, _, model, _, _ = m.traverse(tok, np.array([0, len(tok)]))
-            _, _, _, before, _, _ = m.traverse(tok[:-1], np.array([0, len(tok) - 1]))
-            unknown = 0 if scoring._place(np.array([w]), m.words)[0] >= 0 else math.log10(1 / m.norm)
+            _, _, _, model, away, _ = m.model.traverse(tok, np.array([0, len(tok)]))
+            _, _, _, before, _, _ = m.model.traverse(tok[:-1], np.array([0, len(tok) - 1]))
+            unknown = 0 if w in words else math.log10(1 / m.norm)
             total += 10 ** (model[0] - before[0] + unknown)
         assert abs(total - 1) < 1e-6
 
@@ -82,39 +75,35 @@ def test_empty_and_untrained(spark):
 
 
 def backoff(rows):
-    """Scores by dictionaries: 2- and 3-grams of all training words that occur twice."""
+    """Scores by dictionaries: 2-grams of all training words that occur twice."""
     sents = {i: [*K.words(t), END] for i, t, *_ in rows}
     train = [s for i, s in sents.items() if K.remainder(i, 7) != 2]
-    c = [Counter(tuple(s[i : i + k]) for s in train for i in range(len(s) - k + 1)) for k in (1, 2, 3)]
-    norm = sum(c[0].values()) + len(c[0]) + 1
-    p, fail = [{}, {}, {}], {}
-    uni = lambda w: (c[0][(w,)] + 1) / norm
-    low = {2: lambda g: uni(g[1]), 3: lambda g: p[1][g[1:]]}
-    for k in (2, 3):
-        kept = {g: n for g, n in c[k - 1].items() if n >= 2}
-        left, lower = Counter(), Counter()
-        for g, n in kept.items():
-            p[k - 1][g] = (n - 0.6) / c[k - 2][g[:-1]]
-            left[g[:-1]] += p[k - 1][g]
-            lower[g[:-1]] += low[k](g)
-        fail |= {h: max(1 - left[h], 1e-9) / max(1 - lower[h], 1e-9) for h in left}
-
-    def prob(g):
-        if len(g) == 1:
-            return uni(g[0])
-        return p[len(g) - 1].get(g) or fail.get(g[:-1], 1.0) * prob(g[1:])
-
-    return {i: sum(math.log10(prob(tuple(s[max(0, k - 2) : k + 1]))) for k in range(len(s))) for i, s in sents.items()}
-
-
-def test_longer_ngrams_of_all_words(spark):
+    one, two = (Counter(tuple(s[i : i + k]) for s in train for i in range(len(s) - k + 1)) for k in (1, 2))
+    norm = sum(one.values()) + len(one) + 1
+    uni = lambda w: (one[(w,)] + 1) / norm
+    arcs = {g: (n - 0.6) / one[g[:1]] for g, n in two.items() if n >= 2}
+    left, lower = Counter(), Counter()
+    for g, p in arcs.items():
+        left[g[0]] += p
+        lower[g[0]] += uni(g[1])
+    fail = {u: max(1 - left[u], 1e-9) / max(1 - lower[u], 1e-9) for u in left}
+
+    def prob(s, k):
+        if k == 0:
+            return uni(s[0])
+        return arcs.get((s[k - 1], s[k])) or fail.get(s[k - 1], 1.0) * uni(s[k])
+
+    return {i: sum(math.log10(prob(s, k)) for k in range(len(s))) for i, s in sents.items()}
+
+
+def test_arcs_of_all_words(spark):
     """Few broadcast words and n-grams: those of all other words still enter the model."""
     rng = np.random.default_rng(5)
     rows = [r for r in K.awkward_rows(12, 90) if r[0] != 8]
     rows += [(1000 + i, " ".join(f"v{x}" for x in rng.integers(0, 60, 80)), None, "s") for i in range(60)]
     docs = K.documents(spark, rows).select("doc_id", "text", (common.crc_mod(7) == 2).alias("held_out"))
     want = backoff(rows)
-    for bounds in ({"heads": 5, "arcs": 5}, {}):
+    for bounds in ({"heads": 5, "arcs": 5}, {"heads": 200, "arcs": 50}, {"heads": 0, "arcs": 0}, {}):
         model = scoring.BackoffModel(**bounds).fit(docs.where("not held_out"))
         for r in model.score(docs).collect():
             assert abs(r["score"] - want[r["doc_id"]]) < 1e-6 * max(1, abs(want[r["doc_id"]])), r

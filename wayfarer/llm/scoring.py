@@ -1,24 +1,26 @@
 """LM scoring with a weighted backoff automaton.
 
-Unigrams: every training word, with add-one smoothing and one share for all
-unknown words.  Longer n-grams of all training words (absolute discounting of
-those that occur twice or more, backoff weights that make each history's
-distribution sum to one) are states with failure arcs: the state after a word
-is the longest history of the model that ends the text so far; a word without
-an arc there follows the failure arc, pays its weight, and tries again from the
-shorter history.
-
-A traversal's cost is a sum over the n-grams of a text: a word pays its unigram
-arc and the failure arc of the history it becomes, a 2-gram or 3-gram of the
-model pays the difference that its arc makes, with the failure arc of the
-history it becomes.  So the model is one table from n-gram hashes to weights,
-counted, discounted and joined in shuffles, and it grows with the corpus.  What
-is broadcast is bounded: the ``heads`` most frequent words, the ``arcs`` most
-frequent longer n-grams, and a filter of fixed size.  Every other word or
-n-gram gets its weight by a shuffle join of hashes.
-
-Hashes of n-grams are rotations and exclusive ors of word hashes, so that SQL
-finds the history and the shorter n-gram of each.
+Smoothed n-grams of order two.  A state is a word that has been read, or the
+root; its arcs are the 2-grams of all training words that occur twice or more
+(absolute discounting), its failure arc leads to the root and pays a weight
+that makes the history's distribution sum to one; the root's arcs are the
+training words, with add-one smoothing and one share for all unknown words.
+A traversal goes through a text from left to right and carries its state: a
+word without an arc there follows the failure arc, pays, and tries again from
+the root.  Tasks traverse many stretches of texts side by side, each beginning
+in the state that the word before it leads to.
+
+Counting, discounting and backoff weights are shuffles over all training
+documents, so the model grows with the corpus.  What a task holds is bounded:
+the ``heads`` most frequent words, the ``arcs`` most frequent 2-grams of these,
+and a filter of fixed size.  What a traversal can't decide (other words, other
+2-grams that the filter lets pass) gets its weight by a shuffle join of hashes:
+a 2-gram's weight there is what its arc adds to the failure arc and the root's
+arc, which the traversal or another row has paid.  Scores don't depend on the
+two bounds.
+
+2-grams travel to their count as sorted, difference-coded pairs of head
+numbers; only pairs with a rarer word travel as hashes.
 
 Defined results: null and empty texts are one end token; repeated rows are
 scored one by one; without training documents N = V = 0, every token is
@@ -27,24 +29,30 @@ unknown and scores log10(1) = 0.  Extra columns pass unread.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
-#: Bounds of what is broadcast: words and longer n-grams.
-HEADS, ARCS = 300_000, 250_000
-#: Tokens, and n-grams, whose counts one task gathers before it passes them on.
-BUFFER, GRAM_BUFFER = 3_000_000, 1_000_000
-#: 64-bit words of the filter of n-grams, as a power of two.
-FILTER = 21
+#: Bounds of what is broadcast: words, at most 2**20, and 2-grams.
+HEADS, ARCS = 400_000, 3_000_000
+#: Tokens, and 2-grams, whose counts one task gathers before it passes them on.
+BUFFER, PAIR_BUFFER = 3_000_000, 2_000_000
+#: Counted 2-grams of a partition, about.
+PAIRS = 1_500_000
+#: 64-bit words of the filter of 2-grams, as a power of two; positions of a stretch.
+FILTER, LANE = 21, 64
 END = np.uint64(0x0E5D0E5D0E5D0E5D)
-DISCOUNT = 0.6
+DISCOUNT, LEAST = 0.6, 2
+ROOT, TAIL = -2, -1
+BITS = 20
 
 
 def tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,56 +86,6 @@ def _gathered(batches: Iterator[pa.RecordBatch], codes) -> Iterator[pa.RecordBat
         yield _tables(*np.unique(np.concatenate(held), return_counts=True))
 
 
-def _rotated(x: np.ndarray, k: int) -> np.ndarray:
-    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
-
-
-def _rotated_column(x: Column, k: int) -> Column:
-    return F.shiftleft(x, k).bitwiseOR(F.shiftrightunsigned(x, 64 - k))
-
-
-def grams(tok: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the 2-grams and the index of each one's last token, and the same of the 3-grams, within rows."""
-    first = np.zeros(len(tok) + 1, bool)
-    first[at] = True
-    pair = _rotated(tok[:-1], 11) ^ _rotated(tok[1:], 32)
-    two = np.flatnonzero(~first[1 : len(tok)])
-    three = np.flatnonzero(~first[1 : len(tok) - 1] & ~first[2 : len(tok)])
-    return pair[two], two + 1, _rotated(pair[three], 26) ^ _rotated(pair[three + 1], 40), three + 2
-
-
-def _gathered_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, a, n): n-grams, their histories, and counts over a buffer at a time; those of 3-grams are negative."""
-    held: tuple[list, list, list, list] = ([], [], [], [])
-    size = 0
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for hashes, histories, sign in ((held[0], held[1], 1), (held[2], held[3], -1)):
-            h, at, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
-            a = np.concatenate(histories)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(a.view(np.int64)), pa.array(sign * n.astype(np.int64))], ["h", "a", "n"])
-            hashes.clear()
-            histories.clear()
-
-    for batch in batches:
-        raw, off = C.flatten(batch.column("text"))
-        for i, j in C.steps(off):
-            tok, at = tokens(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-            if len(tok) < 2:
-                continue
-            h2, end2, h3, end3 = grams(tok, at)
-            pair = np.zeros(len(tok), np.uint64)
-            pair[end2] = h2
-            for part, x in zip(held, (h2, tok[end2 - 1], h3, pair[end3 - 1]), strict=True):
-                part.append(x)
-            size += len(h2) + len(h3)
-            if size >= GRAM_BUFFER:
-                yield from out()
-                size = 0
-    if size:
-        yield from out()
-
-
 def _at_least(counts: DataFrame, most: int) -> int:
     """The smallest count that at most ``most`` rows reach, from a histogram over quarter powers of two."""
     bucket = F.floor(F.log2("n") * 4).cast("int")
@@ -148,180 +106,232 @@ def _place(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return at
 
 
-class Automaton:
-    """The same model in one process, with n-grams of ``core`` words only: states, arcs and failure arcs one by one.  Tests check its sums."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, core: np.ndarray, total: int, distinct: int):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
-        self.norm = total + (distinct + 1)
-        self.unigram = np.log10((self.counts + 1) / self.norm)
-        #: core id of each head, -1 for others
-        self.core = np.full(len(words), -1, np.int64)
-        self.core[_place(core, self.words)] = np.arange(len(core))
-        self.k = len(core) + 1
-        self.arc1 = self.arc2 = np.zeros(0, np.int64)
-        self.log1 = self.log2 = np.zeros(0)
-        self.fail1 = np.zeros(self.k)
-        self.fail2_key, self.fail2 = np.zeros(0, np.int64), np.zeros(0)
-
-    def pairs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Codes of the 2- and 3-grams of core words in each row: 2-grams below k*k, 3-grams from there on."""
-        k = self.k
-        if len(ids) < 2:
-            return np.zeros(0, np.uint64)
-        first = np.zeros(len(ids) + 1, bool)
-        first[at] = True
-        two = (ids[:-1] >= 0) & (ids[1:] >= 0) & ~first[1:-1]
-        code = ids[:-1] * k + ids[1:]
-        three = two[:-1] & two[1:]
-        deep = code[:-1][three] * k + ids[2:][three] + k * k
-        return np.concatenate([code[two], deep]).astype(np.uint64)
-
-    def learn(self, code: np.ndarray, n: np.ndarray) -> None:
-        """Arcs and failure weights out of n-gram counts."""
-        k = self.k
-        core_at = np.flatnonzero(self.core >= 0)
-        seen = np.zeros(k)
-        uni = np.zeros(k)
-        seen[self.core[core_at]] = self.counts[core_at]
-        uni[self.core[core_at]] = 10 ** self.unigram[core_at]
-        order = np.argsort(code)
-        code, n = code[order], n[order].astype(float)
-        two = code < k * k
-        self.arc1, c1 = code[two], n[two]
-        u, v = self.arc1 // k, self.arc1 % k
-        p1 = (c1 - DISCOUNT) / np.maximum(seen[u], 1)
-        left, lower = 1 - np.bincount(u, p1, minlength=k), 1 - np.bincount(u, uni[v], minlength=k)
-        self.log1, self.fail1 = np.log10(p1), np.log10(np.maximum(left, 1e-9) / np.maximum(lower, 1e-9))
-        deep = code[~two] - k * k
-        at = _place(deep // k, self.arc1)
-        deep, c2, at = deep[at >= 0], n[~two][at >= 0], at[at >= 0]
-        self.arc2 = deep
-        p2 = (c2 - DISCOUNT) / np.maximum(c1[at], 1)
-        v, w = (deep // k) % k, deep % k
-        short = _place(v * k + w, self.arc1)
-        q = np.where(short >= 0, p1[short] if len(p1) else 0.0, 10 ** self.fail1[v] * uni[w])
-        self.log2 = np.log10(p2)
-        self.fail2_key, where = np.unique(deep // k, return_inverse=True)
-        left, lower = 1 - np.bincount(where, p2), 1 - np.bincount(where, q)
-        self.fail2 = np.log10(np.maximum(left, 1e-9) / np.maximum(lower, 1e-9)) if len(where) else np.zeros(0)
-
-    def traverse(self, tok: np.ndarray, at: np.ndarray):
-        """Per row: tokens, known heads, base and model log10 over arcs and heads; and the tokens beyond the heads."""
-        n, k = len(at) - 1, self.k
-        size = np.diff(at)
-        head = _place(tok, self.words)
-        known = head >= 0
-        ids = np.where(known, self.core[head] if len(self.core) else -1, -1)
-        uni = np.where(known, self.unigram[head] if len(self.unigram) else 0.0, 0.0)
-        model = uni.copy()
-        first = np.zeros(len(tok) + 1, bool)
-        first[at] = True
-        # history of one core word
-        h1 = np.full(len(tok), -1, np.int64)
-        h1[1:] = ids[:-1]
-        h1[first[:-1]] = -1
-        i = np.flatnonzero(h1 >= 0)
-        arc = np.where(ids[i] >= 0, _place(h1[i] * k + ids[i], self.arc1), -1)
-        model[i] = np.where(arc >= 0, self.log1[arc] if len(self.log1) else 0.0, model[i] + self.fail1[h1[i]])
-        # history of two core words that the model has arcs from
-        if len(self.arc2):
-            i = i[(i >= 2) & ~first[np.maximum(i - 1, 0)]]
-            i = i[ids[i - 2] >= 0]
-            pair = ids[i - 2] * k + ids[i - 1]
-            state = _place(pair, self.fail2_key)
-            i, pair, state = i[state >= 0], pair[state >= 0], state[state >= 0]
-            arc = np.where(ids[i] >= 0, _place(pair * k + ids[i], self.arc2), -1)
-            model[i] = np.where(arc >= 0, self.log2[arc], model[i] + self.fail2[state])
-        row = np.repeat(np.arange(n), size)
-        sums = (np.bincount(row, x, minlength=n) for x in (uni, model))
-        tails = np.flatnonzero(~known)
-        return size, np.bincount(row, known, minlength=n).astype(np.int64), *sums, tok[tails], np.searchsorted(tails, at)
+def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Hash of the 2-gram u v."""
+    return C.mix(C.mix(u) * np.uint64(3) + v)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of their bytes: what is small in most of them takes little room."""
+    return zlib.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64)
+
+
+class Lexicon:
+    """Numbers of the heads, the most frequent first."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        rank = np.lexsort((words, -counts))
+        #: By number: hash and count.
+        self.word, self.count = words[rank], counts[rank]
+        order = np.argsort(self.word)
+        self.sorted, self.number = self.word[order], order.astype(np.int64)
+
+    def ids(self, tok: np.ndarray) -> np.ndarray:
+        at = _place(tok, self.sorted)
+        return np.where(at >= 0, self.number[at] if len(self.number) else TAIL, TAIL)
+
+
+def _pairs_out(lexicon, parts: int):
+    """Counts of 2-grams, gathered over a buffer at a time and dealt out by partition: (part, kind, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, held, size = lexicon.value, [], 0
+
+        def out() -> pa.RecordBatch:
+            u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b = lex.ids(u), lex.ids(v)
+            both = (a >= 0) & (b >= 0)
+            code, n = np.unique((a[both].astype(np.uint64) << np.uint64(BITS)) | b[both].astype(np.uint64), return_counts=True)
+            part, rows = (C.mix(code) % np.uint64(parts)).astype(np.int64), []
+            for k in np.unique(part):
+                at = part == k
+                rows.append((int(k), 0, b"".join(len(x).to_bytes(4, "little") + x for x in (_packed(np.diff(code[at], prepend=np.uint64(0))), _packed(n[at])))))
+            u, v = u[~both], v[~both]
+            h, one, n = np.unique(pair_hash(u, v), return_index=True, return_counts=True)
+            part = (h % np.uint64(parts)).astype(np.int64)
+            for k in np.unique(part):
+                at = part == k
+                rows.append((int(k), 1, np.stack([u[one[at]], v[one[at]], n[at].astype(np.uint64)]).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "kind", "data"])
+
+        for batch in batches:
+            raw, off = C.flatten(batch.column("text"))
+            for i, j in C.steps(off):
+                tok, at = tokens(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                first = np.zeros(len(tok), bool)
+                first[at[:-1]] = True
+                k = np.flatnonzero(~first)
+                held.append((tok[k - 1], tok[k]))
+                size += len(k)
+                if size >= PAIR_BUFFER:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    return run
+
+
+def _pairs_in(lexicon, norm: float):
+    """Summed counts, of 2-grams that occur often enough: (h, n) with u and the weight beside a failure for heads, with hashes a and v for others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, code, many, rare = lexicon.value, [], [], []
+        for batch in batches:
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if kind:
+                    rare.append(np.frombuffer(data, np.uint64).reshape(3, -1))
+                    continue
+                size = int.from_bytes(data[:4], "little")
+                code.append(np.cumsum(_unpacked(data[4 : 4 + size]), dtype=np.uint64))
+                many.append(_unpacked(data[8 + size :]))
+        names = ["h", "n", "u", "rest", "a", "v"]
+        if code:
+            key, where = np.unique(np.concatenate(code), return_inverse=True)
+            n = np.bincount(where, np.concatenate(many).astype(float)).astype(np.int64)
+            key, n = key[n >= LEAST], n[n >= LEAST]
+            u, v = (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
+            rest = np.log10((n - DISCOUNT) / lex.count[u]) - np.log10((lex.count[v] + 1) / norm)
+            h = pair_hash(lex.word[u], lex.word[v])
+            for s in range(0, len(h), 100_000):
+                c = slice(s, s + 100_000)
+                size = len(h[c])
+                yield pa.RecordBatch.from_arrays([pa.array(h[c].view(np.int64)), pa.array(n[c]), pa.array(u[c].astype(np.int32)), pa.array(rest[c]), pa.nulls(size, pa.int64()), pa.array(v[c])], names)
+        if rare:
+            u, v, n = np.concatenate(rare, axis=1)
+            h, one, where = np.unique(pair_hash(u, v), return_index=True, return_inverse=True)
+            n = np.bincount(where, n.astype(float)).astype(np.int64)
+            one, h, n = one[n >= LEAST], h[n >= LEAST], n[n >= LEAST]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.float64()), pa.array(u[one].view(np.int64)), pa.array(v[one].view(np.int64))], names)
+
+    return run
 
 
-class Hot:
-    """What every executor holds: weights of the heads and of the most frequent longer n-grams, and the filter."""
+class Automaton:
+    """What every task holds: states and arcs of the heads, and the filter of all other 2-grams."""
 
-    def __init__(self, table: pa.Table, bits: np.ndarray):
-        h = table.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        self.key = h[order]
-        self.base, self.model = (table.column(c).to_numpy()[order] for c in ("base", "model"))
-        self.bits = bits
+    def __init__(self, lexicon: Lexicon, norm: float, fail: np.ndarray, key: np.ndarray, arc: np.ndarray, bits: np.ndarray):
+        self.lexicon, self.fail, self.bits = lexicon, fail, bits
+        self.root = np.log10((lexicon.count + 1) / norm)
+        order = np.argsort(key)
+        #: Arcs, by state and word.
+        self.key, self.arc = key[order], arc[order]
 
     def traverse(self, tok: np.ndarray, at: np.ndarray):
-        """Per row: tokens, words and longer n-grams met here: known words, base and model log10; words and n-grams to be looked up, with their offsets."""
+        """Per row: tokens, known heads, base and model log10 as far as arcs and heads go; words and 2-grams to be looked up, with their offsets."""
         n, size = len(at) - 1, np.diff(at)
         row = np.repeat(np.arange(n), size)
-        h2, end2, h3, end3 = grams(tok, at)
-        key, place = np.concatenate([tok, h2, h3]), np.concatenate([row, row[end2], row[end3]])
-        word = np.arange(len(key)) < len(tok)
-        found = _place(key, self.key)
-        met = found >= 0
-        known = np.bincount(row, met[: len(tok)], minlength=n).astype(np.int64)
-        base, model = (np.bincount(place[met], x[found[met]], minlength=n).astype(float) for x in (self.base, self.model))
-        away = ~met & (word | (self.bits[key >> np.uint64(64 - FILTER)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool))
-        key, place = key[away], place[away]
+        ids = self.lexicon.ids(tok)
+        known = ids >= 0
+        base = np.bincount(row[known], self.root[ids[known]], minlength=n).astype(float)
+        # stretches of LANE positions, the longest first
+        many = -(-size // LANE)
+        lane_row = np.repeat(np.arange(n), many)
+        start = at[lane_row] + (np.arange(len(lane_row)) - np.repeat(np.cumsum(many) - many, many)) * LANE
+        length = np.minimum(at[lane_row + 1] - start, LANE)
+        order = np.argsort(-length, kind="stable")
+        lane_row, start, length = lane_row[order], start[order], length[order]
+        state = np.where(start == at[lane_row], ROOT, ids[start - 1])
+        score = np.zeros(len(start))
+        missed = np.zeros(len(tok), bool)
+        for t in range(int(length[0]) if len(length) else 0):
+            m = int(np.searchsorted(-length, -t, "left"))
+            place = start[:m] + t
+            word, now = ids[place], state[:m]
+            arc = np.full(m, -1, np.int64)
+            may = np.flatnonzero((now >= 0) & (word >= 0))
+            arc[may] = _place(now[may] << BITS | word[may], self.key)
+            hit = arc >= 0
+            paid = np.where(now >= 0, self.fail[now], 0.0) + np.where(word >= 0, self.root[word], 0.0) if len(self.root) else np.zeros(m)
+            score[:m] += np.where(hit, self.arc[arc], paid) if len(self.arc) else paid
+            missed[place[~hit & (now != ROOT)]] = True
+            state[:m] = word
+        model = np.bincount(lane_row, score, minlength=n).astype(float)
+        k = np.flatnonzero(missed)
+        h = pair_hash(tok[k - 1], tok[k])
+        passed = (self.bits[h >> np.uint64(64 - FILTER)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+        away, place = np.concatenate([tok[~known], h[passed]]), np.concatenate([row[~known], row[k[passed]]])
         order = np.argsort(place, kind="stable")
-        return size, known, base, model, key[order], np.searchsorted(place[order], np.arange(n + 1))
+        return size, np.bincount(row[known], minlength=n).astype(np.int64), base, model, away[order], np.searchsorted(place[order], np.arange(n + 1))
 
 
 class BackoffModel:
     """fit() counts over all training documents; score() adds up every text.
 
-    ``heads`` and ``arcs`` bound what is broadcast, never the model; ``core`` is no longer used.
+    ``heads`` and ``arcs`` bound what is broadcast, never the model.
     """
 
-    def __init__(self, heads: int = HEADS, core: int | None = None, arcs: int = ARCS):
-        self.heads, self.arcs = heads, arcs
+    def __init__(self, heads: int = HEADS, arcs: int = ARCS):
+        self.heads, self.arcs = min(heads, 1 << BITS), arcs
 
     def fit(self, docs: DataFrame) -> BackoffModel:
-        text = C.small_batches(docs).select("text")
-        found = text.mapInArrow(lambda it: _gathered(it, lambda raw, off: tokens(raw, off)[0]), "h long, n long")
+        sc, text = docs.sparkSession.sparkContext, C.small_batches(docs).select("text")
+        found = text.mapInArrow(C.trimmed(lambda it: _gathered(it, lambda raw, off: tokens(raw, off)[0])), "h long, n long")
         counts = C.keep(found.groupBy("h").agg(F.sum("n").alias("n")), "counts")
         row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.total, self.distinct = int(row["n"]), int(row["v"])
         self.norm = float(self.total + self.distinct + 1)
-        found = text.mapInArrow(_gathered_grams, "h long, a long, n long").groupBy("h", "a").agg(F.sum("n").alias("n"))
-        self.weights = C.keep(self._weighed(counts, C.keep(found.where("abs(n) >= 2"), "grams")), "weights")
-        words, longer = self.weights.where("known = 1"), self.weights.where("known = 0")
-        # at most ``heads`` and ``arcs`` rows
-        hot = words.where(F.col("n") >= _at_least(words, self.heads)).unionByName(longer.where(F.col("n") >= _at_least(longer, self.arcs)))
+        # at most ``heads`` rows
+        top = counts.where(F.col("n") >= _at_least(counts, self.heads)).toArrow()
+        lexicon = Lexicon(top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy())
+        shared, parts = sc.broadcast(lexicon), C.parts_for(self.total, PAIRS)
+        dealt = text.mapInArrow(C.trimmed(_pairs_out(shared, parts)), "part int, kind int, data binary")
+        grams = dealt.repartition(parts, "part").mapInArrow(C.trimmed(_pairs_in(shared, self.norm)), "h long, n long, u int, rest double, a long, v long")
+        grams = C.keep(grams, "pairs")
+        self._weigh(counts, grams, lexicon)
+        inner = grams.where("u is not null")
+        # at most ``arcs`` rows
+        hot = inner.where(F.col("n") >= _at_least(inner, self.arcs)).select("u", "v", "rest").toArrow()
+        u, v, rest = (hot.column(c).to_numpy() for c in ("u", "v", "rest"))
+        u = u.astype(np.int64)
         # at most 2 ** FILTER rows
-        bars = longer.groupBy(F.shiftrightunsigned("h", 64 - FILTER).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
+        bars = grams.groupBy(F.shiftrightunsigned("h", 64 - FILTER).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
         bits = np.zeros(1 << FILTER, np.uint64)
         bits[bars.column("i").to_numpy()] = bars.column("b").to_numpy().view(np.uint64)
-        table = hot.select("h", "base", "model").toArrow()
-        self.model = Hot(table, bits)
+        root = np.log10((lexicon.count + 1) / self.norm)
+        self.model = Automaton(lexicon, self.norm, self.fail, u << BITS | v, rest + root[v], bits)
         return self
 
-    def _weighed(self, counts: DataFrame, found: DataFrame) -> DataFrame:
-        """(h, n, known, base, model): what each word and longer n-gram adds to a text's scores."""
-        log = lambda left, lower: F.log10(F.greatest(left, F.lit(1e-9)) / F.greatest(lower, F.lit(1e-9)))
-        seen = F.col("n") - DISCOUNT
+    def _weigh(self, counts: DataFrame, grams: DataFrame, lexicon: Lexicon) -> None:
+        """Failure weights of the heads, and (h, known, base, model): what each word and 2-gram adds to a text's scores where the automaton doesn't know it."""
+        spark, seen = counts.sparkSession, F.col("n") - DISCOUNT
+        names = pa.table({"u": pa.array(np.arange(len(lexicon.word)), pa.int32()), "a": lexicon.word.view(np.int64)})
         uni = counts.select("h", "n", F.log10((F.col("n") + 1) / F.lit(self.norm)).alias("base"))
-        two = found.where("n > 0").withColumn("v", _rotated_column(F.col("h").bitwiseXOR(_rotated_column(F.col("a"), 11)), 32))
-        two = two.join(uni.select(F.col("h").alias("v"), F.col("base").alias("word")), "v").select("h", "a", "n", "word")
-        # failure arcs of one-word histories
-        last = two.groupBy("a").agg(F.sum(seen).alias("s"), F.sum(F.pow(F.lit(10.0), "word")).alias("q"))
-        uni = uni.join(last, uni.h == last.a, "left").withColumn("fail", F.coalesce(log(1 - F.col("s") / F.col("n"), 1 - F.col("q")), F.lit(0.0))).select("h", "n", "base", "fail")
-        uni = C.keep(uni, "words")
-        two = two.join(uni.select(F.col("h").alias("a"), F.col("n").alias("of"), "fail"), "a")
-        two = two.withColumn("arc", F.log10(seen / F.col("of"))).select("h", "n", "arc", (F.col("arc") - F.col("word") - F.col("fail")).alias("more"))
-        two = C.keep(two, "pairs")
-        three = found.where("n < 0").select("h", F.col("a"), (-F.col("n")).alias("n"), _rotated_column(F.col("h").bitwiseXOR(_rotated_column(F.col("a"), 26)), 24).alias("b"))
-        three = three.join(two.select(F.col("h").alias("b"), "arc"), "b").select("h", "a", "n", "arc")
-        # failure arcs of two-word histories
-        last = three.groupBy("a").agg(F.sum(seen).alias("s"), F.sum(F.pow(F.lit(10.0), "arc")).alias("q"))
-        two = two.join(last, two.h == last.a, "left").withColumn("fail", F.coalesce(log(1 - F.col("s") / F.col("n"), 1 - F.col("q")), F.lit(0.0)))
-        three = three.join(two.select(F.col("h").alias("a"), F.col("n").alias("of"), "fail"), "a")
-        none, row = F.lit(0.0), ("h", "n")
-        return (
-            uni.select(*row, F.lit(1).alias("known"), "base", (F.col("base") + F.col("fail")).alias("model"))
-            .unionByName(two.select(*row, F.lit(0).alias("known"), none.alias("base"), (F.col("more") + F.col("fail")).alias("model")))
-            .unionByName(three.select(*row, F.lit(0).alias("known"), none.alias("base"), (F.log10(seen / F.col("of")) - F.col("arc") - F.col("fail")).alias("model")))
-        )
+        of_heads = grams.where("u is not null").select("u", "n", F.log10(seen).alias("log"), "rest")
+        # sums of arcs and of what the root would give: rest is log10(seen / count) less log10 of the root's arc
+        heads = of_heads.groupBy("u").agg(F.sum(seen).alias("s"), F.sum(F.pow(F.lit(10.0), F.col("log") - F.col("rest"))).alias("q"))
+        # the name of a head's number, ``heads`` rows at most; its count turns q into probabilities
+        heads = heads.join(F.broadcast(spark.createDataFrame(names)), "u").join(uni.select(F.col("h").alias("a"), F.col("n").alias("of")), "a").select("a", "s", (F.col("q") / F.col("of")).alias("q"))
+        tail = grams.where("u is null").select("h", "a", "v", "n").join(uni.select(F.col("h").alias("v"), F.col("base").alias("word")), "v")
+        tail = C.keep(tail.select("h", "a", "n", "word"), "rare_pairs")
+        others = tail.groupBy("a").agg(F.sum(seen).alias("s"), F.sum(F.pow(F.lit(10.0), "word")).alias("q"))
+        sums = heads.unionByName(others).groupBy("a").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
+        uni = uni.join(sums, uni.h == sums.a, "left")
+        left, lower = F.greatest(1 - F.col("s") / F.col("n"), F.lit(1e-9)), F.greatest(1 - F.col("q"), F.lit(1e-9))
+        uni = C.keep(uni.select("h", "n", "base", F.coalesce(F.log10(left / lower), F.lit(0.0)).alias("fail")), "words")
+        low = int(lexicon.count.min()) if len(lexicon.count) else 1 << 62
+        got = uni.where(F.col("n") >= low).select("h", "fail").toArrow()
+        at = lexicon.ids(got.column("h").to_numpy().view(np.uint64))
+        self.fail = np.zeros(len(lexicon.word))
+        self.fail[at[at >= 0]] = got.column("fail").to_numpy()[at >= 0]
+        shared = spark.sparkContext.broadcast(self.fail)
+
+        def less_failure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(b.column("rest").to_numpy() - shared.value[b.column("u").to_numpy()])], ["h", "model"])
+
+        inner = grams.where("u is not null").select("h", "u", "rest").mapInArrow(C.trimmed(less_failure), "h long, model double")
+        rare = tail.join(uni.select(F.col("h").alias("a"), F.col("n").alias("of"), "fail"), "a")
+        rare = rare.select("h", (F.log10(seen / F.col("of")) - F.col("word") - F.col("fail")).alias("model"))
+        none = F.lit(None).cast("double").alias("base")
+        # only words have a base; those that the automaton knows are never looked up
+        words = uni.where(F.col("n") < low).select("h", "base", (F.col("base") + F.col("fail")).alias("model"))
+        self.weights = words.unionByName(inner.select("h", none, "model")).unionByName(rare.select("h", none, "model"))
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs`` without its text, with n_tokens, n_known, train_tokens, base_score and score."""
@@ -339,12 +349,10 @@ class BackoffModel:
                     uid += j - i
                     yield pa.RecordBatch.from_arrays(own + more, [f.name for f in others] + ["_uid", "_size", "_known", "_base", "_model", "_away"])
 
-        from pyspark.sql import types as T
-
         schema = T.StructType([*others, *(T.StructField(n, t) for n, t in (("_uid", T.LongType()), ("_size", T.LongType()), ("_known", T.LongType()), ("_base", T.DoubleType()), ("_model", T.DoubleType()), ("_away", T.ArrayType(T.LongType()))))])
-        part = C.keep(docs.mapInArrow(scan, schema), "traversed")
-        away = part.select("_uid", F.explode("_away").alias("h")).join(self.weights.select("h", "known", "base", "model"), "h")
-        away = away.groupBy("_uid").agg(F.sum("known").alias("_more"), F.sum("base").alias("_base_more"), F.sum("model").alias("_model_more"))
+        part = C.keep(C.small_batches(docs).mapInArrow(C.trimmed(scan), schema), "traversed")
+        away = part.select("_uid", F.explode("_away").alias("h")).join(self.weights, "h")
+        away = away.groupBy("_uid").agg(F.count("base").alias("_more"), F.coalesce(F.sum("base"), F.lit(0.0)).alias("_base_more"), F.sum("model").alias("_model_more"))
         more = part.drop("_away").join(away, "_uid", "left")
         known = F.col("_known") + F.coalesce("_more", F.lit(0))
         unknown = (F.col("_size") - known) * F.log10(F.lit(1 / self.norm))
