@@ -13,7 +13,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     return t
 
 
@@ -49,14 +48,14 @@ def test_pieces_and_places(spark, tokenizer):
     rows = K.awkward_rows(7, 120)
     rows += [(500, "I'll <|endoftext|> it's  \n\n x y don't'S", None, "s"), (501, "word " * 1022, None, "s"), (502, "word " * 1023, None, "s"), (503, "͸  \U0001f469‍\U0001f680 กำ", None, "s")]
     used, least = check(rows, packing.pack(K.documents(spark, rows)).collect(), tokenizer)
-    assert used <= least * 1.05 + 1
+    assert used <= least * 1.02 + 1
 
 
 def test_whole_table(spark, sf_dir, tokenizer):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     used, least = check(rows, packing.pack(docs).collect(), tokenizer)
-    assert used <= least * 1.03 + 1
+    assert used <= least + 1
 
 
 def test_crossover_keeps_every_item_once():

@@ -22,6 +22,7 @@ empty table gives no pieces.  Extra columns are not carried along.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -36,9 +37,11 @@ from . import common as C
 
 CAPACITY, SEPARATOR = 1024, 2
 #: Pieces of a shard, about; islands of a shard; epochs; generations of an epoch; packings of an island.
-SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2000, 2, 2, 4, 4
-#: Distinct pieces that a worker remembers before it forgets them all.
-REMEMBERED = 800_000
+SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 20_000, 2, 2, 6, 4
+#: A bin filled less than this share is packed once more, with those of other shards.
+FILLED = 0.99
+#: Distinct pieces that a worker remembers before it forgets them all; and those that it may keep beyond a task.
+REMEMBERED, KEPT = 600_000, 150_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -75,7 +78,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Literals that the tokenizer takes out of texts before anything else.
+        self.literals = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.classes = _classes()
         self.forget()
 
@@ -165,8 +169,11 @@ class Encoder:
         total = np.cumsum(count)
         ids = self.pool[np.repeat(begin - (total - count), count) + np.arange(total[-1])]
         row_at = np.append(0, total)[np.searchsorted(start, off)]
-        # rows with a code point of unsure class, as the tokenizer itself splits them
-        odd = np.unique(np.searchsorted(cp_off, np.flatnonzero(kind == _UNSURE), "right") - 1)
+        # rows with a code point of unsure class or with a literal, as the tokenizer itself splits them
+        odd = np.searchsorted(cp_off, np.flatnonzero(kind == _UNSURE), "right") - 1
+        for x in self.literals:
+            odd = np.append(odd, np.searchsorted(off, [m.start() for m in re.finditer(re.escape(x), text)], "right") - 1)
+        odd = np.unique(odd).astype(np.int64)
         if len(odd):
             parts = [ids[row_at[i] : row_at[i + 1]] for i in range(n)]
             for i in odd:
@@ -186,6 +193,13 @@ def _joined(a: tuple, b: tuple) -> tuple:
 _encoders: dict[str, Encoder] = {}
 
 
+def _forget_much() -> None:
+    """A task's end: what waiting workers hold stays small."""
+    for e in _encoders.values():
+        if len(e.tables[0][0]) + len(e.tables[1][0]) > KEPT:
+            e.forget()
+
+
 def encoder(path: str) -> Encoder:
     """One for each Python worker: the next task finds what this one remembers."""
     if path not in _encoders:
@@ -201,6 +215,12 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
     path = path or tokenizer_path()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from cut(batches)
+        finally:
+            _forget_much()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, uid = encoder(path), TaskContext.get().partitionId() << 36
         for batch in batches:
             raw, off = C.flatten(batch.column("text"))
@@ -225,7 +245,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
                 yield pa.RecordBatch.from_arrays([doc_id[i:j].take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.arange(uid, uid + len(row)))], ["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
                 uid += len(row)
 
-    return C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, PIECES)
+    return C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(C.trimmed(scan), PIECES)
 
 
 # -- grouping genetic algorithm ------------------------------------------
@@ -355,21 +375,14 @@ def _epoch(rows: DataFrame, epoch: int, capacity: int) -> DataFrame:
                 filled = np.bincount(bin_of, lengths)
                 yield pa.RecordBatch.from_arrays([pa.array([r["shard"]], pa.int64()), pa.array([r["island"]], pa.int32()), pa.array([r["lengths"]], pa.list_(pa.int32())), pa.array([bin_of.tolist()], pa.list_(pa.int32())), pa.array([len(filled)], pa.int64()), pa.array([float((filled**2).sum())])], ["shard", "island", "lengths", "elite", "bins", "even"])
 
-    return C.cut(rows.select("shard", "island", "lengths", "elite", "guest").mapInArrow(run, "shard long, island int, lengths array<int>, elite array<int>, bins long, even double"))
+    return C.cut(rows.select("shard", "island", "lengths", "elite", "guest").mapInArrow(C.trimmed(run), "shard long, island int, lengths array<int>, elite array<int>, bins long, even double"))
 
 
-def packed(all_pieces: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS, shard: int = SHARD) -> DataFrame:
-    """``all_pieces`` (uid, length, ...) with sequence_id and offset in place of uid; pieces are read more than once."""
-    short = all_pieces.where(F.col("length") < capacity).select("uid", F.col("length").cast("int").alias("length"))
-    n = short.count()
-    shards = max(1, -(-n // shard))
-    # about ``shard`` rows each, whatever the documents: the shard is a hash of the piece's number
-    piece_shard = F.pmod(F.xxhash64("uid"), F.lit(shards))
-    groups = short.groupBy(piece_shard.alias("shard")).agg(F.array_sort(F.collect_list(F.struct("length", "uid"))).alias("items"))
-    groups = C.cut(groups)
+def _evolved(groups: DataFrame, first: DataFrame, islands: int, epochs: int, capacity: int) -> DataFrame:
+    """(shard, uid, length, bin): the best packing of each shard's items (length, uid).  ``first``: (shard, elite), a packing to begin with, or null."""
     none = F.lit(None).cast("array<int>")
-    state = groups.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.transform("items", lambda x: x["length"]).alias("lengths"), none.alias("elite"), none.alias("guest"))
-    state = state.repartition(C.parts_for(shards * islands, 4), "shard", "island")
+    state = groups.join(first, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.transform("items", lambda x: x["length"]).alias("lengths"), "elite", none.alias("guest"))
+    state = state.repartition("shard", "island")
     for epoch in range(epochs):
         if epoch:
             guest = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("elite").alias("guest"))
@@ -377,11 +390,35 @@ def packed(all_pieces: DataFrame, capacity: int = CAPACITY, islands: int = ISLAN
         state = _epoch(state, epoch, capacity)
     best = state.groupBy("shard").agg(F.max_by("elite", F.struct(-F.col("bins"), F.col("even"), -F.col("island"))).alias("elite"))
     item = F.explode(F.arrays_zip(F.transform("items", lambda x: x["uid"]).alias("uid"), F.transform("items", lambda x: x["length"]).alias("length"), F.col("elite").alias("bin")))
-    items = groups.join(best, "shard").select("shard", item.alias("i")).select("shard", "i.uid", "i.length", "i.bin")
+    return groups.join(best, "shard").select("shard", item.alias("i")).select("shard", "i.uid", "i.length", "i.bin")
+
+
+def packed(all_pieces: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS, shard: int = SHARD) -> DataFrame:
+    """``all_pieces`` (uid, length, ...) with sequence_id and offset in place of uid; pieces are read more than once.
+
+    Shards evolve apart; then the bins that each has filled badly meet those of other shards, bin by bin, and evolve once more from where they are.
+    """
+    short = all_pieces.where(F.col("length") < capacity).select("uid", F.col("length").cast("int").alias("length"))
+    n = short.count()
+    # about ``shard`` rows each, whatever the documents: the shard is a hash of the piece's number
+    piece_shard = F.pmod(F.xxhash64("uid"), F.lit(max(1, -(-n // shard))))
+    groups = C.cut(short.groupBy(piece_shard.alias("shard")).agg(F.array_sort(F.collect_list(F.struct("length", "uid"))).alias("items")))
+    items = C.keep(_evolved(groups, groups.select("shard", F.lit(None).cast("array<int>").alias("elite")), islands, epochs, capacity), "shards")
+    bins = items.groupBy("shard", "bin").agg(F.sum("length").alias("filled"), F.count(F.lit(1)).alias("k"))
+    bad = C.cut(bins.where(F.col("filled") < FILLED * capacity).select("shard", "bin", "k"))
+    again = max(1, -(-int(bad.agg(F.sum("k")).first()[0] or 0) // shard))
+    meet = F.pmod(F.xxhash64("shard", "bin"), F.lit(again))
+    loose = items.join(bad, ["shard", "bin"]).select(meet.alias("shard"), F.struct("length", "uid", F.xxhash64("shard", "bin").alias("b")).alias("x"))
+    groups = C.cut(loose.groupBy("shard").agg(F.array_sort(F.collect_list("x")).alias("items")))
+    number = F.transform("items", lambda x: F.array_position(F.array_distinct(F.transform("items", lambda y: y["b"])), x["b"]).cast("int"))
+    begun = groups.select("shard", number.alias("elite"))
+    regrouped = _evolved(groups, begun, islands, 1, capacity)
+    place = lambda df, kind: df.select("uid", "length", (F.col("shard") * (1 << 21) + F.col("bin") * 2 + kind).alias("sequence_id"))
+    items = place(items.join(bad, ["shard", "bin"], "left_anti"), 0).unionByName(place(regrouped, 1))
     from pyspark.sql import Window
 
-    before = Window.partitionBy("shard", "bin").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
-    items = items.select("uid", (F.col("shard") * (1 << 20) + F.col("bin")).alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
+    before = Window.partitionBy("sequence_id").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
+    items = items.select("uid", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
     own = all_pieces.columns
     rest = [F.col(c) for c in own if c != "uid"]
     # full pieces number their sequences below zero, so that the two kinds never meet
