@@ -126,7 +126,7 @@ def store(docs: DataFrame, folder: str) -> None:
             done.append(archive.close())
         yield pa.RecordBatch.from_pylist([dict(zip(("name", "size", "members"), x, strict=True)) for x in done], pa.schema([("name", pa.string()), ("size", pa.int64()), ("members", pa.int64())]))
 
-    report = C.small_batches(docs).select("doc_id", "text").mapInArrow(pack, "name string, size long, members long")
+    report = C.small_batches(docs).select("doc_id", "text").mapInArrow(C.trimmed(pack), "name string, size long, members long")
     report.write.json(f"{folder}/report")
 
 
@@ -233,7 +233,7 @@ def described(members: DataFrame) -> DataFrame:
                 out["feature"].append(f"{WIDTH}x{len(x) // WIDTH} mean={x.mean():.4f} entropy={-(p * np.log2(p)).sum():.4f} bars={','.join(map(str, bars))}")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(out["payload_bytes"], pa.int64()), pa.array(out["payload_sha256"], pa.string()), pa.array(out["tail_crc32"], pa.int64()), pa.array(out["media_bytes"], pa.int64()), pa.array(out["media_sha256"], pa.string()), pa.array(out["feature"], pa.string())], ["doc_id", "n_bytes", *out])
 
-    return members.mapInArrow(describe, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return members.mapInArrow(C.trimmed(describe), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media(docs: DataFrame) -> DataFrame:

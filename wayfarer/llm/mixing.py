@@ -113,8 +113,8 @@ def _picks() -> str:
     return f"aggregate(slice(items, best.k, size(items)), {start}, (a, x) -> if(x.s <= a.g * best.r, named_struct('g', a.g - x.s, 'out', concat(a.out, array(x))), a), a -> a.out)"
 
 
-def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, shards: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sources, takes, last rows): takes has the shards of each block's takes, last rows the keys taken from last blocks."""
+def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, shards: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(measured rows, sources, takes, last rows): takes has the shards of each block's takes, last rows the keys taken from last blocks."""
     rows = C.keep(_measured(docs, seed).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "_mix_size", "_mix_key"), "measured")
     sources = C.cut(_targets(rows, weights, share, cap))
     placed = rows.join(sources, rows.source.eqNullSafe(sources.source)).select("rank", "blocks", "left", "rounds", "_mix_size", "_mix_key", "doc_id")
@@ -171,19 +171,19 @@ def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, s
     owned = owned.withColumn("end", F.sum("k").over(through)).where("k > 0")
     owned = owned.select("rank", F.col("node").alias("shard"), F.explode(F.sequence(F.col("end") - F.col("k"), F.col("end") - 1)).alias("at"))
     placed_takes = takes.join(owned, ["rank", "at"]).groupBy("rank", "block").agg(F.collect_list(F.when(~F.col("partly"), F.struct("shard", "round"))).alias("takes"), F.max(F.when(F.col("partly"), F.struct("shard", "round"))).alias("part_take"))
-    return sources, C.cut(placed_takes), C.cut(chosen)
+    return rows, sources, C.cut(placed_takes), C.cut(chosen)
 
 
-def _taken(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, shards: int, seed: int) -> DataFrame:
-    """``docs`` with its source's figures and an array of its takes (shard, round)."""
-    sources, takes, chosen = _plan(docs, weights, share, cap, shards, seed)
+def _taken(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, shards: int, seed: int, texts: bool = True) -> DataFrame:
+    """``docs``, or their ids and sizes only, with their source's figures and an array of their takes (shard, round)."""
+    measured, sources, takes, chosen = _plan(docs, weights, share, cap, shards, seed)
     named = sources.select(F.col("source").alias("_mix_source"), F.col("rank").alias("_mix_rank"), F.col("words").alias("_mix_words"), F.col("target").alias("_mix_target"), F.col("blocks").alias("_mix_blocks"))
-    rows = _measured(docs, seed)
+    rows = _measured(docs, seed) if texts else measured
     rows = rows.join(named, rows.source.eqNullSafe(F.col("_mix_source"))).withColumn("_mix_block", F.pmod("_mix_key", F.col("_mix_blocks")))
     t = takes.select(F.col("rank").alias("_mix_rank"), F.col("block").alias("_mix_block"), F.col("takes").alias("_mix_takes"), F.col("part_take").alias("_mix_part"))
-    c = chosen.select(F.col("rank").alias("_r"), F.col("_mix_key").alias("_k"), F.col("doc_id").alias("_d"), F.lit(True).alias("_mix_extra"))
+    c = chosen.select(F.col("rank").alias("_mix_r"), F.col("_mix_key").alias("_mix_k"), F.col("doc_id").alias("_mix_d"), F.lit(True).alias("_mix_extra"))
     rows = rows.join(t, ["_mix_rank", "_mix_block"], "left")
-    rows = rows.join(c, (F.col("_mix_rank") == F.col("_r")) & (F.col("_mix_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_r", "_k", "_d")
+    rows = rows.join(c, (F.col("_mix_rank") == F.col("_mix_r")) & (F.col("_mix_key") == F.col("_mix_k")) & F.col("doc_id").eqNullSafe(F.col("_mix_d")), "left").drop("_mix_r", "_mix_k", "_mix_d")
     whole = F.coalesce("_mix_takes", F.expr("cast(array() as array<struct<shard: bigint, round: int>>)"))
     return rows.withColumn("_mix_takes", F.when(F.col("_mix_extra"), F.array_append(whole, F.col("_mix_part"))).otherwise(whole))
 
@@ -206,6 +206,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int | None = None, seed: int = 11) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    rows = _taken(docs.select("doc_id", "source", "text"), weights, share, cap, _shards(docs, shards), seed)
+    rows = _taken(docs.select("doc_id", "source", "text"), weights, share, cap, _shards(docs, shards), seed, texts=False)
     n: Column = F.size("_mix_takes")
     return rows.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_words").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_size") * n).cast("long").alias("taken"))

@@ -194,7 +194,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class QualityModel:
-    """fit() learns from labelled documents; score() adds the column ``score`` to documents."""
+    """fit() learns from labelled documents; score() adds a column to documents, in place of one of its name."""
 
     def __init__(self, train_rows: int = TRAIN_ROWS, seed: int = 29):
         self.train_rows, self.seed, self.chain, self.prior = train_rows, seed, None, 0.5
@@ -209,7 +209,7 @@ class QualityModel:
         limit = F.when(F.col("y") == 1, share.get(1, 0)).otherwise(share.get(0, 0))
         # a bounded sample of ids: its expected size is train_rows
         rows = C.small_batches(docs).select("doc_id", "text").join(F.broadcast(labels.where(draw <= limit)), "doc_id").select("y", "text")
-        got = rows.mapInArrow(_described, "y int, x array<double>").toArrow()
+        got = rows.mapInArrow(C.trimmed(_described), "y int, x array<double>").toArrow()
         y = got.column("y").to_numpy()
         if len(np.unique(y)) < 2:
             return self
@@ -223,18 +223,19 @@ class QualityModel:
         self.chain = Chain.fit(with_neighbours(x, lines), lines, y)
         return self
 
-    def score(self, docs: DataFrame) -> DataFrame:
+    def score(self, docs: DataFrame, name: str = "score") -> DataFrame:
         if self.chain is None:
-            return docs.withColumn("score", F.lit(float(self.prior)))
+            return docs.withColumn(name, F.lit(float(self.prior)))
         chain = self.chain
 
         @F.arrow_udf("double")
         def scan(column: pa.Array) -> pa.Array:
             raw, off = C.flatten(column)
             got = [chain.score(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in C.steps(off)]
+            C.trim()
             return pa.array(np.concatenate(got) if got else np.zeros(0))
 
-        return docs.withColumn("score", scan("text"))
+        return docs.withColumn(name, scan("text"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -243,7 +244,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     return scored.select("doc_id", (C.crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with a column ``score``."""
+def scored_documents(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """The documents with their quality in the column ``name``."""
     known = labels.where(C.crc_mod(5) != 0).select("doc_id", F.col("quality").alias("y"))
-    return QualityModel().fit(docs, known).score(docs)
+    return QualityModel().fit(docs, known).score(docs, name)

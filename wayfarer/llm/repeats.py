@@ -376,8 +376,8 @@ def _found(docs: DataFrame) -> DataFrame:
     rows = C.small_batches(docs).where(f"doc_id is not null and octet_length(text) >= {LENGTH}").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _sub())
     _, size = C.text_size(docs)
     parts = C.parts_for(size // 17, PART)
-    packed = rows.select("text").mapInArrow(_packed_anchors(parts), "part int, h binary").repartition(parts, "part")
-    words = packed.mapInArrow(_several, "w long, m long")
+    packed = rows.select("text").mapInArrow(C.trimmed(_packed_anchors(parts)), "part int, h binary").repartition(parts, "part")
+    words = packed.mapInArrow(C.trimmed(_several), "w long, m long")
     shared = spark.sparkContext.broadcast(_words(words))
     shift = np.uint64(64 - FILTER_BITS.bit_length() + 1)
 
@@ -416,8 +416,8 @@ def _found(docs: DataFrame) -> DataFrame:
         if size:
             yield pack()
 
-    kinds = rows.mapInArrow(hashes, "part int, h binary").repartition(parts, "part")
-    kinds = C.keep(kinds.mapInArrow(_kinds, "kind int, a long, c long, start long, end long, m long"), "kinds")
+    kinds = rows.mapInArrow(C.trimmed(hashes), "part int, h binary").repartition(parts, "part")
+    kinds = C.keep(kinds.mapInArrow(C.trimmed(_kinds), "kind int, a long, c long, start long, end long, m long"), "kinds")
     several = spark.sparkContext.broadcast(_words(kinds.where("kind = 1").select(F.col("a").alias("w"), F.col("c").alias("m"))))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,9 +456,9 @@ def _found(docs: DataFrame) -> DataFrame:
         if size:
             yield emit()
 
-    met = rows.mapInArrow(contexts, "a long, c long, low long, high long, ctx binary")
+    met = rows.mapInArrow(C.trimmed(contexts), "a long, c long, low long, high long, ctx binary")
     met = met.repartition(C.parts_for(size, 16 << 20), "a").sortWithinPartitions("a", "c")
-    found = C.keep(met.mapInArrow(_resolved, "kind int, a long, c long, start long, end long, m long"), "verdicts")
+    found = C.keep(met.mapInArrow(C.trimmed(_resolved), "kind int, a long, c long, start long, end long, m long"), "verdicts")
     strings = found.where("kind = 1").select("a", "c", "start", F.col("end").alias("h"), "m")
     least = strings.groupBy("h").agg(F.min("m").alias("m"))
     single = strings.drop("m").join(least, "h").select("a", "c", "start", (F.col("start") + LENGTH).alias("end"), "m")
@@ -494,8 +494,8 @@ def _found(docs: DataFrame) -> DataFrame:
         if size:
             yield emit()
 
-    places = rows.mapInArrow(occurrences, "a long, c long, doc_id array<long>, sub array<int>, at array<int>")
-    marks = places.join(verdicts, ["a", "c"]).mapInArrow(_marks, "doc_id long, sub int, start int, end int")
+    places = rows.mapInArrow(C.trimmed(occurrences), "a long, c long, doc_id array<long>, sub array<int>, at array<int>")
+    marks = places.join(verdicts, ["a", "c"]).mapInArrow(C.trimmed(_marks), "doc_id long, sub int, start int, end int")
     return marks.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "end")).alias("v"))
 
 

@@ -131,6 +131,7 @@ def feature_column(text: Column, table: np.ndarray, weight: np.ndarray) -> Colum
         raw, off = C.flatten(column)
         got = [features(raw[off[i] : off[j]], off[i : j + 1] - off[i], table, weight) for i, j in C.steps(off)]
         x = np.concatenate(got) if got else np.zeros((0, len(NAMES)))
+        C.trim()
         return C.list_array(x.ravel(), np.arange(len(x) + 1) * len(NAMES))
 
     return scan(text)
@@ -172,7 +173,7 @@ class ToxicityModel:
         if not all(seen.get((half, y), 0) >= 2 for half in (True, False) for y in (0, 1)):
             return self
         n1, n0 = seen[True, 1], seen[True, 0]
-        words = rows.where("part < 4").select("text", "y").mapInArrow(_seen_words, "h long, y long").groupBy("h").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
+        words = rows.where("part < 4").select("text", "y").mapInArrow(C.trimmed(_seen_words), "h long, y long").groupBy("h").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n"))
         odds = F.log((F.col("a") + 0.25) / (n1 + 0.5)) - F.log((F.col("n") - F.col("a") + 0.25) / (n0 + 0.5))
         top = words.where("a >= 2").withColumn("w", odds).where("w >= 1.2").orderBy(F.desc(F.col("w") * F.sqrt("a")), "h").limit(self.most).toPandas()
         h = top["h"].to_numpy(np.int64).view(np.uint64)
@@ -203,10 +204,13 @@ class ToxicityModel:
     def score(self, docs: DataFrame) -> DataFrame:
         if self.model is None:
             return docs.withColumn("score", F.lit(float(self.prior)))
-        with_x = docs.withColumn("features", array_to_vector(feature_column(F.col("text"), self.table, self.weight)))
-        raw = self.model.transform(with_x).withColumn("_p", vector_to_array("probability")[1])
-        score = F.least(F.greatest(self._calibrated(F.col("_p")), F.lit(0.0)), F.lit(1.0))
-        return raw.withColumn("score", score).drop("features", "rawPrediction", "probability", "prediction", "_p")
+        # the model's own columns have names that no table has
+        names = {k: f"_tox_{k}" for k in ("features", "rawPrediction", "probability", "prediction")}
+        model = self.model.copy({self.model.getParam(f"{k}Col"): v for k, v in names.items()})
+        with_x = docs.withColumn(names["features"], array_to_vector(feature_column(F.col("text"), self.table, self.weight)))
+        p = vector_to_array(F.col(names["probability"]))[1]
+        score = F.least(F.greatest(self._calibrated(F.col("_tox_p")), F.lit(0.0)), F.lit(1.0))
+        return model.transform(with_x).withColumn("_tox_p", p).withColumn("score", score).drop(*names.values(), "_tox_p")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
