@@ -15,7 +15,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.scored_documents(docs, labels).where(F.col("score") >= 0.3).select(*docs.columns)
+    return quality.scored_documents(docs, labels, "_quality").where(F.col("_quality") >= 0.3).select(*docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
