@@ -65,3 +65,41 @@ def test_bound_of_bitmaps_never_drops_a_pair(percent):
         for j in range(i):
             o = len(np.intersect1d(sets[i], sets[j]))
             assert o * 100 < (n[i] + n[j] - o) * percent or (j, i) in kept
+
+
+def test_forests_join_what_their_pairs_join():
+    """One forest has a tree for each component; many have every pair."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 40, (2, 90))
+    x, y = x[x != y], y[x != y]
+    one = jaccard.forests(x, y, np.arange(len(x)), 40, 1)
+    a, b = K.Sets(), K.Sets()
+    for i in range(len(x)):
+        a.join(int(x[i]), int(y[i]))
+    for i in one:
+        assert b.find(int(x[i])) != b.find(int(y[i]))
+        b.join(int(x[i]), int(y[i]))
+    assert all(a.find(i) == b.find(i) for i in range(40))
+    assert sorted(jaccard.forests(x, y, np.arange(len(x)), 40, 90)) == list(range(len(x)))
+
+
+def test_rounds_of_single_forests(spark, monkeypatch):
+    """Many near misses beside few forests a round: every pair is decided in the end."""
+    monkeypatch.setattr(jaccard, "FORESTS", 1)
+    rows = K.awkward_rows(5, 100)
+    assert found(jaccard.similar(K.documents(spark, rows))) == brute(rows)
+
+
+def test_clashing_first_hashes(spark, monkeypatch):
+    """Unlike sets with one first hash stay apart."""
+    import numpy as np
+
+    plain = jaccard._set_keys
+    monkeypatch.setattr(jaccard, "_set_keys", lambda v, at: ((plain(v, at)[0] % 7).astype(np.int64), plain(v, at)[1]))
+    values = np.arange(60, dtype=np.uint64)
+    at = np.arange(0, 61, 3)
+    first, second = jaccard.class_names(values, at, np.zeros(0, np.int64))
+    apart, _ = jaccard.class_names(values, at, np.unique(first))
+    assert len(set(first)) < 8 and len(set(apart)) == 20 == len(set(second))

@@ -57,6 +57,61 @@ def test_kernel_is_the_blended_spectrum():
     assert len(set(one.tolist())) == 2 and len(set(two.tolist())) == 2
 
 
+def test_every_ngram_counts(spark, monkeypatch):
+    """Kernel values against sets of hashes, with few columns so that most n-grams are looked up in lists."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(langid, "COLUMNS", 40)
+    texts = ["the cat sat on the mat", "un chat noir dort", "", "der Hund schläft", "the dog"]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts) if t], "doc_id long, text string, lang string")
+    model = langid.LanguageModel(landmarks=4).fit(docs)
+
+    def sets(text):
+        raw, off = common.flatten(pa.array([text]))
+        return [set(h.tolist()) for h, _ in langid.grams(raw, off)]
+
+    order = ["the cat sat on the mat", "the dog", "un chat noir dort", "der Hund schläft"]  # by language and id
+    raw, off = common.flatten(pa.array(texts))
+    got = model._kernel(raw, off)
+    for i, text in enumerate(texts):
+        want = [np.mean([len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1)) for a, b in zip(sets(text), sets(o), strict=True)]) for o in order]
+        assert np.allclose(sorted(got[i]), sorted(want), atol=1e-6)
+
+
+def test_columns_of_the_models_names(spark):
+    """Columns called like those that the models make pass unread."""
+    rows = K.awkward_rows(15, 80)
+    names = ("prediction", "rawPrediction", "probability", "features", "_p")
+    docs = K.documents(spark, rows)
+    for n in names:
+        docs = docs.withColumn(n, docs.doc_id + 1)
+    labels = spark.createDataFrame([(i, i % 2) for i, *_ in rows], "doc_id long, y int")
+    got = toxicity.ToxicityModel().fit(docs, labels).score(docs)
+    assert all(r[n] == r["doc_id"] + 1 for r in got.collect() for n in names)
+    kept = quality.QualityModel().fit(docs, labels).score(docs, "own")
+    assert {r["score"] for r in kept.collect()} == {"x"} and "own" in kept.columns
+
+
+def test_toxicity_features_against_a_plain_version():
+    """Counts of capitals, digits, shouted words, exclamations, length and stand-in signs, text by text."""
+    import pyarrow as pa
+    import re
+
+    texts = ["You IDIOT!! b4d w0rd", "", None, "calm words here", "AAA bbb CCC 123 !?", "sooo baaad"]
+    raw, off = common.flatten(pa.array(texts))
+    got = toxicity.features(raw, off, np.zeros(0, np.uint64), np.zeros(0))
+    for x, text in zip(got, texts, strict=True):
+        text = text or ""
+        letters, size = re.findall("[A-Za-z]", text), max(len(text), 1)
+        runs = re.findall("[A-Za-z]+", text)
+        assert np.isclose(x[6], sum(c.isupper() for c in letters) / max(len(letters), 1))
+        assert np.isclose(x[7], sum(len(w) >= 3 and w.isupper() for w in runs) / max(len(runs), 1))
+        assert np.isclose(x[10], sum(c.isdigit() for c in text) / size)
+        assert np.isclose(x[12], sum(bool(re.search(r"([A-Za-z])\1\1", w)) for w in runs) / max(len(runs), 1))
+        assert np.isclose(x[13], np.log1p(len(runs)))
+        assert np.isclose(x[14], sum(map(len, runs)) / max(len(runs), 1))
+
+
 @pytest.mark.parametrize("model, least", [("quality", 0.95), ("toxicity", 0.85)])
 def test_labels_held_out(spark, model, least):
     """The bound for toxicity was 0.9 at first; 0.886 was measured with the 51 toxic labels of this table, and it was set below that."""

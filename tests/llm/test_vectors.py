@@ -61,3 +61,12 @@ def test_bounds_hold():
 
 def test_empty(spark):
     assert vectors.near_duplicates(frame(spark, [(1, [1.0], 1)]).limit(0)).count() == 0
+
+
+def test_null_ids_and_large_components(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1.01e200], 1), (3, [1e-200, 1e-200], 1), (4, [1e200, -1e200], 1)]
+    table = spark.createDataFrame([*rows, (None, [1e200, 1e200], 1), (None, None, None)], "vec_id long, embedding array<double>, label long")
+    got = vectors.near_duplicates(table).collect()
+    by = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is not None}
+    assert by == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True)}
+    assert [(r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is None] == [(0, None, False)] * 2

@@ -7,8 +7,10 @@ K(landmarks, landmarks)^(-1/2) as the map.  On it, one ridge regression per
 language against the rest, in closed form.  A batch of texts is scored with
 matrix products: presence x landmarks, then x coefficients.
 
-n-grams are compared through a hash of 20 bits; only those that occur in some
-landmark can count in a product, so they alone have a column.
+n-grams are compared through a hash of 20 bits for each length; only those that
+occur in some landmark can count.  The commonest of these are columns of the
+matrix products, the others meet the few landmarks that hold them through a
+list, so that every n-gram counts.
 
 Defined results: null texts and texts without any letter give ``und`` with
 score 0; repeated rows give the same; without training rows every text gives
@@ -30,7 +32,7 @@ from . import common as C
 TRAIN_EACH, LANDMARKS = 250, 120
 LENGTHS = (1, 2, 3, 4)
 BITS = 20
-#: Columns that the landmarks' n-grams may take; the rarest among the landmarks go beyond it.
+#: Columns of the matrix products; n-grams rarer among the landmarks are looked up in lists.
 COLUMNS = 24_000
 
 
@@ -65,32 +67,45 @@ class LanguageModel:
         self.each, self.most, self.ridge, self.seed = each, landmarks, ridge, seed
         self.languages: list[str] = []
 
-    def _presence(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """0/1 per row and column, and the number of distinct n-grams per row and length."""
-        n = len(off) - 1
-        x = np.zeros((n, len(self.weight)), np.float32)
-        sizes = np.zeros((n, len(LENGTHS)))
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "column"}  # large, and made again in each worker
+
+    def _columns(self) -> np.ndarray:
+        """Number of each length's hash among the landmarks' n-grams, -1 for others."""
+        if "column" not in self.__dict__:
+            self.column = np.full((len(LENGTHS), 1 << BITS), -1, np.int32)
+            for k, value in enumerate(self.value):
+                self.column[k, value] = np.arange(len(value), dtype=np.int32)
+        return self.column
+
+    def _kernel(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Kernel values between rows and landmarks: one matrix product per length, and the lists of rare n-grams."""
+        n, many = len(off) - 1, self.landmarks
+        out = np.zeros((n, many))
         for k, (h, size) in enumerate(grams(raw, off)):
-            end = np.cumsum(size)
+            dense, (begin, owner, weight) = self.dense[k], self.lists[k]
+            x, sizes, rows, rare = np.zeros((n, len(dense)), np.float32), np.zeros(n), [], []
+            end, column = np.cumsum(size), self._columns()[k]
             for i in np.flatnonzero(size):
                 s = np.sort(h[end[i] - size[i] : end[i]])
                 fresh = np.empty(len(s), bool)
                 fresh[0] = True
                 np.not_equal(s[1:], s[:-1], out=fresh[1:])
                 s = s[fresh]
-                sizes[i, k] = len(s)
-                at = self.column[s]
-                x[i, at[at >= 0]] = 1
-        return x, sizes
-
-    def _kernel(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Kernel values between rows and landmarks: one matrix product per length."""
-        x, sizes = self._presence(raw, off)
-        out = np.zeros((len(x), self.landmark.shape[1]))
-        for k in range(len(LENGTHS)):
-            a, b = self.edge[k], self.edge[k + 1]
-            if b > a:
-                out += (x[:, a:b] @ self.landmark[a:b]) / np.sqrt(np.maximum(sizes[:, k : k + 1], 1))
+                sizes[i] = len(s)
+                at = column[s]
+                x[i, at[(at >= 0) & (at < len(dense))]] = 1
+                more = at[at >= len(dense)]
+                rare.append(more - len(dense))
+                rows.append(np.full(len(more), i))
+            shared = (x @ dense).astype(np.float64) if len(dense) else np.zeros((n, many))
+            if rare and len(begin) > 1:
+                r, row = np.concatenate(rare), np.concatenate(rows)
+                long = begin[r + 1] - begin[r]
+                total = np.cumsum(long)
+                post = np.repeat(begin[r] - (total - long), long) + np.arange(total[-1] if len(total) else 0)
+                shared += np.bincount(np.repeat(row, long) * many + owner[post], weight[post], minlength=n * many).reshape(n, many)
+            out += shared / np.sqrt(np.maximum(sizes, 1))[:, None]
         return out / len(LENGTHS)
 
     def fit(self, docs: DataFrame) -> LanguageModel:
@@ -111,26 +126,24 @@ class LanguageModel:
         per = max(1, self.most // len(self.languages))
         pick = np.concatenate([np.flatnonzero(y == c)[np.linspace(0, (y == c).sum() - 1, min(per, (y == c).sum())).astype(int)] for c in range(len(self.languages))])
         found: list[list[np.ndarray]] = [[np.unique(h) for h, _ in grams(raw[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))] for i in pick]
-        self.column = np.full(1 << BITS, -1, np.int16)
-        self.edge, used, seen = [0], [], np.zeros(1 << BITS, bool)
+        self.landmarks, self.value, self.dense, self.lists = len(pick), [], [], []
+        self.__dict__.pop("column", None)
         for k in range(len(LENGTHS)):
-            every = np.concatenate([f[k] for f in found if k < len(f)] or [np.zeros(0, np.uint32)])
-            value, times = np.unique(every, return_counts=True)
-            fresh = ~seen[value]
-            value, times = value[fresh], times[fresh]
-            value = np.sort(value[np.argsort(-times, kind="stable")[: COLUMNS // len(LENGTHS)]])
-            seen[value] = True
-            used.append(value)
-            self.edge.append(self.edge[-1] + len(value))
-        value = np.concatenate(used)
-        self.column[value] = np.arange(len(value), dtype=np.int16)
-        self.weight = np.ones(len(value), np.float32)
-        self.landmark = np.zeros((len(value), len(pick)), np.float32)
-        for j, f in enumerate(found):
-            for k, h in enumerate(f):
-                at = self.column[h]
-                at = at[(at >= self.edge[k]) & (at < self.edge[k + 1])]
-                self.landmark[at, j] = 1 / np.sqrt(max(len(h), 1))
+            every = np.concatenate([f[k] for f in found])
+            owner = np.repeat(np.arange(len(found)), [len(f[k]) for f in found])
+            weight = np.repeat([1 / np.sqrt(max(len(f[k]), 1)) for f in found], [len(f[k]) for f in found])
+            value, which, times = np.unique(every, return_inverse=True, return_counts=True)
+            rank = np.empty(len(value), np.int64)
+            rank[np.argsort(-times, kind="stable")] = np.arange(len(value))
+            number, wide = rank[which], min(len(value), COLUMNS // len(LENGTHS))
+            self.value.append(value[np.argsort(rank)])
+            dense = np.zeros((wide, len(pick)), np.float32)
+            common = number < wide
+            dense[number[common], owner[common]] = weight[common]
+            self.dense.append(dense)
+            order = np.argsort(number[~common], kind="stable")
+            begin = np.concatenate([[0], np.cumsum(np.bincount(number[~common] - wide, minlength=len(value) - wide))]).astype(np.int64)
+            self.lists.append((begin, owner[~common][order], weight[~common][order]))
         k_all = np.concatenate([self._kernel(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in C.steps(off, 1 << 18)])
         k_mm = k_all[pick]
         values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
@@ -161,6 +174,7 @@ class LanguageModel:
         def scan(column: pa.Array) -> pa.Array:
             raw, off = C.flatten(column)
             got = [model.decide(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in C.steps(off, 1 << 18)]
+            C.trim()
             c = np.concatenate([g[0] for g in got]) if got else np.zeros(0, int)
             s = np.concatenate([g[1] for g in got]) if got else np.zeros(0)
             return pa.StructArray.from_arrays([pa.array(np.array(model.languages, object)[c], pa.string()), pa.array(s)], ["lang_pred", "score"])
