@@ -41,8 +41,8 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-#: Bounds of what is broadcast: words, at most 2**20, and 2-grams.
-HEADS, ARCS = 400_000, 3_000_000
+#: Bounds of what is broadcast: words, at most 2**20, and 2-grams; and how often these occur at least, at any size of the corpus.
+HEADS, ARCS, HOT = 400_000, 3_000_000, 3
 #: Tokens, and 2-grams, whose counts one task gathers before it passes them on.
 BUFFER, PAIR_BUFFER = 3_000_000, 2_000_000
 #: Counted 2-grams of a partition, about.
@@ -286,15 +286,17 @@ class BackoffModel:
         self._weigh(counts, grams, lexicon)
         inner = grams.where("u is not null")
         # at most ``arcs`` rows
-        hot = inner.where(F.col("n") >= _at_least(inner, self.arcs)).select("u", "v", "rest").toArrow()
-        u, v, rest = (hot.column(c).to_numpy() for c in ("u", "v", "rest"))
-        u = u.astype(np.int64)
+        hot = inner.where(F.col("n") >= max(HOT, _at_least(inner, self.arcs))).select("u", "v", "rest").toArrow()
+        root = np.log10((lexicon.count + 1) / self.norm)
+        v = hot.column("v").to_numpy()
+        arc = hot.column("rest").to_numpy() + root[v]
+        key = hot.column("u").to_numpy().astype(np.int64) << BITS | v
+        del hot, v
         # at most 2 ** FILTER rows
         bars = grams.groupBy(F.shiftrightunsigned("h", 64 - FILTER).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
         bits = np.zeros(1 << FILTER, np.uint64)
         bits[bars.column("i").to_numpy()] = bars.column("b").to_numpy().view(np.uint64)
-        root = np.log10((lexicon.count + 1) / self.norm)
-        self.model = Automaton(lexicon, self.norm, self.fail, u << BITS | v, rest + root[v], bits)
+        self.model = Automaton(lexicon, self.norm, self.fail, key, arc, bits)
         return self
 
     def _weigh(self, counts: DataFrame, grams: DataFrame, lexicon: Lexicon) -> None:
