@@ -166,8 +166,8 @@ ROADS = (
     "UNION ALL SELECT b.stop_id, a.stop_id, 100 + a.stop_id * 53 % 200 FROM stops a JOIN stops b ON b.stop_id = a.stop_id + 1 WHERE a.stop_id % 12 <> 11) GROUP BY ALL)"
 )
 #: Shortest paths of up to 128 roads, by squaring.
-CLOSED = f"{ROADS}, d0 AS MATERIALIZED (SELECT * FROM roads UNION ALL SELECT stop_id, stop_id, 0 FROM stops), " + ", ".join(
-    f"d{k} AS MATERIALIZED (SELECT a.src, b.dst, min(a.travel_time + b.travel_time) AS travel_time FROM d{k - 1} a JOIN d{k - 1} b ON a.dst = b.src GROUP BY ALL)" for k in range(1, 8)
+CLOSED = f"{ROADS}, sq0 AS MATERIALIZED (SELECT * FROM roads UNION ALL SELECT stop_id, stop_id, 0 FROM stops), " + ", ".join(
+    f"sq{k} AS MATERIALIZED (SELECT a.src, b.dst, min(a.travel_time + b.travel_time) AS travel_time FROM sq{k - 1} a JOIN sq{k - 1} b ON a.dst = b.src GROUP BY ALL)" for k in range(1, 8)
 )
 
 
@@ -184,18 +184,18 @@ def symmetric_edges(spark, sf_dir):
     return G.symmetric(roads(derived(spark, sf_dir)))
 
 
-@_query(f", {CLOSED} SELECT * FROM d7 WHERE src <> dst")
+@_query(f", {CLOSED} SELECT * FROM sq7 WHERE src <> dst")
 def transitive_closure(spark, sf_dir):
     return G.closure(roads(derived(spark, sf_dir)))
 
 
-@_query(f", {CLOSED} SELECT src, dst, min(travel_time) AS travel_time FROM (SELECT * FROM d7 UNION ALL SELECT dst, src, travel_time FROM d7) WHERE src <> dst AND travel_time <= 900 GROUP BY ALL")
+@_query(f", {CLOSED} SELECT src, dst, min(travel_time) AS travel_time FROM (SELECT * FROM sq7 UNION ALL SELECT dst, src, travel_time FROM sq7) WHERE src <> dst AND travel_time <= 900 GROUP BY ALL")
 def one_hop_transfers(spark, sf_dir):
     net = derived(spark, sf_dir)
     return G.one_hop_transfers(roads(net), net.stops, 900)
 
 
-@_query(f", {CLOSED} SELECT a.src AS id, min(a.dst) AS component FROM d7 a JOIN d7 b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src")
+@_query(f", {CLOSED} SELECT a.src AS id, min(a.dst) AS component FROM sq7 a JOIN sq7 b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src")
 def strong_components(spark, sf_dir):
     net = derived(spark, sf_dir)
     return G.strong_components(roads(net), net.stops.select(F.col("stop_id").alias("id")))

@@ -212,7 +212,7 @@ def stops_of_connections(spark, sf_dir):
     return X.network_from_connections(X.connections(net.events), net.edges, net.stops).stops
 
 
-@query(f", {CLOSED}, comp AS (SELECT a.src AS id, min(a.dst) AS component FROM d7 a JOIN d7 b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src), top AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), ids AS (SELECT id FROM comp WHERE component = (SELECT component FROM top)) SELECT trip, idx, stop, arr, dep, n FROM ev WHERE trip NOT IN (SELECT trip FROM ev WHERE stop NOT IN (SELECT id FROM ids))")
+@query(f", {CLOSED}, comp AS (SELECT a.src AS id, min(a.dst) AS component FROM sq7 a JOIN sq7 b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src), top AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), ids AS (SELECT id FROM comp WHERE component = (SELECT component FROM top)) SELECT trip, idx, stop, arr, dep, n FROM ev WHERE trip NOT IN (SELECT trip FROM ev WHERE stop NOT IN (SELECT id FROM ids))")
 def events_of_largest_component(spark, sf_dir):
     """The network reduced to the largest strong component of its roads."""
     net = derived(spark, sf_dir)
@@ -220,7 +220,7 @@ def events_of_largest_component(spark, sf_dir):
     return X.keep_component(net, G.largest_component(parts)).events
 
 
-_COMP = f"{CLOSED}, comp AS (SELECT a.src AS id, min(a.dst) AS component FROM d7 a JOIN d7 b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)"
+_COMP = f"{CLOSED}, comp AS (SELECT a.src AS id, min(a.dst) AS component FROM sq7 a JOIN sq7 b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)"
 
 
 @query(f", {_COMP} SELECT component, count(*) AS size FROM comp GROUP BY component")
@@ -317,7 +317,7 @@ def merged_rides(spark, sf_dir):
     return G.merge_edges(G.without_loops(rides), rides=F.count(F.lit(1)), fastest=F.min("t"), slowest=F.max("t"))
 
 
-@query(f", {CLOSED} SELECT 'roads' AS graph, NOT EXISTS (SELECT 1 FROM d7 a JOIN d7 b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst) AS acyclic UNION ALL SELECT 'roads onwards', true")
+@query(f", {CLOSED} SELECT 'roads' AS graph, NOT EXISTS (SELECT 1 FROM sq7 a JOIN sq7 b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst) AS acyclic UNION ALL SELECT 'roads onwards', true")
 def acyclic_graphs(spark, sf_dir):
     graph = roads(derived(spark, sf_dir))
     found = [("roads", G.is_acyclic(graph)), ("roads onwards", G.is_acyclic(graph.where("src < dst")))]
@@ -352,7 +352,7 @@ def reduced_roads(spark, sf_dir):
 
 
 @query(
-    f", {CLOSED}, half AS (SELECT stop_id, min_transfer_time * 5 // 2 AS r FROM stops), near AS (SELECT src, dst, travel_time, r FROM d7 JOIN half ON stop_id = src WHERE travel_time <= r), "
+    f", {CLOSED}, half AS (SELECT stop_id, min_transfer_time * 5 // 2 AS r FROM stops), near AS (SELECT src, dst, travel_time, r FROM sq7 JOIN half ON stop_id = src WHERE travel_time <= r), "
     "beyond AS (SELECT n.src, e.dst, n.travel_time + e.travel_time AS travel_time, r FROM near n JOIN roads e ON e.src = n.dst), best AS (SELECT src, dst, r, min(travel_time) AS travel_time FROM (SELECT * FROM near UNION ALL SELECT src, dst, travel_time, r FROM beyond) WHERE src <> dst GROUP BY ALL), "
     "k AS (SELECT b.src, b.dst, b.travel_time FROM best b LEFT JOIN roads e ON e.src = b.src AND e.dst = b.dst WHERE (e.travel_time IS NULL OR e.travel_time > b.travel_time) AND (b.travel_time > r OR b.dst IN (SELECT stop_id FROM stops))) "
     "SELECT src, dst, min(travel_time) AS travel_time FROM (SELECT * FROM k UNION ALL SELECT dst, src, travel_time FROM k) GROUP BY ALL"
@@ -363,7 +363,7 @@ def min_change_times(spark, sf_dir):
     return G.min_change_time_graph(roads(net), net.stops.withColumn("min_transfer_time", F.col("min_transfer_time") * 5))
 
 
-_BALLS = f"{CLOSED}, balls AS (SELECT src AS center, dst AS vertex, travel_time AS distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY travel_time, dst) AS n FROM d7) WHERE n <= 5)"
+_BALLS = f"{CLOSED}, balls AS (SELECT src AS center, dst AS vertex, travel_time AS distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY travel_time, dst) AS n FROM sq7) WHERE n <= 5)"
 
 
 @query(f", {_BALLS} SELECT * FROM balls")
@@ -379,8 +379,8 @@ def transfers_by_range(spark, sf_dir):
 
 
 @query(
-    f", {_PLACES}, some AS (SELECT * FROM edges WHERE src % 5 <> 0), p AS (SELECT a.id AS src, b.id AS dst, CAST(floor(greatest({_DISTANCE}, 1.0) / 4.5 * 0.036) AS BIGINT) AS travel_time FROM places a JOIN places b ON a.id <> b.id WHERE a.id NOT IN (SELECT src FROM some) AND {_DISTANCE} <= 100000) "
-    "SELECT src, dst, min(travel_time) AS travel_time FROM (SELECT * FROM some UNION ALL SELECT * FROM p UNION ALL SELECT dst, src, travel_time FROM p) GROUP BY ALL"
+    f", {_PLACES}, tied AS (SELECT * FROM edges WHERE src % 5 <> 0), p AS (SELECT a.id AS src, b.id AS dst, CAST(floor(greatest({_DISTANCE}, 1.0) / 4.5 * 0.036) AS BIGINT) AS travel_time FROM places a JOIN places b ON a.id <> b.id WHERE a.id NOT IN (SELECT src FROM tied) AND {_DISTANCE} <= 100000) "
+    "SELECT src, dst, min(travel_time) AS travel_time FROM (SELECT * FROM tied UNION ALL SELECT * FROM p UNION ALL SELECT dst, src, travel_time FROM p) GROUP BY ALL"
 )
 def connected_isolated(spark, sf_dir):
     """Stops that were cut off, each fifth, tied to what lies within a kilometre."""
@@ -412,7 +412,7 @@ def merged_shortcuts(spark, sf_dir):
     return G.merge_shortcuts(old, graph.where("src % 2 = 0"))
 
 
-@query(f", {CLOSED}, s AS (SELECT src, dst, travel_time + CASE WHEN src % 5 = 0 THEN 1 ELSE 0 END AS travel_time FROM edges) SELECT s.src, s.dst, s.travel_time, d7.travel_time AS distance FROM s LEFT JOIN d7 ON d7.src = s.src AND d7.dst = s.dst WHERE d7.travel_time IS NULL OR d7.travel_time <> s.travel_time")
+@query(f", {CLOSED}, s AS (SELECT src, dst, travel_time + CASE WHEN src % 5 = 0 THEN 1 ELSE 0 END AS travel_time FROM edges) SELECT s.src, s.dst, s.travel_time, sq7.travel_time AS distance FROM s LEFT JOIN sq7 ON sq7.src = s.src AND sq7.dst = s.dst WHERE sq7.travel_time IS NULL OR sq7.travel_time <> s.travel_time")
 def wrong_shortcuts(spark, sf_dir):
     """Transfers as shortcuts of the roads, some of them a second too long: those that fail the check."""
     net = derived(spark, sf_dir)
@@ -463,7 +463,7 @@ def departure_sweeps(spark, sf_dir):
 # -- journeys ---------------------------------------------------------------------
 
 _FRONT = f", {_Q}, {J.rounds_sql(ROUNDS)} "
-_WALKS = f"{CLOSED}, walks AS MATERIALIZED (SELECT * FROM d7 WHERE src <> dst)"
+_WALKS = f"{CLOSED}, walks AS MATERIALIZED (SELECT * FROM sq7 WHERE src <> dst)"
 _FAR = f", {_Q}, {_WALKS}, {J.rounds_sql(ROUNDS).replace('JOIN edges ON', 'JOIN walks ON')} "
 
 
@@ -497,7 +497,7 @@ def pareto_from_vertices(spark, sf_dir):
     return J.pareto(J.unlimited(net, spurs), batch, initial=J.from_vertices(batch, spurs, net.stops))
 
 
-@query(_FAR + ", balls AS (SELECT src AS center, dst AS vertex FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY travel_time, dst) AS n FROM d7) WHERE n <= 5) SELECT center AS set_id, query_id, stop, min(arrival) AS arrival FROM front JOIN balls ON vertex = stop GROUP BY ALL")
+@query(_FAR + ", balls AS (SELECT src AS center, dst AS vertex FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY travel_time, dst) AS n FROM sq7) WHERE n <= 5) SELECT center AS set_id, query_id, stop, min(arrival) AS arrival FROM front JOIN balls ON vertex = stop GROUP BY ALL")
 def earliest_in_balls(spark, sf_dir):
     """One-to-many: the stops of each target ball."""
     net = derived(spark, sf_dir)
@@ -638,11 +638,11 @@ def delay_feasibility(spark, sf_dir):
 
 _TWICE = (
     f", {_Q}, {_LATE}, planned AS MATERIALIZED (WITH {J.rounds_sql(ROUNDS)} SELECT * FROM front), actual AS MATERIALIZED (WITH {J.rounds_sql(ROUNDS).replace('JOIN ev e ON', 'JOIN late e ON')} SELECT * FROM front), "
-    "x AS (SELECT query_id, stop, min(arrival) AS exact FROM planned GROUP BY ALL), y AS (SELECT query_id, stop, min(arrival) AS found FROM actual GROUP BY ALL) "
+    "was AS (SELECT query_id, stop, min(arrival) AS exact FROM planned GROUP BY ALL), now AS (SELECT query_id, stop, min(arrival) AS found FROM actual GROUP BY ALL) "
 )
 
 
-@query(_TWICE + "SELECT count(*) AS journeys, CAST(sum(CASE WHEN found IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(sum(CASE WHEN found > exact THEN 1 ELSE 0 END) AS BIGINT) AS later FROM x LEFT JOIN y USING (query_id, stop)")
+@query(_TWICE + "SELECT count(*) AS journeys, CAST(sum(CASE WHEN found IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(sum(CASE WHEN found > exact THEN 1 ELSE 0 END) AS BIGINT) AS later FROM was LEFT JOIN now USING (query_id, stop)")
 def arrivals_under_delays(spark, sf_dir):
     """Coverage: planned arrivals that the late network doesn't have any more, or only later."""
     net = derived(spark, sf_dir)

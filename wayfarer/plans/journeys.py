@@ -48,7 +48,8 @@ def labels(net: Network, queries: DataFrame, max_trips: int | None = None, initi
     ``trip``, ``board_stop`` and ``board_idx`` name the trip taken last, ``via`` the stop that a closing transfer began at.
     ``net.edges`` must be closed under transitivity for one-hop transfers to be shortest paths.
     """
-    boardable, events, edges = net.boardable(), net.events, net.edges
+    # every round reads these, so they are made once
+    boardable, events, edges = cut(net.boardable()), cut(net.events.select("trip", "idx", "stop", "arr")), cut(net.edges.select("src", "dst", "travel_time"))
     start = cut(initial if initial is not None else initial_labels(queries, edges))
     none = F.lit(None).cast("long")
     found = [start.select(*_KEY, F.lit(0).cast("long").alias("trips"), "arrival", none.alias("trip"), none.alias("board_stop"), none.alias("board_idx"), "via")]
@@ -162,10 +163,9 @@ def legs(net: Network, found: DataFrame, wanted: DataFrame) -> DataFrame:
             break
         alight = F.coalesce("via", "stop")
         ride_rows = last.where("trip is not null").withColumn("alight", alight)
-        a = ev.select("trip", F.col("idx").alias("i0"), F.col("dep").alias("d"))
-        b = ev.select("trip", F.col("idx").alias("i1"), F.col("stop").alias("s1"), F.col("arr").alias("a1"))
-        rides = ride_rows.join(a, (ride_rows.trip == a.trip) & (ride_rows.board_idx == a.i0)).drop(a.trip)
-        rides = rides.join(b, (rides.trip == b.trip) & (rides.alight == b.s1) & (b.i1 > rides.board_idx)).drop(b.trip)
+        a = ev.select("trip", F.col("idx").alias("board_idx"), F.col("dep").alias("d"))
+        b = ev.select("trip", F.col("idx").alias("i1"), F.col("stop").alias("alight"), F.col("arr").alias("a1"))
+        rides = ride_rows.join(a, ["trip", "board_idx"]).join(b, ["trip", "alight"]).where("i1 > board_idx")
         one = rides.groupBy("query_id", "goal", "total").agg(F.min(F.struct(F.col("a1").alias("arr"), F.col("d").alias("dep"), "trip", "board_stop", "alight")).alias("r"))
         ride = one.select("query_id", "goal", "total", F.lit(2 * step + 1).alias("leg"), F.lit("trip").alias("kind"), F.col("r.board_stop").alias("from"), F.col("r.alight").alias("to"), F.col("r.dep").alias("dep"), F.col("r.arr").alias("arr"), F.col("r.trip").alias("trip"))
         walks = last.where("via is not null").join(net.edges, (F.col("via") == F.col("src")) & (F.col("stop") == F.col("dst")))
