@@ -559,6 +559,49 @@ def pareto_unlimited_with_walking(spark, sf_dir):
     return M.pareto_sets(J.unlimited(net, roads(net)), _batch(net))
 
 
+_FAR_ANCHORED = _ANCHORED.replace("JOIN edges ON", "JOIN walks ON").replace(f", {_Q}, ", f", {_Q}, {_WALKS}, ", 1)
+
+
+@query(_FAR_ANCHORED + "SELECT DISTINCT query_id, stop, trips, arrival, t_walk FROM usable WHERE arrival - dep_time <= (a - dep_time) * 1.25::DOUBLE AND trips <= ceil(k * 1.25::DOUBLE)")
+def restricted_unlimited_walking(spark, sf_dir):
+    """The restricted set with walks of any length."""
+    net = derived(spark, sf_dir)
+    net, batch = J.unlimited(net, roads(net)), _batch(net)
+    return M.restricted(M.pareto_sets(net, batch), J.pareto(net, batch), batch, 1.25, 1.25)
+
+
+def _modes_sql(rounds: int) -> str:
+    """CTEs for arrival and two costs (walking w, bicycle b) over ``ways``: labels of each number of trips, and modal, all of them."""
+
+    def best(rows: str, key: str, first: str) -> str:
+        worse = " AND ".join(f"g.{c} <= x.{c}" for c in (first, "w", "b"))
+        less = " OR ".join(f"g.{c} < x.{c}" for c in (first, "w", "b"))
+        return f"(WITH r AS MATERIALIZED (SELECT DISTINCT * FROM ({rows})) SELECT x.* FROM r x WHERE NOT EXISTS (SELECT 1 FROM r g WHERE g.query_id = x.query_id AND g.{key} = x.{key} AND {worse} AND ({less})))"
+
+    fresh = lambda rows, bag: f"(SELECT x.* FROM {rows} x WHERE NOT EXISTS (SELECT 1 FROM {bag} g WHERE g.query_id = x.query_id AND g.stop = x.stop AND g.arr <= x.arr AND g.w <= x.w AND g.b <= x.b))"
+    zero = "CAST(0 AS BIGINT)"
+    walked = lambda rows: f"SELECT query_id, stop, arr, w, b FROM {rows} UNION ALL SELECT query_id, dst, arr + travel_time, w + tw, b + tb FROM {rows} JOIN ways ON src = stop"
+    parts = [f"z0 AS (SELECT query_id, source AS stop, dep_time AS arr, {zero} AS w, {zero} AS b FROM q)", f"n0 AS MATERIALIZED {best(walked('z0'), 'stop', 'arr')}", "o0 AS (SELECT * FROM n0)"]
+    for k in range(1, rounds + 1):
+        on = f"SELECT a.query_id, e.trip, e.idx, a.w, a.b FROM n{k - 1} a JOIN ev e ON e.stop = a.stop JOIN stops s ON s.stop_id = e.stop WHERE e.dep - s.min_transfer_time >= a.arr AND e.idx < e.n - 1"
+        off = f"SELECT c.query_id, e.stop, e.arr, c.w, c.b FROM i{k} c JOIN ev e ON e.trip = c.trip AND e.idx > c.idx"
+        parts += [f"i{k} AS MATERIALIZED {best(on, 'trip', 'idx')}", f"j{k} AS MATERIALIZED {fresh(best(off, 'stop', 'arr'), f'o{k - 1}')}", f"n{k} AS MATERIALIZED {fresh(best(walked(f'j{k}'), 'stop', 'arr'), f'o{k - 1}')}", f"o{k} AS MATERIALIZED {best(f'SELECT * FROM o{k - 1} UNION ALL SELECT * FROM n{k}', 'stop', 'arr')}"]
+    union = " UNION ALL ".join(f"SELECT query_id, stop, CAST({k} AS BIGINT) AS trips, arr AS arrival, w AS t_walking, b AS t_bicycle FROM n{k}" for k in range(rounds + 1))
+    return ", ".join([*parts, f"modal AS ({union})"])
+
+
+_WAYS = "ways AS (SELECT src, dst, travel_time, travel_time AS tw, CAST(0 AS BIGINT) AS tb FROM edges UNION ALL SELECT src, dst, travel_time // 3 + 300, 0, travel_time // 3 + 300 FROM edges)"
+
+
+@query(f", q AS MATERIALIZED ({J.queries_sql(2)}), {_WAYS}, {_modes_sql(6)} SELECT * FROM modal")
+def multimodal_pareto(spark, sf_dir):
+    """Arrival, trips, and transfer times by foot and by bicycle apart."""
+    net = derived(spark, sf_dir)
+    fast = net.edges.withColumn("travel_time", F.floor(F.col("travel_time") / 3))
+    ways = M.mode_edges({"walking": net.edges, "bicycle": fast}, S.MODE_OVERHEAD)
+    return M.pareto_sets(net, J.hashed_queries(net.stops, 2), ways, ("t_walking", "t_bicycle"))
+
+
 # -- transfers between trips, delays ----------------------------------------------
 
 
