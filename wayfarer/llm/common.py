@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -33,6 +34,7 @@ _libc = ctypes.CDLL(None)
 
 def trim() -> None:
     """Gives the heap that this process has freed back to the machine, where the C library can."""
+    gc.collect()
     if hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)
 

@@ -40,8 +40,8 @@ CAPACITY, SEPARATOR = 1024, 2
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 20_000, 2, 2, 6, 4
 #: A bin filled less than this share is packed once more, with those of other shards.
 FILLED = 0.99
-#: Distinct pieces that a worker remembers before it forgets them all; and those that it may keep beyond a task.
-REMEMBERED, KEPT = 600_000, 150_000
+#: Distinct pieces that a task remembers before it forgets them all.
+REMEMBERED = 600_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -193,15 +193,8 @@ def _joined(a: tuple, b: tuple) -> tuple:
 _encoders: dict[str, Encoder] = {}
 
 
-def _forget_much() -> None:
-    """A task's end: what waiting workers hold stays small."""
-    for e in _encoders.values():
-        if len(e.tables[0][0]) + len(e.tables[1][0]) > KEPT:
-            e.forget()
-
-
 def encoder(path: str) -> Encoder:
-    """One for each Python worker: the next task finds what this one remembers."""
+    """One for each Python worker, until its task ends: workers wait beside those that work, and a tokenizer is large."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -218,7 +211,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
         try:
             yield from cut(batches)
         finally:
-            _forget_much()
+            _encoders.clear()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, uid = encoder(path), TaskContext.get().partitionId() << 36
