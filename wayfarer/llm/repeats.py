@@ -50,7 +50,7 @@ LENGTH, GRAM = 50, 24
 #: Bits of the filter of shared anchors.
 FILTER_BITS = 1 << 26
 #: Contexts that one suffix array takes, about; distinct contexts of an anchor from which strings are resolved one by one.
-BLOCK, CROWD = 12_000, 60_000
+BLOCK, CROWD = 5_000, 60_000
 #: Contexts, places or marks that a task gathers before it passes them on.
 BUFFER = 200_000
 #: Anchors that a partition counts, about.
