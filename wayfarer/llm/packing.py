@@ -363,7 +363,7 @@ def _epoch(rows: DataFrame, epoch: int, capacity: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 lengths = np.array(r["lengths"], np.int64)
-                seeds = [np.array(r[k], np.int32) for k in ("elite", "guest") if r[k] is not None]
+                seeds = [np.array(r[k], np.int64) for k in ("elite", "guest") if r[k] is not None]
                 bin_of = evolve(lengths, seeds, (r["shard"] * 31 + r["island"]) * 31 + epoch, capacity)
                 filled = np.bincount(bin_of, lengths)
                 yield pa.RecordBatch.from_arrays([pa.array([r["shard"]], pa.int64()), pa.array([r["island"]], pa.int32()), pa.array([r["lengths"]], pa.list_(pa.int32())), pa.array([bin_of.tolist()], pa.list_(pa.int32())), pa.array([len(filled)], pa.int64()), pa.array([float((filled**2).sum())])], ["shard", "island", "lengths", "elite", "bins", "even"])
@@ -403,8 +403,7 @@ def packed(all_pieces: DataFrame, capacity: int = CAPACITY, islands: int = ISLAN
     meet = F.pmod(F.xxhash64("shard", "bin"), F.lit(again))
     loose = items.join(bad, ["shard", "bin"]).select(meet.alias("shard"), F.struct("length", "uid", F.xxhash64("shard", "bin").alias("b")).alias("x"))
     groups = C.cut(loose.groupBy("shard").agg(F.array_sort(F.collect_list("x")).alias("items")))
-    number = F.transform("items", lambda x: F.array_position(F.array_distinct(F.transform("items", lambda y: y["b"])), x["b"]).cast("int"))
-    begun = groups.select("shard", number.alias("elite"))
+    begun = groups.select("shard", F.transform("items", lambda x: x["b"]).alias("elite"))
     regrouped = _evolved(groups, begun, islands, 1, capacity)
     place = lambda df, kind: df.select("uid", "length", (F.col("shard") * (1 << 21) + F.col("bin") * 2 + kind).alias("sequence_id"))
     items = place(items.join(bad, ["shard", "bin"], "left_anti"), 0).unionByName(place(regrouped, 1))
