@@ -52,7 +52,8 @@ def test_whole_table(spark, sf_dir):
 def test_each_history_sums_to_one(spark):
     """Probabilities of all words after a history, unknown ones as one, add up to one: each is what the traversal adds for the word."""
     rng = np.random.default_rng(1)
-    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 12, 60)), None, "s") for i in range(60)]
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 12, 60)) for _ in range(40)]
+    rows = [(i, t, None, "s") for i, t in enumerate(texts * 3)]  # so often that the automaton holds all 2-grams
     m = scoring.BackoffModel().fit(K.documents(spark, rows).select("text"))
     words = m.model.lexicon.word
     assert len(words) == 13  # with the end

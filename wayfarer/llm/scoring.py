@@ -178,7 +178,7 @@ def _pairs_out(lexicon, parts: int):
 
 
 def _pairs_in(lexicon, norm: float):
-    """Summed counts, of 2-grams that occur often enough: (h, n) with u and the weight beside a failure for heads, with hashes a and v for others."""
+    """Summed counts n, of 2-grams that occur often enough: with numbers u and v and the weight beside a failure for heads, with hashes h, a and v for others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, code, many, rare = lexicon.value, [], [], []
@@ -197,11 +197,10 @@ def _pairs_in(lexicon, norm: float):
             key, n = key[n >= LEAST], n[n >= LEAST]
             u, v = (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
             rest = np.log10((n - DISCOUNT) / lex.count[u]) - np.log10((lex.count[v] + 1) / norm)
-            h = pair_hash(lex.word[u], lex.word[v])
-            for s in range(0, len(h), 100_000):
+            for s in range(0, len(n), 100_000):
                 c = slice(s, s + 100_000)
-                size = len(h[c])
-                yield pa.RecordBatch.from_arrays([pa.array(h[c].view(np.int64)), pa.array(n[c]), pa.array(u[c].astype(np.int32)), pa.array(rest[c]), pa.nulls(size, pa.int64()), pa.array(v[c])], names)
+                size = len(n[c])
+                yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.array(n[c]), pa.array(u[c].astype(np.int32)), pa.array(rest[c]), pa.nulls(size, pa.int64()), pa.array(v[c])], names)
         if rare:
             u, v, n = np.concatenate(rare, axis=1)
             h, one, where = np.unique(pair_hash(u, v), return_index=True, return_inverse=True)
@@ -283,7 +282,7 @@ class BackoffModel:
         dealt = text.mapInArrow(C.trimmed(_pairs_out(shared, parts)), "part int, kind int, data binary")
         grams = dealt.repartition(parts, "part").mapInArrow(C.trimmed(_pairs_in(shared, self.norm)), "h long, n long, u int, rest double, a long, v long")
         grams = C.keep(grams, "pairs")
-        self._weigh(counts, grams, lexicon)
+        pairs = self._weigh(counts, grams, lexicon, shared)
         inner = grams.where("u is not null")
         # at most ``arcs`` rows
         hot = inner.where(F.col("n") >= max(HOT, _at_least(inner, self.arcs))).select("u", "v", "rest").toArrow()
@@ -293,14 +292,14 @@ class BackoffModel:
         key = hot.column("u").to_numpy().astype(np.int64) << BITS | v
         del hot, v
         # at most 2 ** FILTER rows
-        bars = grams.groupBy(F.shiftrightunsigned("h", 64 - FILTER).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
+        bars = pairs.groupBy(F.shiftrightunsigned("h", 64 - FILTER).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
         bits = np.zeros(1 << FILTER, np.uint64)
         bits[bars.column("i").to_numpy()] = bars.column("b").to_numpy().view(np.uint64)
         self.model = Automaton(lexicon, self.norm, self.fail, key, arc, bits)
         return self
 
-    def _weigh(self, counts: DataFrame, grams: DataFrame, lexicon: Lexicon) -> None:
-        """Failure weights of the heads, and (h, known, base, model): what each word and 2-gram adds to a text's scores where the automaton doesn't know it."""
+    def _weigh(self, counts: DataFrame, grams: DataFrame, lexicon: Lexicon, numbered) -> DataFrame:
+        """Failure weights of the heads, and (h, base, model): what each word and 2-gram adds to a text's scores where the automaton doesn't know it.  Returns the 2-grams' part."""
         spark, seen = counts.sparkSession, F.col("n") - DISCOUNT
         names = pa.table({"u": pa.array(np.arange(len(lexicon.word)), pa.int32()), "a": lexicon.word.view(np.int64)})
         uni = counts.select("h", "n", F.log10((F.col("n") + 1) / F.lit(self.norm)).alias("base"))
@@ -324,16 +323,20 @@ class BackoffModel:
         shared = spark.sparkContext.broadcast(self.fail)
 
         def less_failure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            word = numbered.value.word
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(b.column("rest").to_numpy() - shared.value[b.column("u").to_numpy()])], ["h", "model"])
+                u, v = b.column("u").to_numpy(), b.column("v").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(pair_hash(word[u], word[v]).view(np.int64)), pa.array(b.column("rest").to_numpy() - shared.value[u])], ["h", "model"])
 
-        inner = grams.where("u is not null").select("h", "u", "rest").mapInArrow(C.trimmed(less_failure), "h long, model double")
+        inner = grams.where("u is not null").select("u", "v", "rest").mapInArrow(C.trimmed(less_failure), "h long, model double")
         rare = tail.join(uni.select(F.col("h").alias("a"), F.col("n").alias("of"), "fail"), "a")
         rare = rare.select("h", (F.log10(seen / F.col("of")) - F.col("word") - F.col("fail")).alias("model"))
         none = F.lit(None).cast("double").alias("base")
         # only words have a base; those that the automaton knows are never looked up
         words = uni.where(F.col("n") < low).select("h", "base", (F.col("base") + F.col("fail")).alias("model"))
-        self.weights = words.unionByName(inner.select("h", none, "model")).unionByName(rare.select("h", none, "model"))
+        pairs = inner.unionByName(rare)
+        self.weights = words.unionByName(pairs.select("h", none, "model"))
+        return pairs.select("h")
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs`` without its text, with n_tokens, n_known, train_tokens, base_score and score."""
