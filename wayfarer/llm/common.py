@@ -47,6 +47,7 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
             yield from run(batches)
         finally:
             _powers.clear()
+            _powers2.clear()
             trim()
 
     return wrapped
@@ -63,9 +64,19 @@ FOLDED = _SYMBOL.copy()
 FOLDED[65:91] = _SYMBOL[97:123]
 EXACT = _SYMBOL
 
+
+def folded(seed: int) -> np.ndarray:
+    """``FOLDED``, or the numbers of another hash."""
+    if not seed:
+        return FOLDED
+    return mix(FOLDED + np.uint64(seed)) | np.uint64(1)
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[int, np.ndarray] = {}
+#: Second modulus and base.  Words exist that no base tells apart modulo 2**64; a prime has none such.
+_PRIME, _BASE2 = 2**31 - 1, 1_103_515_245
+_powers2: dict[int, np.ndarray] = {}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -96,6 +107,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``keep``, with the table's path, for ``drop``."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``keep_at`` wrote, once nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A small intermediate result, written and read back: a reliable checkpoint would run its last stage twice."""
     return keep(df, "cut")
@@ -161,8 +186,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def powers2(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the second base and of its inverse, modulo the prime."""
+    size = 1 << max(16, int(n).bit_length())
+    if size not in _powers2:
+        _powers2.clear()
+        both = np.ones((2, size), np.uint64)
+        for x, base in zip(both, (_BASE2, pow(_BASE2, -1, _PRIME)), strict=True):
+            have, step = 1, base
+            while have < size:  # what is there, times the power that follows it
+                x[have : 2 * have] = x[:have] * np.uint64(step) % np.uint64(_PRIME)
+                have, step = 2 * have, step * step % _PRIME
+        _powers2[size] = both.astype(np.uint32)
+    p = _powers2[size]
+    return p[0, :n], p[1, :n]
+
+
 def prefix_hash(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Running polynomial hash: one entry more than bytes."""
+    """Running polynomial hash modulo 2**64, for spans below 1,024 bytes: one entry more than bytes."""
     up, _ = powers(len(raw) + 1)
     c = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(table[raw] * up[: len(raw)], out=c[1:])
@@ -175,10 +216,20 @@ def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((c[end] - c[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def text_hash(raw: np.ndarray, table: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of bytes ranges of any length: that modulo 2**64 and another modulo a prime, mixed."""
+    prime = np.uint64(_PRIME)
+    up, down = powers2(len(raw) + 1)
+    c = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((table >> np.uint64(34))[raw] * up[: len(raw)] % prime, out=c[1:])
+    second = (c[end] - c[start]) % prime * down[start] % prime
+    return mix(span_hash(prefix_hash(raw, table), start, end) + second)
+
+
 class Words:
     """Words (maximal runs of other bytes than ``gap``, ASCII white space at first) of some rows, in order."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, hashed: bool = True, gap: np.ndarray = IS_SPACE):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, hashed: bool = True, gap: np.ndarray = IS_SPACE, seed: int = 0):
         n = len(raw)
         word = ~gap[raw]
         first = np.zeros(n + 1, bool)
@@ -194,7 +245,7 @@ class Words:
         #: Index of the first word of each row, and one past the last.
         self.first = np.searchsorted(self.start, off)
         self.count = np.diff(self.first)
-        self.hash = span_hash(prefix_hash(raw, FOLDED), self.start, self.end) if hashed else None
+        self.hash = text_hash(raw, folded(seed), self.start, self.end) if hashed else None
 
     @property
     def row(self) -> np.ndarray:

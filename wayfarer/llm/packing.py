@@ -155,7 +155,7 @@ class Encoder:
         kind = np.where(cp < 0x10000, self.classes[np.minimum(cp, 0xFFFF)], _UNSURE).astype(np.uint8)
         start = byte[self._starts(cp, kind, cp_off)]
         end = np.append(start[1:], len(raw))
-        h = C.span_hash(C.prefix_hash(raw, C.EXACT), start, end)
+        h = C.text_hash(raw, C.EXACT, start, end)
         value, one, which = np.unique(h, return_index=True, return_inverse=True)
         begin, count = self._recalled(value)
         new = np.flatnonzero(begin < 0)

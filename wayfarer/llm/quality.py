@@ -96,7 +96,7 @@ def line_features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     _, one = np.unique(key, return_index=True)
     x[:, 11] = np.bincount(of[one], minlength=len(start)) / some
     row = np.repeat(np.arange(n), lines)
-    h = C.span_hash(C.prefix_hash(raw, C.EXACT), start, np.where((size > 0) & (raw[np.maximum(end - 1, 0)] == 10), end - 1, end)) if total else np.zeros(len(start), np.uint64)
+    h = C.text_hash(raw, C.EXACT, start, np.where((size > 0) & (raw[np.maximum(end - 1, 0)] == 10), end - 1, end)) if total else np.zeros(len(start), np.uint64)
     _, one = np.unique(C.mix(h ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), return_index=True)
     x[:, 12] = 1
     x[one, 12] = 0
