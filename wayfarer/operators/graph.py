@@ -91,11 +91,9 @@ def closure(edges: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def one_hop_transfers(edges: DataFrame, stops: DataFrame, limit: int) -> DataFrame:
-    """Direct transfers between stops (stop_id) for every shortest path of ``limit`` at most, the faster direction for both."""
-    found = closure(edges, limit)
-    for end in ("src", "dst"):
-        found = found.join(stops.select(F.col("stop_id").alias(end)), end, "left_semi")
-    return symmetric(found.select("src", "dst", "travel_time"))
+    """Direct transfers between stops (stop_id) for every shortest path of ``limit`` at most, the faster direction for both; searches begin at stops only."""
+    found = distances(edges, stops.select(F.col("stop_id").alias("source")), limit).join(stops.select(F.col("stop_id").alias("vertex")), "vertex", "left_semi")
+    return symmetric(found.where("source <> vertex").select(F.col("source").alias("src"), F.col("vertex").alias("dst"), F.col("distance").alias("travel_time")))
 
 
 def reach(edges: DataFrame, labels: DataFrame) -> DataFrame:

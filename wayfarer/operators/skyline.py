@@ -13,7 +13,8 @@ def skyline(rows: DataFrame, keys: Sequence[str], criteria: Sequence[str]) -> Da
 
     Two criteria take one sort and a running minimum; more take an anti join within the key.
     """
-    rows = rows.dropDuplicates([*keys, *criteria])
+    if len(criteria) != 2:  # there the running minimum drops equal rows as well
+        rows = rows.dropDuplicates([*keys, *criteria])
     if len(criteria) == 1:
         return rows.withColumn("_least", F.min(criteria[0]).over(Window.partitionBy(*keys))).where(F.col(criteria[0]) == F.col("_least")).drop("_least")
     if len(criteria) == 2:
@@ -40,3 +41,30 @@ def beaten(rows: DataFrame, by: DataFrame, keys: Sequence[str], criteria: Sequen
     for c in criteria:
         condition = condition & (F.col(f"_{c}") <= F.col(c))
     return rows.join(other, condition, "left_anti")
+
+
+def merged_front(bag: DataFrame, rows: DataFrame, keys: Sequence[str], criteria: Sequence[str]) -> DataFrame:
+    """The Pareto set of ``bag`` and ``rows`` with a column ``fresh``: whether a row came from ``rows`` and nothing in ``bag`` is as good.
+
+    Two criteria take one sort of both tables together, in which rows of the bag come before equal ones.
+    """
+    columns = [*keys, *criteria]
+    if len(criteria) == 2:
+        both = bag.select(*columns, F.lit(False).alias("fresh")).unionByName(rows.select(*columns, F.lit(True).alias("fresh")))
+        order = Window.partitionBy(*keys).orderBy(*criteria, "fresh").rowsBetween(Window.unboundedPreceding, -1)
+        return both.withColumn("_least", F.min(criteria[1]).over(order)).where(F.col("_least").isNull() | (F.col(criteria[1]) < F.col("_least"))).drop("_least")
+    fresh = beaten(skyline(rows.select(*columns), keys, criteria), bag, keys, criteria)
+    kept = beaten_strictly(bag.select(*columns), fresh, keys, criteria)
+    return kept.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True)))
+
+
+def beaten_strictly(rows: DataFrame, by: DataFrame, keys: Sequence[str], criteria: Sequence[str]) -> DataFrame:
+    """``rows`` without those that another row of ``by`` beats or equals in every criterion; equal rows stay."""
+    other = by.select(*(F.col(c).alias(f"_{c}") for c in [*keys, *criteria])).distinct()
+    condition, same = F.lit(True), F.lit(True)
+    for k in keys:
+        condition = condition & (F.col(k) == F.col(f"_{k}"))
+    for c in criteria:
+        condition = condition & (F.col(f"_{c}") <= F.col(c))
+        same = same & (F.col(f"_{c}") == F.col(c))
+    return rows.join(other, condition & ~same, "left_anti")

@@ -10,11 +10,24 @@ from pyspark.sql import functions as F
 from ..plans.network import Network
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, right_time: str, take: Sequence[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, right_time: str, take: Sequence[str], bucket: int | None = None) -> DataFrame:
     """``left`` beside the first row of ``right`` with equal keys whose time is not before its own: columns ``take``, null if there is none.
 
-    One sort of both tables together instead of a join of all pairs; of equal times the smallest ``take``.
+    One sort of both tables together instead of a join of all pairs; of equal times the smallest ``take``.  ``bucket``: a width
+    of time by which keys are split, so that a key with very many rows is no single task; the first row of a bucket goes
+    to the empty buckets before it and to the filled one before these as well.
     """
+    keys = list(keys)
+    if bucket is not None:
+        least = left.agg(F.min(F.floor(F.col(time) / bucket))).first()[0]
+        slot = F.floor(F.col(right_time) / bucket)
+        right = right.withColumn("_b", slot)
+        first = right.groupBy(*keys, "_b").agg(F.min(F.struct(right_time, *(c for c in take if c != right_time))).alias("_m"))
+        before = F.coalesce(F.lag("_b").over(Window.partitionBy(*keys).orderBy("_b")), F.lit(least))  # a row for each bucket
+        early = first.withColumn("_from", before).where("_from < _b").select(*keys, F.explode(F.sequence(F.col("_from"), F.col("_b") - 1)).alias("_b"), "_m.*")
+        right = right.select(*dict.fromkeys([*keys, "_b", right_time, *take])).unionByName(early.select(*dict.fromkeys([*keys, "_b", right_time, *take])))
+        found = as_of(left.withColumn("_b", F.floor(F.col(time) / bucket)), right, [*keys, "_b"], time, right_time, take)
+        return found.drop("_b")
     kept = F.struct(*left.columns).alias("_left")
     found = F.struct(*take).alias("_right")
     a = left.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_side"), kept, F.lit(None).cast(right.select(found).schema[0].dataType).alias("_right"))
@@ -60,6 +73,78 @@ def event_transfers(net: Network, lines: DataFrame, max_wait: int | None = None)
     return turn.where(~back).select("from_trip", "from_idx", "to_trip", "to_idx", "travel_time")
 
 
+def numbered(events: DataFrame, lines: DataFrame) -> DataFrame:
+    """(trip, line, no): trips of lines (trip, line) without overtaking, numbered from 0 in order of their departures.
+
+    A line's trips are counted by hours of their first departure, so that a line of very many isn't one task.
+    """
+    first = events.where("idx = 0").join(lines, "trip").select("trip", "line", "dep", F.floor(F.col("dep") / 3600).alias("_h"))
+    count = first.groupBy("line", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    before = count.select("line", "_h", F.coalesce(F.sum("_n").over(Window.partitionBy("line").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("line", "_h").orderBy("dep", "trip")) - 1
+    return first.withColumn("_k", inner).join(before, ["line", "_h"]).select("trip", "line", (F.col("_before") + F.col("_k")).cast("long").alias("no"))
+
+
+def line_pairs(net: Network, events: DataFrame) -> DataFrame:
+    """(from_line, from_idx, to_line, to_idx, travel_time, wait): halts of lines that one can change between; ``events`` with ``line``."""
+    halts = events.select("line", "idx", "stop", "n").distinct()
+    ways = net.edges.select("src", "dst", "travel_time").unionByName(net.stops.select(F.col("stop_id").alias("src"), F.col("stop_id").alias("dst"), F.lit(0).cast("long").alias("travel_time")))
+    wait = net.stops.select(F.col("stop_id").alias("dst"), F.col("min_transfer_time").alias("wait"))
+    off = halts.where("idx > 0").select(F.col("line").alias("from_line"), F.col("idx").alias("from_idx"), F.col("stop").alias("src"))
+    on = halts.where("idx < n - 1").select(F.col("line").alias("to_line"), F.col("idx").alias("to_idx"), F.col("stop").alias("dst"))
+    both = off.join(ways, "src").join(on, "dst").join(wait, "dst").where("from_line <> to_line or from_idx <> to_idx")
+    return both.select("from_line", "from_idx", "to_line", "to_idx", "travel_time", "wait")
+
+
+_EDGE = ["from_trip", "from_idx", "to_trip", "to_idx", "travel_time"]
+
+
+def line_transfers(net: Network, lines: DataFrame, route_based: bool = True, bucket: int = 7200) -> DataFrame:
+    """(from_trip, from_idx, to_trip, to_idx, travel_time, from_line, from_no, to_line, to_no): for every halt and pair of lines the earliest trip, whatever the wait.
+
+    Lines decide where one can change, once for all their trips; then a pair's arrivals and departures are sorted
+    together and each arrival takes the next departure.  There are as many transfers as halts have lines around them.
+    ``route_based``: a transfer goes if from the same trip, at a later halt or at the same one, one reaches that line's
+    same or an earlier trip at the same or an earlier halt.
+    """
+    ev = net.events.join(numbered(net.events, lines), "trip")
+    pairs = line_pairs(net, ev)
+    off = ev.where("idx > 0").select(F.col("trip").alias("from_trip"), F.col("idx").alias("from_idx"), F.col("line").alias("from_line"), F.col("no").alias("from_no"), "arr")
+    ready = off.join(pairs, ["from_line", "from_idx"]).withColumn("ready", F.col("arr") + F.col("travel_time") + F.col("wait")).drop("arr", "wait")
+    board = ev.where("idx < n - 1").select(F.col("line").alias("to_line"), F.col("idx").alias("to_idx"), F.col("no").alias("to_no"), F.col("trip").alias("to_trip"), "dep")
+    found = as_of(ready, board, ["to_line", "to_idx"], "ready", "dep", ["to_no", "to_trip"], bucket).where("to_trip is not null")
+    found = found.where("to_line <> from_line or to_no < from_no or to_idx < from_idx")
+    # no way back to where the trip came from, if one could have changed there
+    wait = net.stops.select(F.col("stop_id").alias("prev_stop"), F.col("min_transfer_time").alias("prev_wait"))
+    before = ev.select(F.col("trip").alias("from_trip"), (F.col("idx") + 1).alias("from_idx"), F.col("stop").alias("prev_stop"), F.col("arr").alias("prev_arr"))
+    after = ev.select(F.col("trip").alias("to_trip"), (F.col("idx") - 1).alias("to_idx"), F.col("stop").alias("next_stop"), F.col("dep").alias("next_dep"), "n")
+    turn = found.join(before, ["from_trip", "from_idx"]).join(after, ["to_trip", "to_idx"]).join(wait, "prev_stop")
+    rows = turn.where("not (prev_stop = next_stop and prev_arr + prev_wait <= next_dep)")
+    columns = [*_EDGE, "from_line", "from_no", "to_line", "to_no"]
+    if not route_based:
+        return rows.select(*columns)
+    place = F.explode(F.sequence(F.col("to_idx"), F.col("n") - 2)).alias("_p")
+    order = Window.partitionBy("from_trip", "to_line", "_p").orderBy(F.desc("from_idx"), "to_idx").rowsBetween(Window.unboundedPreceding, -1)
+    best = rows.select(*columns, place).withColumn("_least", F.min("to_no").over(order))
+    return best.where("_p = to_idx and (_least is null or to_no < _least)").select(*columns)
+
+
+def augmented(transfers: DataFrame, trip_limit: int | None = None) -> DataFrame:
+    """Transfers of ``line_transfers`` with those of later trips of the line: a trip that is late may still reach what a later one reaches.
+
+    For each halt of a line and of another, from the last trip to the first, the earliest trip that was reached so far
+    counts for every trip, unless it was reached from more than ``trip_limit`` trips later.
+    """
+    key = ["from_line", "from_idx", "to_line", "to_idx"]
+    later = Window.partitionBy(*key).orderBy(F.desc("from_no"))
+    rows = transfers.withColumn("_least", F.min("to_no").over(later.rowsBetween(Window.unboundedPreceding, -1))).where("_least is null or to_no <= _least")
+    rows = rows.withColumn("_next", F.lead("from_no").over(later))
+    down = F.coalesce(F.col("_next") + 1, F.lit(0))
+    if trip_limit is not None:
+        down = F.greatest(down, F.col("from_no") - trip_limit)
+    return rows.select(*key, F.explode(F.sequence(F.col("from_no"), down, F.lit(-1))).alias("from_no"), "to_no", "to_trip", "travel_time")
+
+
 def feasible(transfers: DataFrame, net: Network) -> DataFrame:
     """Only transfers whose departure is not missed."""
     a = net.events.select(F.col("trip").alias("from_trip"), F.col("idx").alias("from_idx"), "arr")

@@ -11,6 +11,7 @@ from .. import functions as S
 from ..operators import assembly as B
 from ..operators import delays as D
 from ..operators import graph as G
+from ..operators import hierarchy as H
 from ..operators import statistics as A
 from ..operators import transforms as X
 from ..operators import triptransfers as T
@@ -471,30 +472,30 @@ _FAR = f", {_Q}, {_WALKS}, {J.rounds_sql(ROUNDS).replace('JOIN edges ON', 'JOIN
 def pareto_unlimited_walking(spark, sf_dir):
     """Arrival and trips, with walks of any length along the roads before, between and after trips."""
     net = derived(spark, sf_dir)
-    return J.pareto(J.unlimited(net, roads(net)), _batch(net))
+    return J.pareto(net, _batch(net), walks=J.unlimited(net, roads(net)))
 
 
 @query(_FAR + "SELECT query_id, stop, min(arrival) AS arrival FROM front GROUP BY ALL")
 def earliest_unlimited_walking(spark, sf_dir):
     net = derived(spark, sf_dir)
-    return J.earliest(J.unlimited(net, roads(net)), _batch(net))
+    return J.earliest(net, _batch(net), walks=J.unlimited(net, roads(net)))
 
 
 @query(_FAR + ", best AS (SELECT query_id, stop, min(arrival) AS arrival FROM front GROUP BY ALL) SELECT query_id, stop AS vertex, arrival FROM best UNION ALL SELECT query_id, stop + 1000000, arrival + 50 + stop % 40 FROM best")
 def earliest_at_vertices(spark, sf_dir):
     """One-to-all: at every vertex of the roads, dead ends included."""
     net = derived(spark, sf_dir)
-    batch, spurs = _batch(net), _spurs(net)
-    return J.to_vertices(J.pareto(J.unlimited(net, spurs), batch), spurs, batch)
+    batch, h = _batch(net), H.hierarchy(_spurs(net))
+    return J.to_vertices(J.pareto(net, batch, walks=J.unlimited(net, h)), h, batch)
 
 
 @query(_FAR.replace("SELECT query_id, source AS stop, dep_time AS arr FROM q", "SELECT query_id, source AS stop, dep_time + 50 + source % 40 AS arr FROM q").replace("SELECT query_id, dst, dep_time + travel_time FROM q", "SELECT query_id, dst, dep_time + 50 + source % 40 + travel_time FROM q") + "SELECT query_id, stop, trips, arrival FROM front")
 def pareto_from_vertices(spark, sf_dir):
     """Queries that begin at dead ends, not at stops."""
     net = derived(spark, sf_dir)
-    spurs = _spurs(net)
     batch = _batch(net).withColumn("source", F.col("source") + 1_000_000)
-    return J.pareto(J.unlimited(net, spurs), batch, initial=J.from_vertices(batch, spurs, net.stops))
+    walks = J.unlimited(net, _spurs(net), batch.select(F.col("source").alias("id")))
+    return J.pareto(net, batch, initial=J.from_vertices(batch, walks, net.stops), walks=walks)
 
 
 @query(_FAR + ", balls AS (SELECT src AS center, dst AS vertex FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY travel_time, dst) AS n FROM sq7) WHERE n <= 5) SELECT center AS set_id, query_id, stop, min(arrival) AS arrival FROM front JOIN balls ON vertex = stop GROUP BY ALL")
@@ -502,7 +503,7 @@ def earliest_in_balls(spark, sf_dir):
     """One-to-many: the stops of each target ball."""
     net = derived(spark, sf_dir)
     targets = G.balls(roads(net), net.stops.select(F.col("stop_id").alias("id")), 5).select(F.col("center").alias("set_id"), "vertex")
-    return J.to_sets(J.earliest(J.unlimited(net, roads(net)), _batch(net)), targets).select("set_id", "query_id", "stop", "arrival")
+    return J.to_sets(J.earliest(net, _batch(net), walks=J.unlimited(net, roads(net))), targets).select("set_id", "query_id", "stop", "arrival")
 
 
 @query(_FRONT + "SELECT query_id, stop, trips, arrival, trips AS rides, true AS whole FROM front")
@@ -556,7 +557,7 @@ _FAR_BAGS = f", {_Q}, {_WALKS}, {_bags_sql(_M_ROUNDS).replace('JOIN edges ON', '
 def pareto_unlimited_with_walking(spark, sf_dir):
     """Arrival, trips and transfer time, with walks of any length."""
     net = derived(spark, sf_dir)
-    return M.pareto_sets(J.unlimited(net, roads(net)), _batch(net))
+    return M.pareto_sets(net, _batch(net), walks=J.unlimited(net, roads(net)))
 
 
 _FAR_ANCHORED = _ANCHORED.replace("JOIN edges ON", "JOIN walks ON").replace(f", {_Q}, ", f", {_Q}, {_WALKS}, ", 1)
@@ -566,8 +567,8 @@ _FAR_ANCHORED = _ANCHORED.replace("JOIN edges ON", "JOIN walks ON").replace(f",
 def restricted_unlimited_walking(spark, sf_dir):
     """The restricted set with walks of any length."""
     net = derived(spark, sf_dir)
-    net, batch = J.unlimited(net, roads(net)), _batch(net)
-    return M.restricted(M.pareto_sets(net, batch), J.pareto(net, batch), batch, 1.25, 1.25)
+    walks, batch = J.unlimited(net, roads(net)), _batch(net)
+    return M.restricted(M.pareto_sets(net, batch, walks=walks), J.pareto(net, batch, walks=walks), batch, 1.25, 1.25)
 
 
 def _modes_sql(rounds: int) -> str:

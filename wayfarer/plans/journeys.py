@@ -13,10 +13,13 @@ query has one.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import closure, distances
+from ..operators.hierarchy import Hierarchy, Hubs, hierarchy, sweep
 from ..storage import cut
 from .network import Network
 
@@ -34,23 +37,37 @@ def hashed_queries(stops: DataFrame, n: int, first: int = 0, last: int = 86_400)
     return rows.join(ranked.select(F.col("rank").alias("t"), F.col("stop_id").alias("target")), "t").select("query_id", "source", "target", "dep_time")
 
 
-def initial_labels(queries: DataFrame, edges: DataFrame) -> DataFrame:
-    """Round 0: the source, and what one transfer reaches: (query_id, stop, arrival, via)."""
+@dataclass(frozen=True)
+class OneHop:
+    """Transfers along single edges; the like of ``Hubs``."""
+
+    edges: DataFrame
+
+    def moved(self, rows: DataFrame, key: Sequence[str], place: str, time: str, carried: Sequence[str] = ()) -> DataFrame:
+        """``rows`` after a transfer: (key, place, time, carried, via)."""
+        there = rows.join(self.edges.select("src", "dst", "travel_time"), F.col(place) == F.col("src"))
+        return there.select(*key, F.col("dst").alias(place), (F.col(time) + F.col("travel_time")).alias(time), *carried, F.col("src").alias("via"))
+
+
+def initial_labels(queries: DataFrame, walks: OneHop | Hubs) -> DataFrame:
+    """Round 0: the source, and what one walk reaches: (query_id, stop, arrival, via)."""
     start = queries.select("query_id", F.col("source").alias("stop"), F.col("dep_time").alias("arrival"))
-    walk = start.join(edges, start.stop == edges.src).select("query_id", F.col("dst").alias("stop"), (F.col("arrival") + F.col("travel_time")).alias("arrival"), F.col("src").alias("via"))
+    walk = walks.moved(start, ["query_id"], "stop", "arrival").select(*_KEY, "arrival", "via")
     both = start.withColumn("via", F.lit(None).cast("long")).unionByName(walk)
     return both.groupBy(*_KEY).agg(F.min(F.struct("arrival", "via")).alias("l")).select(*_KEY, "l.arrival", "l.via")
 
 
-def labels(net: Network, queries: DataFrame, max_trips: int | None = None, initial: DataFrame | None = None, prune_targets: bool = False) -> DataFrame:
+def labels(net: Network, queries: DataFrame, max_trips: int | None = None, initial: DataFrame | None = None, prune_targets: bool = False, walks: OneHop | Hubs | None = None) -> DataFrame:
     """Every improvement: (query_id, stop, trips, arrival, trip, board_stop, board_idx, via).
 
     ``trip``, ``board_stop`` and ``board_idx`` name the trip taken last, ``via`` the stop that a closing transfer began at.
-    ``net.edges`` must be closed under transitivity for one-hop transfers to be shortest paths.
+    ``walks``: how one gets from stop to stop, the network's own edges if not given; these must be closed under transitivity
+    for one-hop transfers to be shortest paths.
     """
     # every round reads these, so they are made once
-    boardable, events, edges = cut(net.boardable()), cut(net.events.select("trip", "idx", "stop", "arr")), cut(net.edges.select("src", "dst", "travel_time"))
-    start = cut(initial if initial is not None else initial_labels(queries, edges))
+    boardable, events = cut(net.boardable()), cut(net.events.select("trip", "idx", "stop", "arr"))
+    walks = OneHop(cut(net.edges.select("src", "dst", "travel_time"))) if walks is None else walks
+    start = cut(initial if initial is not None else initial_labels(queries, walks))
     none = F.lit(None).cast("long")
     found = [start.select(*_KEY, F.lit(0).cast("long").alias("trips"), "arrival", none.alias("trip"), none.alias("board_stop"), none.alias("board_idx"), "via")]
     frontier, best = start.select(*_KEY, "arrival"), start.select(*_KEY, F.col("arrival").alias("best"))
@@ -73,7 +90,7 @@ def labels(net: Network, queries: DataFrame, max_trips: int | None = None, initi
             limit = best.join(target, _KEY, "left_semi").select("query_id", F.col("best").alias("limit"))
             ride = ride.join(limit, "query_id", "left").where("limit is null or arrival < limit").drop("limit")
         ride = cut(ride)
-        walk = ride.join(edges, ride.stop == edges.src).select("query_id", F.col("dst").alias("stop"), (F.col("arrival") + F.col("travel_time")).alias("arrival"), "trip", "board_stop", "board_idx", F.col("src").alias("via"))
+        walk = walks.moved(ride, ["query_id"], "stop", "arrival", ["trip", "board_stop", "board_idx"])
         both = ride.withColumn("via", none).unionByName(walk)
         new = both.groupBy(*_KEY).agg(F.min(F.struct("arrival", "trip", "board_stop", "board_idx", "via")).alias("l")).select(*_KEY, "l.*")
         new = cut(new.join(best, _KEY, "left").where("best is null or arrival < best").drop("best"))
@@ -109,30 +126,35 @@ def arrival_times(front: DataFrame, max_trips: int) -> DataFrame:
     return rows.select("query_id", "stop", "trips", F.min("arrival").over(order).alias("arrival")).where("arrival is not null")
 
 
-def unlimited(net: Network, roads: DataFrame) -> Network:
-    """The network for walks of any length over ``roads``: its edges are the shortest paths between stops."""
-    found = closure(roads)
-    for end in ("src", "dst"):
-        found = found.join(net.stops.select(F.col("stop_id").alias(end)), end, "left_semi")
-    return net.replace(edges=found.select("src", "dst", "travel_time"))
+def unlimited(net: Network, roads: DataFrame | Hierarchy, sources: DataFrame | None = None) -> Hubs:
+    """Walks of any length over ``roads`` between the network's stops, and from ``sources`` (id) to them, as ``walks`` of ``labels``."""
+    h = roads if isinstance(roads, Hierarchy) else hierarchy(roads)
+    return Hubs.between(h, net.stops.select(F.col("stop_id").alias("id")), sources)
 
 
-def from_vertices(queries: DataFrame, roads: DataFrame, stops: DataFrame) -> DataFrame:
-    """Labels to begin with for queries from any vertex of ``roads``: all stops at their distance, as ``initial`` of ``labels``."""
-    near = distances(roads, queries.select("source").distinct()).join(stops.select(F.col("stop_id").alias("vertex")), "vertex", "left_semi")
-    rows = queries.join(near, "source").select("query_id", F.col("vertex").alias("stop"), (F.col("dep_time") + F.col("distance")).alias("arrival"), F.when(F.col("source") != F.col("vertex"), F.col("source")).alias("via"))
-    return rows.groupBy(*_KEY).agg(F.min(F.struct("arrival", "via")).alias("l")).select(*_KEY, "l.arrival", "l.via")
+def from_vertices(queries: DataFrame, walks: Hubs, stops: DataFrame) -> DataFrame:
+    """Labels to begin with for queries from any vertex that ``walks`` leave from: all stops at their distance, as ``initial`` of ``labels``."""
+    return initial_labels(queries, walks).join(stops.select(F.col("stop_id").alias("stop")), "stop", "left_semi").select(*_KEY, "arrival", "via")
 
 
-def to_vertices(front: DataFrame, roads: DataFrame, queries: DataFrame | None = None) -> DataFrame:
-    """One-to-all: (query_id, vertex, arrival) at all vertices of ``roads``, by a last walk from the best stop; ``queries`` adds the walk from the source itself."""
-    best = front.groupBy(*_KEY).agg(F.min("arrival").alias("arrival"))
+def to_vertices(front: DataFrame, h: Hierarchy, queries: DataFrame | None = None) -> DataFrame:
+    """One-to-all: (query_id, vertex, arrival) at all vertices of the roads, by a last walk from the best stop; ``queries`` adds the walk from the source itself."""
+    begin = front.select("query_id", F.col("stop").alias("vertex"), "arrival")
     if queries is not None:
-        best = best.unionByName(queries.select("query_id", F.col("source").alias("stop"), F.col("dep_time").alias("arrival")))
-    walk = closure(roads).select(F.col("src").alias("stop"), F.col("dst").alias("vertex"), "travel_time")
-    there = best.join(walk, "stop").select("query_id", "vertex", (F.col("arrival") + F.col("travel_time")).alias("arrival"))
-    here = best.select("query_id", F.col("stop").alias("vertex"), "arrival")
-    return there.unionByName(here).groupBy("query_id", "vertex").agg(F.min("arrival").alias("arrival"))
+        begin = begin.unionByName(queries.select("query_id", F.col("source").alias("vertex"), F.col("dep_time").alias("arrival")))
+    return sweep(h, begin, ["query_id"], "arrival")
+
+
+def pareto_to_vertices(front: DataFrame, h: Hierarchy, queries: DataFrame) -> DataFrame:
+    """One-to-all: (query_id, vertex, trips, arrival), at all vertices of the roads the arrivals that more trips improve.
+
+    All numbers of trips are swept together, as keys of their own.
+    """
+    begin = front.select("query_id", "trips", F.col("stop").alias("vertex"), "arrival")
+    begin = begin.unionByName(queries.select("query_id", F.lit(0).cast("long").alias("trips"), F.col("source").alias("vertex"), F.col("dep_time").alias("arrival")))
+    rows = sweep(h, begin, ["query_id", "trips"], "arrival")
+    fewer = F.min("arrival").over(Window.partitionBy("query_id", "vertex").orderBy("trips").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_fewer", fewer).where("_fewer is null or arrival < _fewer").select("query_id", "vertex", "trips", "arrival")
 
 
 def to_targets(front: DataFrame, queries: DataFrame) -> DataFrame:

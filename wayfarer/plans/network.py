@@ -35,6 +35,20 @@ EDGES_SQL = """
 SELECT CAST(a.s_suppkey AS BIGINT) AS src, CAST(b.s_suppkey AS BIGINT) AS dst, CAST(60 + abs((a.s_suppkey * 37) % 900 - (b.s_suppkey * 37) % 900) AS BIGINT) AS travel_time
 FROM {supplier} a JOIN {supplier} b ON a.s_suppkey - a.s_suppkey % 4 = b.s_suppkey - b.s_suppkey % 4 AND a.s_suppkey <> b.s_suppkey"""
 
+#: Lines of eight stops in a row, every other one backwards, each sharing two with the next: (line, idx, stop, n, since), seconds since the start.
+LINE_STOPS_SQL = """
+SELECT line, idx, stop, n, CAST(sum(CASE WHEN idx = 0 THEN 0 ELSE 110 + (stop * 13) % 200 END) OVER (PARTITION BY line ORDER BY idx) AS BIGINT) AS since
+FROM (
+  SELECT line, stop, row_number() OVER (PARTITION BY line ORDER BY CASE WHEN line % 2 = 0 THEN stop ELSE -stop END) - 1 AS idx, count(*) OVER (PARTITION BY line) AS n
+  FROM (
+    SELECT CAST(floor(s_suppkey / 6) AS BIGINT) AS line, CAST(s_suppkey AS BIGINT) AS stop FROM {supplier}
+    UNION ALL SELECT CAST(floor(s_suppkey / 6) AS BIGINT) - 1, CAST(s_suppkey AS BIGINT) FROM {supplier} WHERE s_suppkey % 6 < 2 AND s_suppkey >= 6) a) b
+WHERE n >= 2"""
+#: A trip per order; trips of a line take the same time.
+LINE_EVENTS_SQL = """
+SELECT CAST(o_orderkey AS BIGINT) AS trip, CAST(idx AS BIGINT) AS idx, stop, (o_orderkey * 7919) % 72000 + since AS arr, (o_orderkey * 7919) % 72000 + since + CASE WHEN idx < n - 1 THEN 20 ELSE 0 END AS dep, CAST(n AS BIGINT) AS n, line
+FROM {orders} JOIN {line_stops} ON line = o_orderkey % (SELECT max(line) + 1 FROM {line_stops})"""
+
 
 @dataclass(frozen=True)
 class Network:
@@ -62,6 +76,20 @@ def derived(spark: SparkSession, sf_dir: str) -> Network:
     )
 
 
+def derived_lines(spark: SparkSession, sf_dir: str) -> tuple[Network, DataFrame]:
+    """A network of few lines with many trips each over the same stops and transfers, and its lines (trip, line)."""
+    supplier, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "orders"))
+    line_stops = spark.sql(LINE_STOPS_SQL, supplier=supplier)
+    events = spark.sql(LINE_EVENTS_SQL, orders=orders, line_stops=line_stops)
+    net = Network(spark.sql(STOPS_SQL, supplier=supplier), events.drop("line"), spark.sql(EDGES_SQL, supplier=supplier))
+    return net, events.where("idx = 0").select("trip", "line")
+
+
+def line_ctes() -> str:
+    """The tables of ``derived_lines`` as CTEs over the oracle's views: stops, ev (with line) and edges."""
+    return f"stops AS ({STOPS_SQL.format(supplier='supplier')}), line_stops AS MATERIALIZED ({LINE_STOPS_SQL.format(supplier='supplier')}), ev AS MATERIALIZED ({LINE_EVENTS_SQL.format(orders='orders', line_stops='line_stops')}), edges AS MATERIALIZED ({EDGES_SQL.format(supplier='supplier')})"
+
+
 def network_ctes() -> str:
     """The same three tables as CTEs over the oracle's views."""
     names = {"supplier": "supplier", "lineitem": "lineitem"}
