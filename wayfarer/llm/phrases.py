@@ -346,6 +346,10 @@ def frequent(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, shard: int
     raise RuntimeError("words of one hash under every seed")
 
 
+#: floor(1000 * a * n / (l * r)); counts of up to 17 digits.
+SCORE = "(cast(1000 as decimal(4,0)) * cast(a as decimal(17,0)) * cast(n as decimal(17,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
+
+
 # -- walks -----------------------------------------------------------------
 
 
@@ -375,7 +379,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, depth: int
     rows = alone.join(sizes, "lang")
     cut = F.transform(F.sequence(F.lit(1), F.size("left")), lambda k: F.struct(k.alias("k"), F.element_at("left", k).alias("l"), F.element_at("right", k).alias("r")))
     cuts = rows.select("lang", "path", "words", "a", "n", F.explode(cut).alias("c")).select("lang", "path", "words", "a", "n", "c.k", "c.l", "c.r")
-    cuts = cuts.withColumn("score", F.expr("(cast(1000 as decimal(4,0)) * cast(a as decimal(17,0)) * cast(n as decimal(17,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"))
+    cuts = cuts.withColumn("score", F.expr(SCORE))
     best = cuts.groupBy("lang", "path").agg(F.min(F.struct("score", "k", "l", "r", "a", "n", "words")).alias("b")).select("lang", "b.*")
     phrase = F.array_join(F.transform("words", lambda w: w.cast("string")), " ")
     best = best.select("lang", phrase.alias("phrase"), "a", "l", "r", "n", "score")

@@ -34,7 +34,9 @@ empty table gives no rows.  Extra columns aren't carried along.
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
 import re
 import struct
 import uuid
@@ -55,7 +57,7 @@ END = 2
 #: Bytes of text for a partition, about; ids and documents after which a file ends; ids that one read task takes; ids of a batch.
 TEXT_BYTES, FILE_IDS, FILE_DOCS, RANGE_IDS, BATCH_IDS = 48 << 20, 1 << 25, 1 << 20, 1 << 22, 1 << 20
 #: Bytes of text that are encoded at once; bytes of words that a task remembers, with what they take besides.
-STRETCH, REMEMBERED, BESIDES = 1 << 19, 96 << 20, 220
+STRETCH, REMEMBERED, BESIDES = 1 << 19, 128 << 20, 220
 #: A one bit's place is kept for each so many.
 SAMPLE = 256
 _MARK = b"WFIDS\x00\x01\n"
@@ -151,15 +153,30 @@ def _unpacked(low: np.ndarray, bits: int, i: int, j: int) -> np.ndarray:
 _BLANK = re.compile(rb"[ \t-\r]")
 
 
+#: What may stand behind a word of letters and is a piece of its own; an apostrophe might begin a contraction.
+_TAILS = b"""!"#$%&()*+,-./:;=>?@[\\]^_`{}~"""
+
+
 class WordEncoder:
-    """Ids of texts as little-endian numbers of ``width`` bytes, word by word."""
+    """Ids of texts as little-endian numbers of ``width`` bytes, word by word.
+
+    A word of letters is one piece for the tokenizer and its last id, and no other, ends a piece; so many new ones are
+    encoded in one call and told apart by their ids.  Signs behind it are a piece that is looked up by itself.
+    """
 
     def __init__(self, path: str):
+        # tasks are what runs side by side; threads of the library beside them cost more than they bring
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if len(vocabulary) <= 1 << 16 else 4
+        #: Whether an id ends a piece.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
         self.held = 0
 
     def ids(self, *numbers: int) -> bytes:
@@ -174,19 +191,59 @@ class WordEncoder:
                 blank = _BLANK.search(text, at + STRETCH)
                 end = blank.start() if blank else end
             words = text[at:end].split()
-            self._learn(words)
-            yield b"".join(map(self.known.__getitem__, words))
+            found = list(map(self.known.get, words))
+            if None in found:
+                self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
+                known = self.known
+                found = [known[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            yield b"".join(found)
             at = end
 
-    def _learn(self, words: list[bytes]) -> None:
-        if self.held > REMEMBERED:
-            self.known, self.held = {}, 0
-        new = list(set(words).difference(self.known))
-        for k in range(0, len(new), 1024):
-            some = new[k : k + 1024]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                self.known[word] = ids = np.array(e.ids, f"<u{self.width}").tobytes()
-                self.held += len(word) + len(ids) + BESIDES
+    def _one(self, word: bytes) -> bytes:
+        return self.ids(*self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def _learn(self, new: set[bytes]) -> None:
+        known = self.known
+        if self.held > REMEMBERED:  # words that are frequent were met early
+            known = self.known = dict(itertools.islice(known.items(), len(known) // 4))
+            self.letters = dict(itertools.islice(self.letters.items(), len(self.letters) // 4))
+            self.held //= 4
+        split, fresh = [], set()
+        for word in new:
+            core = word.rstrip(_TAILS)
+            text = core.decode("ascii") if core.isalpha() else _plain(core)
+            if text:
+                text = text.lower()
+                split.append((word, text, word[len(core) :]))
+                if text not in self.letters:
+                    fresh.add(text)
+            else:
+                known[word] = self._one(word)
+        self._learn_letters(list(fresh))
+        for word, text, tail in split:
+            ids = self.letters[text]
+            if tail:
+                if tail not in known:
+                    known[tail] = self._one(tail)
+                ids += known[tail]
+            known[word] = ids
+        self.held += 2 * sum(map(len, new)) + BESIDES * (len(new) + len(fresh))
+
+    def _learn_letters(self, texts: list[str]) -> None:
+        for k in range(0, len(texts), 4096):
+            some = texts[k : k + 4096]
+            found = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            ends = (np.flatnonzero(self.ends[found]) + 1) * self.width
+            data, begin = found.tobytes(), 0
+            for text, end in zip(some, ends.tolist(), strict=True):
+                self.letters[text] = data[begin:end]
+                begin = end
+
+
+def _plain(core: bytes) -> str | None:
+    """A word of letters of the first 256 code points, whose classes and cases no version of Unicode changes."""
+    text = core.decode("utf-8", "replace")
+    return text if text.isalpha() and max(text) < "\u0100" else None
 
 
 # -- writing ---------------------------------------------------------------
