@@ -91,7 +91,7 @@ def _chosen(edges: DataFrame, levels: DataFrame, keep: DataFrame | None, key: Co
     if most_degree is not None:
         stats = stats.where(F.col("degree") <= most_degree)
     # of equal keys a hash decides, so that long rows of alike vertices aren't contracted one at a time
-    ranked = cut(stats.select("id", F.struct("key", F.xxhash64("id").alias("h"), "id").alias("k")))
+    ranked = stats.select("id", F.struct("key", F.xxhash64("id").alias("h"), "id").alias("k"))
     near = ends.join(ranked.select(F.col("id").alias("dst"), F.col("k").alias("other")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("other").alias("least"))
     return ranked.join(near, "id", "left").where("least is null or k < least").select("id")
 
@@ -110,7 +110,7 @@ def _witnessed(pairs: DataFrame, rest: DataFrame, hops: int) -> DataFrame:
     return pairs.join(best, ["src", "dst"], "left").where("_d is null or _d > travel_time").drop("_d")
 
 
-def hierarchy(edges: DataFrame, keep: DataFrame | None = None, key: Column | None = None, order: DataFrame | None = None, hops: int = 2, most_degree: int | None = 64, least: int = 16) -> Hierarchy:
+def hierarchy(edges: DataFrame, keep: DataFrame | None = None, key: Column | None = None, order: DataFrame | None = None, hops: int = 2, most_degree: int | None = 64, least: int = 32) -> Hierarchy:
     """Contracts all vertices but those of ``keep`` (id), as long as more than ``least`` can go.
 
     ``order``: (id, rank), with ``key=order_key()``.  ``hops``: edges of a witness; ``most_degree``: vertices with more neighbours stay.
@@ -129,9 +129,10 @@ def hierarchy(edges: DataFrame, keep: DataFrame | None = None, key: Column | Non
         n = chosen.count()
         if not n:
             break
-        a, b = chosen.withColumnRenamed("id", "src"), chosen.withColumnRenamed("id", "dst")
-        away, into = cut(core.join(a, "src", "left_semi").select(*core.columns)), cut(core.join(b, "dst", "left_semi").select(*core.columns))
-        rest = core.join(a, "src", "left_anti").join(b, "dst", "left_anti").select(*core.columns)
+        # every edge leads away from a chosen vertex, to one, or neither
+        sides = core.join(chosen.select(F.col("id").alias("src"), F.lit(1).alias("_s")), "src", "left").join(chosen.select(F.col("id").alias("dst"), F.lit(1).alias("_d")), "dst", "left")
+        sides = cut(sides.select("src", "dst", "travel_time", "via", "_s", "_d"))
+        away, into, rest = (sides.where(c).select(*core.columns) for c in ("_s = 1", "_d = 1", "_s is null and _d is null"))
         first = into.select("src", F.col("dst").alias("via"), F.col("travel_time").alias("_a"))
         second = away.select(F.col("src").alias("via"), "dst", F.col("travel_time").alias("_b"))
         pairs = first.join(second, "via").where("src <> dst").groupBy("src", "dst").agg(F.min(F.struct((F.col("_a") + F.col("_b")).alias("travel_time"), "via")).alias("m")).select("src", "dst", "m.*")

@@ -10,10 +10,11 @@ from ..operators import hierarchy as H
 from ..operators import triptransfers as T
 from . import journeys as J
 from . import multicriteria as M
-from .catalog import _Q, CLOSED, ROUNDS, _batch, roads
+from .catalog import _ANCHORED, _Q, CLOSED, ROUNDS, _batch, roads
 from .catalog_more import _FAR, _spurs
 from .network import derived, derived_lines
 from .registry import query
+from . import shortcuts as U
 from .segments import pareto_by_segments
 
 
@@ -86,14 +87,14 @@ _LINE_TRANSFERS = (
 )
 
 
-@query(f", {_LINE_TRANSFERS} SELECT from_trip, from_idx, to_trip, to_idx, travel_time FROM full_transfers", lines=True)
+@query(f", {_LINE_TRANSFERS} SELECT from_trip, from_idx, to_trip, to_idx, travel_time FROM full_transfers", lines="orders")
 def all_line_transfers(spark, sf_dir):
     """From every halt the next trip of every line around, whatever the wait."""
     net, lines = derived_lines(spark, sf_dir)
     return T.line_transfers(net, lines, route_based=False).select("from_trip", "from_idx", "to_trip", "to_idx", "travel_time")
 
 
-@query(f", {_LINE_TRANSFERS} SELECT from_trip, from_idx, to_trip, to_idx, travel_time FROM transfers", lines=True)
+@query(f", {_LINE_TRANSFERS} SELECT from_trip, from_idx, to_trip, to_idx, travel_time FROM transfers", lines="orders")
 def line_transfers(spark, sf_dir):
     """Of these, without what a later halt reaches as well: route-based generation."""
     net, lines = derived_lines(spark, sf_dir)
@@ -109,7 +110,7 @@ TRIP_LIMIT = 3
     "records AS (SELECT *, lead(from_no) OVER (PARTITION BY from_line, from_idx, to_line, to_idx ORDER BY from_no DESC) AS below FROM later WHERE least IS NULL OR to_no <= least), "
     f"spans AS (SELECT *, unnest(range(greatest(coalesce(below + 1, 0), from_no - {TRIP_LIMIT}), from_no + 1)) AS own FROM records) "
     "SELECT n.trip AS from_trip, s.from_idx, s.to_trip, s.to_idx, s.travel_time FROM spans s JOIN num n ON n.line = s.from_line AND n.no = s.own",
-    lines=True,
+    lines="orders",
 )
 def augmented_transfers(spark, sf_dir):
     """Trips that run late may take the transfers of up to three later trips of their line."""
@@ -122,16 +123,51 @@ def augmented_transfers(spark, sf_dir):
 _LINE_FRONT = f", {_Q}, {J.rounds_sql(ROUNDS)} "
 
 
-@query(_LINE_FRONT + "SELECT query_id, stop, trips, arrival FROM front", lines=True)
+@query(_LINE_FRONT + "SELECT query_id, stop, trips, arrival FROM front", lines="orders")
 def line_pareto_by_segments(spark, sf_dir):
     """Arrival and trips by a search over trip segments along route-based transfers, the same relation as by rounds of stops."""
     net, lines = derived_lines(spark, sf_dir)
     return pareto_by_segments(net, lines, T.line_transfers(net, lines), _batch(net))
 
 
-@query(_LINE_FRONT + "SELECT query_id, stop, trips, arrival FROM front", lines=True)
+@query(_LINE_FRONT + "SELECT query_id, stop, trips, arrival FROM front", lines="orders")
 def line_pareto_by_reduced_segments(spark, sf_dir):
     """The same along transfers that lead somewhere sooner only."""
     net, lines = derived_lines(spark, sf_dir)
     found = T.line_transfers(net, lines).select("from_trip", "from_idx", "to_trip", "to_idx", "travel_time")
     return pareto_by_segments(net, lines, T.reduce_transfers(found, net), _batch(net))
+
+
+# -- shortcuts ---------------------------------------------------------------------
+
+_LINE_FAR = f"{_FAR} SELECT query_id, stop, trips, arrival FROM front"
+
+
+def _sparse(spark, sf_dir):
+    """The network of lines with a trip per customer, and walks of any length along the roads."""
+    net, lines = derived_lines(spark, sf_dir, "customer")
+    return net, lines, J.unlimited(net, roads(net))
+
+
+@query(_LINE_FAR, lines="customer")
+def pareto_over_stop_shortcuts(spark, sf_dir):
+    """Arrival and trips with walks of any length; those between trips are taken from precomputed shortcuts between stops."""
+    net, _, walks = _sparse(spark, sf_dir)
+    return U.over_shortcuts(net, _batch(net), walks, U.stop_shortcuts(net, walks))
+
+
+@query(_LINE_FAR, lines="customer")
+def pareto_over_event_shortcuts(spark, sf_dir):
+    """The same by a search over trip segments along precomputed shortcuts between halts."""
+    net, lines, walks = _sparse(spark, sf_dir)
+    return pareto_by_segments(net, lines, U.event_shortcuts(net, walks), _batch(net), walks=walks)
+
+
+_ANCHORED_TARGETS = "SELECT DISTINCT u.query_id, u.stop, u.trips, u.arrival, u.t_walk FROM usable u JOIN q ON q.query_id = u.query_id AND q.target = u.stop WHERE u.arrival - u.dep_time <= (u.a - u.dep_time) * 1.25::DOUBLE AND u.trips <= ceil(u.k * 1.25::DOUBLE)"
+
+
+@query(_ANCHORED + _ANCHORED_TARGETS)
+def restricted_to_targets(spark, sf_dir):
+    """One-to-one restricted sets, by a search that a search back from each target bounds in every round."""
+    net = derived(spark, sf_dir)
+    return M.restricted_to_targets(net, _batch(net), 1.25, 1.25)

@@ -13,7 +13,7 @@ query has one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -57,12 +57,12 @@ def initial_labels(queries: DataFrame, walks: OneHop | Hubs) -> DataFrame:
     return both.groupBy(*_KEY).agg(F.min(F.struct("arrival", "via")).alias("l")).select(*_KEY, "l.arrival", "l.via")
 
 
-def labels(net: Network, queries: DataFrame, max_trips: int | None = None, initial: DataFrame | None = None, prune_targets: bool = False, walks: OneHop | Hubs | None = None) -> DataFrame:
+def labels(net: Network, queries: DataFrame, max_trips: int | None = None, initial: DataFrame | None = None, prune_targets: bool = False, walks: OneHop | Hubs | None = None, onward: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Every improvement: (query_id, stop, trips, arrival, trip, board_stop, board_idx, via).
 
     ``trip``, ``board_stop`` and ``board_idx`` name the trip taken last, ``via`` the stop that a closing transfer began at.
     ``walks``: how one gets from stop to stop, the network's own edges if not given; these must be closed under transitivity
-    for one-hop transfers to be shortest paths.
+    for one-hop transfers to be shortest paths.  ``onward``: of a round's new labels those that the next one begins with.
     """
     # every round reads these, so they are made once
     boardable, events = cut(net.boardable()), cut(net.events.select("trip", "idx", "stop", "arr"))
@@ -97,8 +97,8 @@ def labels(net: Network, queries: DataFrame, max_trips: int | None = None, initi
         if not new.limit(1).count():
             break
         found.append(new.select(*_KEY, F.lit(k).cast("long").alias("trips"), "arrival", "trip", "board_stop", "board_idx", "via"))
-        frontier = new.select(*_KEY, "arrival")
-        best = cut(best.unionByName(frontier.withColumnRenamed("arrival", "best")).groupBy(*_KEY).agg(F.min("best").alias("best")))
+        frontier = (new if onward is None else onward(new)).select(*_KEY, "arrival")
+        best = cut(best.unionByName(new.select(*_KEY, "arrival").withColumnRenamed("arrival", "best")).groupBy(*_KEY).agg(F.min("best").alias("best")))
         passed = board.select("query_id", "trip", F.col("idx").alias("until"))
         boarded = cut(passed if boarded is None else boarded.unionByName(passed).groupBy("query_id", "trip").agg(F.min("until").alias("until")))
     out = found[0]

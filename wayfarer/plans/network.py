@@ -44,10 +44,12 @@ FROM (
     SELECT CAST(floor(s_suppkey / 6) AS BIGINT) AS line, CAST(s_suppkey AS BIGINT) AS stop FROM {supplier}
     UNION ALL SELECT CAST(floor(s_suppkey / 6) AS BIGINT) - 1, CAST(s_suppkey AS BIGINT) FROM {supplier} WHERE s_suppkey % 6 < 2 AND s_suppkey >= 6) a) b
 WHERE n >= 2"""
-#: A trip per order; trips of a line take the same time.
+#: A trip per row of ``trips`` (key); trips of a line take the same time.
 LINE_EVENTS_SQL = """
-SELECT CAST(o_orderkey AS BIGINT) AS trip, CAST(idx AS BIGINT) AS idx, stop, (o_orderkey * 7919) % 72000 + since AS arr, (o_orderkey * 7919) % 72000 + since + CASE WHEN idx < n - 1 THEN 20 ELSE 0 END AS dep, CAST(n AS BIGINT) AS n, line
-FROM {orders} JOIN {line_stops} ON line = o_orderkey % (SELECT max(line) + 1 FROM {line_stops})"""
+SELECT CAST(key AS BIGINT) AS trip, CAST(idx AS BIGINT) AS idx, stop, (key * 7919) % 72000 + since AS arr, (key * 7919) % 72000 + since + CASE WHEN idx < n - 1 THEN 20 ELSE 0 END AS dep, CAST(n AS BIGINT) AS n, line
+FROM (SELECT key, key % m AS of_line FROM {trips} CROSS JOIN (SELECT max(line) + 1 AS m FROM {line_stops}) c) k JOIN {line_stops} ON line = of_line"""
+#: Table and key of the trips: a dense timetable and one of a tenth of its trips.
+LINE_TRIPS = {"orders": "o_orderkey", "customer": "c_custkey"}
 
 
 @dataclass(frozen=True)
@@ -76,18 +78,19 @@ def derived(spark: SparkSession, sf_dir: str) -> Network:
     )
 
 
-def derived_lines(spark: SparkSession, sf_dir: str) -> tuple[Network, DataFrame]:
+def derived_lines(spark: SparkSession, sf_dir: str, trips: str = "orders") -> tuple[Network, DataFrame]:
     """A network of few lines with many trips each over the same stops and transfers, and its lines (trip, line)."""
-    supplier, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "orders"))
+    supplier, rows = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", trips))
     line_stops = spark.sql(LINE_STOPS_SQL, supplier=supplier)
-    events = spark.sql(LINE_EVENTS_SQL, orders=orders, line_stops=line_stops)
+    events = spark.sql(LINE_EVENTS_SQL, trips=rows.select(F.col(LINE_TRIPS[trips]).cast("long").alias("key")), line_stops=line_stops)
     net = Network(spark.sql(STOPS_SQL, supplier=supplier), events.drop("line"), spark.sql(EDGES_SQL, supplier=supplier))
     return net, events.where("idx = 0").select("trip", "line")
 
 
-def line_ctes() -> str:
+def line_ctes(trips: str = "orders") -> str:
     """The tables of ``derived_lines`` as CTEs over the oracle's views: stops, ev (with line) and edges."""
-    return f"stops AS ({STOPS_SQL.format(supplier='supplier')}), line_stops AS MATERIALIZED ({LINE_STOPS_SQL.format(supplier='supplier')}), ev AS MATERIALIZED ({LINE_EVENTS_SQL.format(orders='orders', line_stops='line_stops')}), edges AS MATERIALIZED ({EDGES_SQL.format(supplier='supplier')})"
+    rows = f"(SELECT CAST({LINE_TRIPS[trips]} AS BIGINT) AS key FROM {trips}) t"
+    return f"stops AS ({STOPS_SQL.format(supplier='supplier')}), line_stops AS MATERIALIZED ({LINE_STOPS_SQL.format(supplier='supplier')}), ev AS MATERIALIZED ({LINE_EVENTS_SQL.format(trips=rows, line_stops='line_stops')}), edges AS MATERIALIZED ({EDGES_SQL.format(supplier='supplier')})"
 
 
 def network_ctes() -> str:

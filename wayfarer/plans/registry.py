@@ -13,13 +13,13 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, network: bool = True, recursive: bool = False, lines: bool = False):
-    """Registers a query by its function's name, with SQL over the network's CTEs, or over those of the network of lines."""
+def query(sql: str | None = None, network: bool = True, recursive: bool = False, lines: str | None = None):
+    """Registers a query by its function's name, with SQL over the network's CTEs, or over those of the network of lines with trips of the table ``lines``."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{line_ctes() if lines else network_ctes()} {sql}" if network else sql
+            ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{line_ctes(lines) if lines else network_ctes()} {sql}" if network else sql
         return f
 
     return add
