@@ -221,8 +221,13 @@ def text_hash(raw: np.ndarray, table: np.ndarray, start: np.ndarray, end: np.nda
     prime = np.uint64(_PRIME)
     up, down = powers2(len(raw) + 1)
     c = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((table >> np.uint64(34))[raw] * up[: len(raw)] % prime, out=c[1:])
+    # in place, as texts come in large steps
+    x = np.take(table >> np.uint64(34), raw, out=c[1:])
+    x *= up[: len(raw)]
+    x %= prime
+    np.cumsum(x, out=x)
     second = (c[end] - c[start]) % prime * down[start] % prime
+    del c, x
     return mix(span_hash(prefix_hash(raw, table), start, end) + second)
 
 

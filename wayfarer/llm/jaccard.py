@@ -55,7 +55,7 @@ BITS, UNIT_BITS, FAN, LEVELS, BLOCK = 2048, 4096, 8, 4, 1024
 #: Forests that a key returns in the first round, and so many times more in each later one; by the last, no block has more pairs.
 FORESTS, ROUNDS = 8, 8
 #: Keys of a partition, about, and how many of them a task gathers at a time before it passes them on.
-KEYS, BUFFER = 2_000_000, 500_000
+KEYS, BUFFER = 2_000_000, 200_000
 #: Bits of the filter for the classes whose sets are wanted.
 FILTER_BITS = 1 << 24
 
