@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.network import Network
 from ..sources.gtfs import WEEKDAYS
+from ..storage import cut
 from .graph import symmetric
 from .transforms import sequences
 
@@ -71,30 +72,81 @@ def from_feed(feed: dict[str, DataFrame], first: int, last: int, ignore_days: bo
     return Network(stops, events, symmetric(ways.where("src <> dst").select("src", "dst", "travel_time")))
 
 
-def fifo_lines(events: DataFrame) -> DataFrame:
-    """(trip, line): trips of one stop sequence in lines whose trips never overtake, by first fit in order of departures.
-
-    Trips stream through sorted by their stops and departures; a task holds the last times of one sequence's open lines only.  A line is named by its first trip.
-    """
+def _first_fit(key: str):
+    """Names each trip's line: rows come by key and in order, and take the first open line of their key whose last trip is nowhere later."""
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stops, last, names = None, [], []
+        now, last, names = None, np.zeros((0, 0)), []
         for rows in frames:
             out = np.zeros(len(rows), np.int64)
-            for i, (trip, here, arrs, deps) in enumerate(zip(rows["trip"], rows["stops"], rows["arrs"], rows["deps"], strict=True)):
-                if stops is None or not np.array_equal(here, stops):
-                    stops, last, names = here, [], []
+            for i, (trip, here, arrs, deps) in enumerate(zip(rows["trip"], rows[key], rows["arrs"], rows["deps"], strict=True)):
                 times = np.concatenate([arrs, deps])
-                line = next((k for k, t in enumerate(last) if (t <= times).all()), len(last))
-                if line == len(last):
-                    last.append(times)
+                if now is None or not np.array_equal(here, now):
+                    now, last, names = here, np.zeros((0, len(times)), np.int64), []
+                fits = (last[: len(names)] <= times).all(1)
+                line = int(fits.argmax()) if fits.any() else len(names)
+                if line == len(names):
                     names.append(trip)
+                    if line == len(last):  # room for as many lines again
+                        last = np.concatenate([last, np.zeros((max(4, len(last)), len(times)), np.int64)])
                 last[line] = times
                 out[i] = names[line]
             yield pd.DataFrame({"trip": rows["trip"], "line": out})
 
+    return fit
+
+
+def fifo_lines(events: DataFrame) -> DataFrame:
+    """(trip, line): trips of one stop sequence in lines whose trips never overtake, by first fit in order of departures.
+
+    Trips stream through sorted by their stops and departures; a task holds the last times of one sequence's open lines only.  A line is named by its first trip.
+    """
     order = ["stops", "deps", F.transform("arrs", lambda x: -x), "trip"]
-    return sequences(events).repartition("stops").sortWithinPartitions(*order).mapInPandas(fit, "trip long, line long")
+    return sequences(events).repartition("stops").sortWithinPartitions(*order).mapInPandas(_first_fit("stops"), "trip long, line long")
+
+
+def rebuilt_lines(late: DataFrame, trips: DataFrame) -> DataFrame:
+    """(trip, line, no, overflow): lines (trip, line, no) whose trips overtake each other in the events ``late``, put in order again.
+
+    A trip that the next one of its line overtakes leaves it, until no trip of a line does; those that left form overflow
+    lines by first fit in their old order, named by their first trips.  ``overflow`` is null for trips that stay.
+    """
+    rows = cut(late.join(trips, "trip").select("trip", "line", "no", "idx", "arr", "dep"))
+    gone, stay = None, rows
+    while True:
+        order = Window.partitionBy("line", "idx").orderBy("no")
+        beaten = stay.withColumn("_n", F.lead(F.struct("arr", "dep")).over(order)).where("_n.arr < arr or _n.dep < dep").select("trip").distinct()
+        beaten = cut(beaten)
+        if not beaten.limit(1).count():
+            break
+        gone = beaten if gone is None else cut(gone.unionByName(beaten))
+        stay = cut(stay.join(beaten, "trip", "left_anti"))
+    none = F.lit(None).cast("long")
+    if gone is None:
+        return trips.select("trip", "line", "no", none.alias("overflow"))
+    times = rows.join(gone, "trip").groupBy("trip", "line", "no").agg(F.sort_array(F.collect_list(F.struct("idx", "arr", "dep"))).alias("h"))  # a trip's halts
+    times = times.select("trip", "line", "no", F.col("h.arr").alias("arrs"), F.col("h.dep").alias("deps"))
+    new = times.repartition("line").sortWithinPartitions("line", "no").mapInPandas(_first_fit("line"), "trip long, line long").withColumnRenamed("line", "overflow")
+    return trips.join(new, "trip", "left").select("trip", "line", "no", "overflow")
+
+
+def event_order(events: DataFrame, lines: DataFrame) -> DataFrame:
+    """(trip, idx, place): events numbered line by line, those of overflow lines (trip, line, no, overflow) behind all others.
+
+    A line's first place is the sum of what stands before it: a sum over lines, not over events.
+    """
+    rows = lines.withColumn("_o", F.col("overflow").isNotNull())
+    first = rows.where("_o").groupBy("line", "overflow").agg(F.min("no").alias("_first"))
+    rows = rows.join(first, ["line", "overflow"], "left")
+    size = events.groupBy("trip").agg(F.count(F.lit(1)).alias("_k"))
+    rows = rows.join(size, "trip")
+    key = ["_o", "line", "_first"]
+    total = rows.groupBy(*key).agg(F.sum("_k").alias("_t"))
+    before = total.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")  # a row for each line
+    inner = F.coalesce(F.sum("_k").over(Window.partitionBy(*key).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_in", inner)
+    placed = placed.join(before.select(F.col("_o").alias("_bo"), F.col("line").alias("_bl"), F.col("_first").alias("_bf"), "_before"), (F.col("_o") == F.col("_bo")) & (F.col("line") == F.col("_bl")) & F.col("_first").eqNullSafe(F.col("_bf")))
+    return events.select("trip", "idx").join(placed.select("trip", (F.col("_before") + F.col("_in")).alias("_at")), "trip").select("trip", "idx", (F.col("_at") + F.col("idx")).cast("long").alias("place"))
 
 
 def overtaking(events: DataFrame, lines: DataFrame) -> DataFrame:

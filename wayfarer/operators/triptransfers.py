@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.network import Network
+from ..storage import cut
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, right_time: str, take: Sequence[str], bucket: int | None = None) -> DataFrame:
@@ -129,6 +130,30 @@ def line_transfers(net: Network, lines: DataFrame, route_based: bool = True, buc
     return best.where("_p = to_idx and (_least is null or to_no < _least)").select(*columns)
 
 
+def delay_transfers(net: Network, lines: DataFrame, most: int, bucket: int = 7200) -> DataFrame:
+    """(from_trip, from_idx, to_trip, to_idx, travel_time, min_origin_delay, max_origin_delay): which trip of a line one reaches for each delay of the origin up to ``most``.
+
+    The trips reached on time and with the greatest delay are looked up as in ``line_transfers``; those between follow by
+    their numbers, and each holds for the delays that the one before it is missed at.
+    """
+    ev = net.events.join(numbered(net.events, lines), "trip")
+    pairs = line_pairs(net, ev)
+    off = ev.where("idx > 0").select(F.col("trip").alias("from_trip"), F.col("idx").alias("from_idx"), F.col("line").alias("from_line"), F.col("no").alias("from_no"), "arr")
+    ready = off.join(pairs, ["from_line", "from_idx"]).withColumn("ready", F.col("arr") + F.col("travel_time") + F.col("wait")).drop("arr", "wait")
+    board = cut(ev.where("idx < n - 1").select(F.col("line").alias("to_line"), F.col("idx").alias("to_idx"), F.col("no").alias("to_no"), F.col("trip").alias("to_trip"), "dep"))
+    key = ["to_line", "to_idx"]
+    found = as_of(ready, board, key, "ready", "dep", ["to_no"], bucket).where("to_no is not null").withColumnRenamed("to_no", "_first").withColumn("_late", F.col("ready") + most)
+    found = as_of(found, board.withColumnRenamed("to_no", "_last"), key, "_late", "dep", ["_last"], bucket)
+    end = board.groupBy("to_line").agg(F.max("to_no").alias("_end"))
+    each = found.join(end, "to_line").withColumn("to_no", F.explode(F.sequence("_first", F.coalesce("_last", "_end")))).drop("_last", "_end", "_late")
+    before = board.select(*key, (F.col("to_no") + 1).alias("to_no"), F.col("dep").alias("_missed"))
+    rows = each.join(board, [*key, "to_no"]).join(before, [*key, "to_no"], "left").where("to_line <> from_line or to_no < from_no or to_idx < from_idx")
+    # the first one is reached on time; each other from the second after the one before it has left
+    low = F.when(F.col("to_no") == F.col("_first"), 0).otherwise(F.col("_missed") - F.col("ready") + 1)
+    rows = rows.select("from_trip", "from_idx", "to_trip", "to_idx", "travel_time", low.alias("min_origin_delay"), F.least(F.col("dep") - F.col("ready"), F.lit(most)).alias("max_origin_delay"))
+    return rows.where("min_origin_delay <= max_origin_delay").select("from_trip", "from_idx", "to_trip", "to_idx", "travel_time", *(F.col(c).cast("long").alias(c) for c in ("min_origin_delay", "max_origin_delay")))
+
+
 def augmented(transfers: DataFrame, trip_limit: int | None = None) -> DataFrame:
     """Transfers of ``line_transfers`` with those of later trips of the line: a trip that is late may still reach what a later one reaches.
 

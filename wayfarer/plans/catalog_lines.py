@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import assembly as B
+from ..operators import delays as D
 from ..operators import graph as G
 from ..operators import hierarchy as H
+from ..operators import statistics as A
 from ..operators import triptransfers as T
 from . import journeys as J
 from . import multicriteria as M
-from .catalog import _ANCHORED, _Q, CLOSED, ROUNDS, _batch, roads
+from .catalog import _ANCHORED, _LATE, _Q, CLOSED, ROUNDS, _batch, roads
 from .catalog_more import _FAR, _spurs
 from .network import derived, derived_lines
 from .registry import query
@@ -120,6 +123,84 @@ def augmented_transfers(spark, sf_dir):
     return rows.join(trips, ["from_line", "from_no"]).select("from_trip", "from_idx", "to_trip", "to_idx", "travel_time")
 
 
+# -- delays of lines ---------------------------------------------------------------
+
+_SLACK = "JOIN e a ON a.trip = from_trip AND a.idx = from_idx JOIN e b ON b.trip = to_trip AND b.idx = to_idx"
+
+
+@query(f", {_LINE_TRANSFERS} SELECT b.dep - a.arr - t.travel_time AS slack, count(*) AS transfers FROM full_transfers t {_SLACK} GROUP BY ALL", lines="customer")
+def line_transfer_slacks(spark, sf_dir):
+    """How many transfers have how much time to spare, whatever the wait."""
+    net, lines = derived_lines(spark, sf_dir, "customer")
+    found = T.line_transfers(net, lines, route_based=False).select("from_trip", "from_idx", "to_trip", "to_idx", "travel_time")
+    return A.transfer_slacks(found, net).groupBy("slack").agg(F.count(F.lit(1)).alias("transfers"))
+
+
+#: Greatest delay of an origin, in seconds, that transfers are made for.
+MOST_DELAY = 900
+_DELAY_TRANSFERS = (
+    f"{_LINE_TRANSFERS}, trips_of AS (SELECT line, idx, no, trip, dep, lag(dep) OVER (PARTITION BY line, idx ORDER BY no) AS missed FROM e WHERE idx < n - 1), "
+    "reach AS (SELECT r.*, b.no AS to_no, b.trip AS to_trip, b.dep, b.missed FROM ready r JOIN trips_of b ON b.line = r.to_line AND b.idx = r.to_idx AND b.dep >= r.ready AND (b.missed IS NULL OR b.missed < r.ready + 900)), "
+    "late_transfers AS MATERIALIZED (SELECT from_trip, from_idx, to_trip, to_idx, travel_time, CAST(CASE WHEN missed IS NULL OR missed < ready THEN 0 ELSE missed - ready + 1 END AS BIGINT) AS min_origin_delay, CAST(least(dep - ready, 900) AS BIGINT) AS max_origin_delay FROM reach "
+    "WHERE (to_line <> from_line OR to_no < from_no OR to_idx < from_idx) AND (missed IS NULL OR missed < ready OR missed - ready + 1 <= least(dep - ready, 900)))"
+)
+
+
+@query(f", {_DELAY_TRANSFERS} SELECT * FROM late_transfers", lines="customer")
+def delay_transfers(spark, sf_dir):
+    """For every halt and line around, the trips that one reaches if the own trip is up to a quarter of an hour late, with the delays they hold for."""
+    net, lines = derived_lines(spark, sf_dir, "customer")
+    return T.delay_transfers(net, lines, MOST_DELAY)
+
+
+@query(
+    f", {_DELAY_TRANSFERS}, {_LATE}, held AS (SELECT a.arr - p.arr AS origin_delay, a.arr + t.travel_time <= b.dep AS holds, min_origin_delay AS lo, max_origin_delay AS hi FROM late_transfers t JOIN e p ON p.trip = from_trip AND p.idx = from_idx JOIN late a ON a.trip = from_trip AND a.idx = from_idx JOIN late b ON b.trip = to_trip AND b.idx = to_idx) "
+    "SELECT origin_delay, holds, count(*) AS transfers FROM held WHERE lo <= origin_delay AND (NOT holds OR hi >= origin_delay) GROUP BY ALL",
+    lines="customer",
+)
+def delay_transfers_under_delays(spark, sf_dir):
+    """Of these, those made for the delay that their origin has, and whether they hold when their goals are late as well."""
+    net, lines = derived_lines(spark, sf_dir, "customer")
+    late = D.late_network(net, D.scenario(net.events), most_arrival=600, most_departure=900)
+    held = D.holding_transfers(T.delay_transfers(net, lines, MOST_DELAY), net, late)
+    return held.groupBy("origin_delay", "holds").agg(F.count(F.lit(1)).alias("transfers"))
+
+
+#: Rounds of the oracle until no trip is overtaken by the next one; Spark goes on until there is none.
+_SETTLED = 12
+_REBUILT = (
+    f"{_NUMBERS}, {_LATE}, r0 AS MATERIALIZED (SELECT trip, num.line, no, idx, arr, dep FROM late JOIN num USING (trip)), "
+    + ", ".join(
+        f"g{k} AS MATERIALIZED (SELECT DISTINCT trip FROM (SELECT trip, arr, dep, lead(arr) OVER w AS a2, lead(dep) OVER w AS d2 FROM r{k} WINDOW w AS (PARTITION BY line, idx ORDER BY no)) WHERE a2 < arr OR d2 < dep), r{k + 1} AS MATERIALIZED (SELECT * FROM r{k} WHERE trip NOT IN (SELECT trip FROM g{k}))"
+        for k in range(_SETTLED)
+    )
+    + f", t AS MATERIALIZED (SELECT trip, line, no, list_concat(list(arr ORDER BY idx), list(dep ORDER BY idx)) AS times, row_number() OVER (PARTITION BY line ORDER BY no) AS k FROM r0 WHERE trip NOT IN (SELECT trip FROM r{_SETTLED}) GROUP BY trip, line, no), "
+    "fit AS (SELECT line, k, [times] AS lasts, [trip] AS names, trip, trip AS overflow FROM t WHERE k = 1 UNION ALL "
+    "SELECT line, k, CASE WHEN p IS NULL THEN list_append(lasts, times) ELSE list_transform(lasts, lambda x, i: CASE WHEN i = p THEN times ELSE x END) END, CASE WHEN p IS NULL THEN list_append(names, trip) ELSE names END, trip, CASE WHEN p IS NULL THEN trip ELSE names[p] END "
+    "FROM (SELECT t.line, t.k, t.times, t.trip, f.lasts, f.names, nullif(list_position(list_transform(f.lasts, lambda l: len(list_filter(list_zip(l, t.times), lambda z: z[1] > z[2])) = 0), true), 0) AS p FROM fit f JOIN t ON t.line = f.line AND t.k = f.k + 1)), "
+    "rebuilt AS MATERIALIZED (SELECT n.trip, n.line, n.no, f.overflow FROM num n LEFT JOIN fit f ON f.trip = n.trip)"
+)
+
+
+def _rebuilt(spark, sf_dir):
+    net, lines = derived_lines(spark, sf_dir, "customer")
+    late = D.late_network(net, D.scenario(net.events), most_arrival=600, most_departure=900)
+    return late, B.rebuilt_lines(late.events, T.numbered(net.events, lines))
+
+
+@query(f", {_REBUILT} SELECT trip, line, no, overflow FROM rebuilt", lines="customer", recursive=True)
+def rebuilt_lines(spark, sf_dir):
+    """Lines put in order again after delays: overtaken trips go to overflow lines."""
+    return _rebuilt(spark, sf_dir)[1]
+
+
+@query(f", {_REBUILT}, o AS (SELECT *, CASE WHEN overflow IS NOT NULL THEN min(no) OVER (PARTITION BY line, overflow) END AS first FROM rebuilt) SELECT trip, idx, row_number() OVER (ORDER BY overflow IS NOT NULL, o.line, first, no, idx) - 1 AS place FROM o JOIN late USING (trip)", lines="customer", recursive=True)
+def rebuilt_event_order(spark, sf_dir):
+    """Where each event stands once lines are rebuilt."""
+    late, lines = _rebuilt(spark, sf_dir)
+    return B.event_order(late.events, lines)
+
+
 _LINE_FRONT = f", {_Q}, {J.rounds_sql(ROUNDS)} "
 
 
