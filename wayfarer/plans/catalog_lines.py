@@ -11,6 +11,8 @@ from ..operators import graph as G
 from ..operators import hierarchy as H
 from ..operators import statistics as A
 from ..operators import triptransfers as T
+from ..storage import keep_path
+from ..streaming.replacement import follow_transfers
 from . import journeys as J
 from . import multicriteria as M
 from .catalog import _ANCHORED, _LATE, _Q, CLOSED, ROUNDS, _batch, roads
@@ -201,6 +203,24 @@ def rebuilt_event_order(spark, sf_dir):
     return B.event_order(late.events, lines)
 
 
+@query(
+    f", {_LINE_TRANSFERS}, {_LATE}, el AS MATERIALIZED (SELECT late.*, num.line, num.no FROM late JOIN num USING (trip)), "
+    "rl AS (SELECT el.trip AS from_trip, p.*, el.arr + p.travel_time + p.wait AS ready FROM el JOIN pairs p ON p.from_line = el.line AND p.from_idx = el.idx), "
+    "bl AS (SELECT line, idx, dep, arg_min(trip, no) AS trip FROM el WHERE idx < n - 1 GROUP BY ALL) "
+    "SELECT r.from_trip, r.from_idx, r.to_line, r.to_idx, r.travel_time, b.trip AS to_trip, b.dep FROM rl r ASOF LEFT JOIN bl b ON b.line = r.to_line AND b.idx = r.to_idx AND r.ready <= b.dep",
+    lines="customer",
+)
+def followed_transfers(spark, sf_dir):
+    """The earliest trip of every line around each halt, kept up to date while delays stream in; after the last update as if all had been known."""
+    net, lines = derived_lines(spark, sf_dir, "customer")
+    k = F.explode(F.array(*(F.lit(x) for x in range(4)))).alias("k")
+    updates = D.scenario(net.events).select("*", k).where("k = 3 or pmod(trip + k, 3) = 0")
+    updates = updates.select("trip", "first_idx", F.when(F.col("k") == 3, F.col("delay")).otherwise(F.col("k") * 7).alias("delay"), (F.col("k") * 600).cast("long").alias("reveal_time"))
+    folder = keep_path(updates.repartition(4, "reveal_time"), "updates")
+    found = follow_transfers(spark, net, lines, folder, files=2, most_arrival=600, most_departure=900)
+    return found.state().select("from_trip", "from_idx", "to_line", "to_idx", "travel_time", "to_trip", "dep")
+
+
 _LINE_FRONT = f", {_Q}, {J.rounds_sql(ROUNDS)} "
 
 
