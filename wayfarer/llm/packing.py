@@ -22,6 +22,7 @@ empty table gives no pieces.  Extra columns are not carried along.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -75,6 +76,8 @@ class Encoder:
     """Ids of texts, with a memory of pieces."""
 
     def __init__(self, path: str):
+        # tasks are what runs side by side; the library's threads would each hold memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
