@@ -14,9 +14,10 @@ from ..operators import triptransfers as T
 from ..storage import keep_path
 from ..streaming.replacement import follow_transfers
 from . import journeys as J
+from . import mcshortcuts as K
 from . import multicriteria as M
 from .catalog import _ANCHORED, _LATE, _Q, CLOSED, ROUNDS, _batch, roads
-from .catalog_more import _FAR, _spurs
+from .catalog_more import _FAR, _FAR_ANCHORED, _FAR_BAGS, _spurs
 from .network import derived, derived_lines
 from .registry import query
 from . import shortcuts as U
@@ -264,6 +265,29 @@ def pareto_over_event_shortcuts(spark, sf_dir):
     return pareto_by_segments(net, lines, U.event_shortcuts(net, walks), _batch(net), walks=walks)
 
 
+@query(_FAR_BAGS + "SELECT * FROM mfront", lines="customer")
+def pareto_sets_over_stop_shortcuts(spark, sf_dir):
+    """Arrival, trips and transfer time with walks of any length; those between trips are precomputed shortcuts for all three criteria."""
+    net, lines, walks = _sparse(spark, sf_dir)
+    return K.sets_over_shortcuts(net, _batch(net), walks, K.stop_shortcuts(K.event_shortcuts(net, lines, walks)))
+
+
+@query(_FAR_BAGS + "SELECT * FROM mfront", lines="customer")
+def pareto_sets_over_event_shortcuts(spark, sf_dir):
+    """The same by a search from trip to trip along shortcuts between halts."""
+    net, lines, walks = _sparse(spark, sf_dir)
+    return K.sets_by_segments(net, lines, K.event_shortcuts(net, lines, walks), _batch(net), walks)
+
+
+@query(_FAR_ANCHORED + "SELECT DISTINCT query_id, stop, trips, arrival, t_walk FROM usable WHERE arrival - dep_time <= (a - dep_time) * 1.25::DOUBLE AND trips <= ceil(k * 1.25::DOUBLE)", lines="customer")
+def restricted_sets_over_event_shortcuts(spark, sf_dir):
+    """The restricted sets among these; the anchors are the sets' own earliest arrivals."""
+    net, lines, walks = _sparse(spark, sf_dir)
+    batch = _batch(net)
+    full = K.cut(K.sets_by_segments(net, lines, K.event_shortcuts(net, lines, walks), batch, walks))
+    return M.restricted(full, K.earliest_of(full), batch, 1.25, 1.25)
+
+
 _ANCHORED_TARGETS = "SELECT DISTINCT u.query_id, u.stop, u.trips, u.arrival, u.t_walk FROM usable u JOIN q ON q.query_id = u.query_id AND q.target = u.stop WHERE u.arrival - u.dep_time <= (u.a - u.dep_time) * 1.25::DOUBLE AND u.trips <= ceil(u.k * 1.25::DOUBLE)"
 
 
