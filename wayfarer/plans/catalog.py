@@ -388,10 +388,15 @@ def pareto_with_walking(spark, sf_dir):
     return M.pareto_sets(net, _batch(net))
 
 
-_ANCHORED = (
-    f", {_Q}, {J.rounds_sql(_M_ROUNDS)}, {_bags_sql(_M_ROUNDS)}, pairs AS (SELECT m.*, q.dep_time, f.trips AS k, f.arrival AS a FROM mfront m JOIN q USING (query_id) JOIN front f ON f.query_id = m.query_id AND f.stop = m.stop), "
-    "usable AS (SELECT * FROM pairs p WHERE k > trips OR k = (SELECT max(f.trips) FROM front f WHERE f.query_id = p.query_id AND f.stop = p.stop AND f.trips <= p.trips)) "
-)
+def anchored_sql(rounds: int) -> str:
+    """CTEs of the Pareto sets and their anchors: usable, labels (mfront) beside the anchors (k trips, a arrival) that count for them."""
+    return (
+        f", {_Q}, {J.rounds_sql(rounds)}, {_bags_sql(rounds)}, pairs AS (SELECT m.*, q.dep_time, f.trips AS k, f.arrival AS a FROM mfront m JOIN q USING (query_id) JOIN front f ON f.query_id = m.query_id AND f.stop = m.stop), "
+        "usable AS (SELECT * FROM pairs p WHERE k > trips OR k = (SELECT max(f.trips) FROM front f WHERE f.query_id = p.query_id AND f.stop = p.stop AND f.trips <= p.trips)) "
+    )
+
+
+_ANCHORED = anchored_sql(_M_ROUNDS)
 
 
 @_query(_ANCHORED + "SELECT DISTINCT query_id, stop, trips, arrival, t_walk FROM usable WHERE arrival - dep_time <= (a - dep_time) * 1.25::DOUBLE AND trips <= ceil(k * 1.25::DOUBLE)")

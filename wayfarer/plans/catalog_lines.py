@@ -16,8 +16,8 @@ from ..streaming.replacement import follow_transfers
 from . import journeys as J
 from . import mcshortcuts as K
 from . import multicriteria as M
-from .catalog import _ANCHORED, _LATE, _Q, CLOSED, ROUNDS, _batch, roads
-from .catalog_more import _FAR, _FAR_ANCHORED, _FAR_BAGS, _spurs
+from .catalog import _ANCHORED, _LATE, _Q, CLOSED, ROUNDS, _bags_sql, _batch, anchored_sql, roads
+from .catalog_more import _FAR, _WALKS, _spurs
 from .network import derived, derived_lines
 from .registry import query
 from . import shortcuts as U
@@ -265,21 +265,27 @@ def pareto_over_event_shortcuts(spark, sf_dir):
     return pareto_by_segments(net, lines, U.event_shortcuts(net, walks), _batch(net), walks=walks)
 
 
-@query(_FAR_BAGS + "SELECT * FROM mfront", lines="customer")
+#: Rounds of the oracle for three criteria on this network, whose journeys have up to eight trips at its size; Spark goes on until none improves anything.
+_SET_ROUNDS = 12
+_LINE_BAGS = f", {_Q}, {_WALKS}, {_bags_sql(_SET_ROUNDS).replace('JOIN edges ON', 'JOIN walks ON')} SELECT * FROM mfront"
+_LINE_ANCHORED = anchored_sql(_SET_ROUNDS).replace("JOIN edges ON", "JOIN walks ON").replace(f", {_Q}, ", f", {_Q}, {_WALKS}, ", 1)
+
+
+@query(_LINE_BAGS, lines="customer")
 def pareto_sets_over_stop_shortcuts(spark, sf_dir):
     """Arrival, trips and transfer time with walks of any length; those between trips are precomputed shortcuts for all three criteria."""
     net, lines, walks = _sparse(spark, sf_dir)
     return K.sets_over_shortcuts(net, _batch(net), walks, K.stop_shortcuts(K.event_shortcuts(net, lines, walks)))
 
 
-@query(_FAR_BAGS + "SELECT * FROM mfront", lines="customer")
+@query(_LINE_BAGS, lines="customer")
 def pareto_sets_over_event_shortcuts(spark, sf_dir):
     """The same by a search from trip to trip along shortcuts between halts."""
     net, lines, walks = _sparse(spark, sf_dir)
     return K.sets_by_segments(net, lines, K.event_shortcuts(net, lines, walks), _batch(net), walks)
 
 
-@query(_FAR_ANCHORED + "SELECT DISTINCT query_id, stop, trips, arrival, t_walk FROM usable WHERE arrival - dep_time <= (a - dep_time) * 1.25::DOUBLE AND trips <= ceil(k * 1.25::DOUBLE)", lines="customer")
+@query(_LINE_ANCHORED + "SELECT DISTINCT query_id, stop, trips, arrival, t_walk FROM usable WHERE arrival - dep_time <= (a - dep_time) * 1.25::DOUBLE AND trips <= ceil(k * 1.25::DOUBLE)", lines="customer")
 def restricted_sets_over_event_shortcuts(spark, sf_dir):
     """The restricted sets among these; the anchors are the sets' own earliest arrivals."""
     net, lines, walks = _sparse(spark, sf_dir)

@@ -166,11 +166,13 @@ def sets_by_segments(net: Network, lines: DataFrame, transfers: DataFrame, queri
     reached, out, k = board, [bag.withColumn("trips", F.lit(0).cast("long"))], 0
     while (max_trips is None or k < max_trips) and board.limit(1).count():
         k += 1
-        ride = cut(merged_front(bag, table.ridden(board, ["t_walk"]).select(*_KEY, *_VALUE), _KEY, _VALUE).where("fresh").drop("fresh"))
+        # what another label beats where a trip stops leads to nothing that the other one doesn't
+        rides = cut(undominated(table.ridden(board, ["t_walk", "trip"]), bag, _KEY, _VALUE))
+        ride = merged_front(bag, rides.select(*_KEY, *_VALUE), _KEY, _VALUE).where("fresh").drop("fresh")
         both = cut(merged_front(bag, ride.unionByName(_walked(ride, walks, ["query_id"])), _KEY, _VALUE))
         out.append(both.where("fresh").drop("fresh").withColumn("trips", F.lit(k).cast("long")))
         bag = both.drop("fresh")
-        onward = board.join(edges, "trip").where("at > idx").select("query_id", F.col("to_trip").alias("trip"), F.col("to_idx").alias("idx"), (F.col("t_walk") + F.col("travel_time")).alias("t_walk"))
+        onward = rides.join(edges, ["trip", "at"]).select("query_id", F.col("to_trip").alias("trip"), F.col("to_idx").alias("idx"), (F.col("t_walk") + F.col("travel_time")).alias("t_walk"))
         both = cut(merged_front(reached, onward, trip, reach))
         board, reached = both.where("fresh").drop("fresh"), both.drop("fresh")
     return reduce(DataFrame.unionByName, out).select(*_KEY, "trips", *_VALUE)
