@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from wayfarer.operators import delays as D
+from wayfarer.operators import graph as G
 from wayfarer.operators import statistics as A
 from wayfarer.operators import triptransfers as T
 
@@ -32,3 +35,15 @@ def test_first_trips_need_no_further_exchange(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Exchange" not in plan.split("SortMergeJoin")[0]
+
+
+def test_range_of_many_points_at_few_places(spark):
+    """Points that share a place are compared once; every pair of them is found, and exact distances agree with those of all pairs."""
+    places = [(47.0 + k * 0.004, 8.0) for k in range(5)]
+    points = [(i, *places[i % 5]) for i in range(200)]
+    table = spark.createDataFrame(points, "id long, lat double, lon double")
+    found = G.within_range(table, table, 100_000).groupBy((F.col("id") % 5).alias("a"), (F.col("other") % 5).alias("b")).agg(F.count("*"), F.count_distinct("distance"))
+    near = [(a, b, 1600, 1) for a in range(5) for b in range(5) if abs(a - b) * 44_478 <= 100_000]
+    assert rows(found) == sorted(near)
+    plan = G.within_range(table, table, 100_000)._jdf.queryExecution().executedPlan().toString()
+    assert "ACOS" not in plan.upper()  # no distance is left to be computed for pairs of points

@@ -277,14 +277,19 @@ def _cells(points: DataFrame, degrees: float, spread: bool) -> DataFrame:
 def within_range(points: DataFrame, others: DataFrame, cm: float) -> DataFrame:
     """Pairs (id, other, distance) at most ``cm`` apart; both tables (id, lat, lon).
 
-    An equality join on cells at least as wide as the range, then the exact distance.
+    An equality join on cells at least as wide as the range, then the exact distance, both for different places only; the
+    points and others of each pair of places are joined to it afterwards, by place, which spreads them further than cells do.
     """
     degrees = min(max(cm / 100 / 55_000.0, 1e-6), 180.0)
-    a = _cells(points.select("id", "lat", "lon"), degrees, True)
-    b = _cells(others.select(F.col("id").alias("other"), "lat", "lon"), degrees, False)
-    b = b.select("other", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "_x", "_y")
+    a = _cells(points.select("lat", "lon").distinct(), degrees, True)
+    b = _cells(others.select("lat", "lon").distinct(), degrees, False)
+    b = b.select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "_x", "_y")
     both = a.join(b, ["_x", "_y"]).withColumn("distance", geo_distance_cm(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
-    return both.where(F.col("distance") <= cm).select("id", "other", "distance")
+    near = cut(both.where(F.col("distance") <= cm).select("lat", "lon", "lat2", "lon2", "distance"))
+    # few places may stand for very many points, so their pairs are spread by number, not by size
+    spread = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lat", "lon", "lat2", "lon2")
+    ids = spread.join(points.select("id", "lat", "lon"), ["lat", "lon"]).select("id", "lat2", "lon2", "distance")
+    return ids.join(others.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), ["lat2", "lon2"]).select("id", "other", "distance")
 
 
 def nearest(points: DataFrame, others: DataFrame, start_cm: float = 10_000.0) -> DataFrame:
