@@ -49,3 +49,19 @@ def test_named_labels_have_the_same_arrivals(spark):
     ready = rides.join(net.rides().select("trip", "idx", "ready"), ["trip", "idx"])
     fits = ready.join(named.select("query_id", "stop", F.col("trips").alias("k"), "arrival"), ["query_id", "stop"]).where("k < trips and arrival <= ready")
     assert fits.select("query_id", "trips", "trip", "stop").distinct().count() == rides.distinct().select("query_id", "trips", "trip", "stop").distinct().count()
+
+
+def test_front_of_three_criteria(spark):
+    """Rows of a key are compared with its front only; the front is that of all pairs, equal rows of the bag standing first."""
+    from itertools import product
+
+    from wayfarer.operators.skyline import merged_front
+
+    bag = [(k, *v) for k in (1, 2) for v in [(2, 2, 2), (0, 3, 3), (3, 0, 3)]]
+    offers = [(k, (a * 7 + k) % 5, (b * 3 + a) % 5, (c * 2 + b + k) % 5) for k in (1, 2, 3) for a, b, c in product(range(4), repeat=3)]
+    table = lambda x: spark.createDataFrame(x, "key long, a long, b long, c long")
+    found = merged_front(table(bag), table(offers), ["key"], ["a", "b", "c"])
+    everything = set(bag) | set(offers)
+    best = {r for r in everything if not any(o != r and o[0] == r[0] and all(x <= y for x, y in zip(o[1:], r[1:])) for o in everything)}
+    assert rows(found) == sorted((*r, r not in bag) for r in best)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
