@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wayfarer import storage
+from wayfarer.operators import statistics as A
+from wayfarer.operators import transforms as X
 from wayfarer.operators import triptransfers as T
+from wayfarer.plans.network import derived
 
 from .test_segments import frames, lines_network, rows
 
@@ -25,3 +29,19 @@ def test_reduction_shuffles_no_offers(spark):
     # a halt at a stop that nobody knows leads nowhere, and hides no other halt
     unknown = net.replace(stops=net.stops.where("stop_id % 2 = 0"), edges=net.edges.where(F.col("src") % 2 == 0))
     assert T.reduce_transfers(found, unknown).count() > 0
+
+
+def test_tasks_grow_with_the_table(spark, sf_dir, monkeypatch):
+    """Windows over trips and edges run in as many tasks as the rows ask for, on the same exchange; small tables stay as they are."""
+    few = derived(spark, sf_dir)
+    assert few.events.rdd.getNumPartitions() <= 6
+    graph = lambda net: rows(A.average_time_graph(net, 28_800, 29_100).withColumn("average_time", F.round("average_time", 6)))
+    back = lambda net: X.events_from_connections(X.connections(net.events))
+    want, want_graph = rows(back(few)), graph(few)
+    monkeypatch.setattr(storage, "ROWS_OF_TASK", 500)
+    many = derived(spark, sf_dir)
+    assert many.events.rdd.getNumPartitions() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 500 + 1
+    assert plan(derived(spark, sf_dir).events).count("Exchange hashpartitioning") == 1
+    assert back(many).rdd.getNumPartitions() >= many.events.rdd.getNumPartitions()
+    assert rows(back(many)) == want
+    assert graph(many) == want_graph
