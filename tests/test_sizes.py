@@ -8,6 +8,7 @@ from wayfarer import storage
 from wayfarer.operators import statistics as A
 from wayfarer.operators import transforms as X
 from wayfarer.operators import triptransfers as T
+from wayfarer.plans import catalog, catalog_more  # noqa: F401  the other registers more queries
 from wayfarer.plans.network import derived
 
 from .test_segments import frames, lines_network, rows
@@ -45,3 +46,12 @@ def test_tasks_grow_with_the_table(spark, sf_dir, monkeypatch):
     assert back(many).rdd.getNumPartitions() >= many.events.rdd.getNumPartitions()
     assert rows(back(many)) == want
     assert graph(many) == want_graph
+
+
+def test_pairs_are_counted_in_as_many_tasks_as_they_need(spark, sf_dir, monkeypatch):
+    """What can meet, not a fixed number of partitions, says in how many tasks pairs of connections are found and counted."""
+    few = rows(catalog.QUERIES["combinable_connections"](spark, sf_dir))
+    monkeypatch.setattr(storage, "ROWS_OF_TASK", 500)
+    many = catalog.QUERIES["combinable_connections"](spark, sf_dir)
+    assert many.rdd.getNumPartitions() > 6
+    assert rows(many) == few
