@@ -55,3 +55,24 @@ def test_pairs_are_counted_in_as_many_tasks_as_they_need(spark, sf_dir, monkeypa
     many = catalog.QUERIES["combinable_connections"](spark, sf_dir)
     assert many.rdd.getNumPartitions() > 6
     assert rows(many) == few
+
+
+def test_augmented_and_reduced_where_transfers_are(spark, monkeypatch):
+    """Transfers of later trips, and those that lead somewhere sooner, are found in the groups of trips, which share no exchange with what follows; in small groups as in large ones."""
+    net, lines = frames(spark, lines_network(5))
+    found = T.line_transfers(net, lines)
+    edge = ["from_trip", "from_idx", "to_trip", "to_idx", "travel_time"]
+    trips = T.numbered(net.events, lines).select(F.col("line").alias("from_line"), F.col("no").alias("from_no"), F.col("trip").alias("from_trip"))
+    want = {n: rows(T.augmented(found, n).join(trips, ["from_line", "from_no"]).select(*edge)) for n in (1, 3)}
+    unknown = net.replace(stops=net.stops.where("stop_id % 2 = 0"), edges=net.edges.where(F.col("src") % 2 == 0))
+    sooner = [(n, rows(T.reduce_transfers(T.line_transfers(n, lines).select(*edge), n))) for n in (net, unknown)]
+    monkeypatch.setattr(T, "TRIPS_EACH", 2)
+    monkeypatch.setattr(T, "TRIPS_REDUCED", 1)
+    for n, all_rows in want.items():
+        got = T.line_transfers(net, lines, bucket=2000, later_trips=n)
+        assert rows(got.select(*edge)) == all_rows
+        assert "Exchange" not in plan(got).split("FlatMapGroupsInArrow")[0]
+    for n, all_rows in sooner:
+        got = T.line_transfers(n, lines, bucket=2000, sooner=True)
+        assert rows(got.select(*edge)) == all_rows
+        assert "Exchange" not in plan(got).split("FlatMapGroupsInArrow")[0]

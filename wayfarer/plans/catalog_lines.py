@@ -236,8 +236,7 @@ def line_pareto_by_segments(spark, sf_dir):
 def line_pareto_by_reduced_segments(spark, sf_dir):
     """The same along transfers that lead somewhere sooner only."""
     net, lines = derived_lines(spark, sf_dir)
-    found = T.line_transfers(net, lines).select("from_trip", "from_idx", "to_trip", "to_idx", "travel_time")
-    return pareto_by_segments(net, lines, T.reduce_transfers(found, net), _batch(net))
+    return pareto_by_segments(net, lines, T.line_transfers(net, lines, sooner=True), _batch(net))
 
 
 # -- shortcuts ---------------------------------------------------------------------
