@@ -121,9 +121,7 @@ TRIP_LIMIT = 3
 def augmented_transfers(spark, sf_dir):
     """Trips that run late may take the transfers of up to three later trips of their line."""
     net, lines = derived_lines(spark, sf_dir)
-    rows = T.augmented(T.line_transfers(net, lines), TRIP_LIMIT)
-    trips = T.numbered(net.events, lines).select(F.col("line").alias("from_line"), F.col("no").alias("from_no"), F.col("trip").alias("from_trip"))
-    return rows.join(trips, ["from_line", "from_no"]).select("from_trip", "from_idx", "to_trip", "to_idx", "travel_time")
+    return T.line_transfers(net, lines, later_trips=TRIP_LIMIT).select("from_trip", "from_idx", "to_trip", "to_idx", "travel_time")
 
 
 # -- delays of lines ---------------------------------------------------------------
