@@ -8,8 +8,9 @@ from wayfarer import storage
 from wayfarer.operators import statistics as A
 from wayfarer.operators import transforms as X
 from wayfarer.operators import triptransfers as T
-from wayfarer.plans import catalog, catalog_more  # noqa: F401  the other registers more queries
-from wayfarer.plans.network import derived
+from wayfarer.operators.hierarchy import Hubs
+from wayfarer.plans import catalog, catalog_more, shortcuts  # noqa: F401  catalog_more registers more queries
+from wayfarer.plans.network import Network, derived
 
 from .test_segments import frames, lines_network, rows
 
@@ -76,3 +77,16 @@ def test_augmented_and_reduced_where_transfers_are(spark, monkeypatch):
         got = T.line_transfers(n, lines, bucket=2000, sooner=True)
         assert rows(got.select(*edge)) == all_rows
         assert "Exchange" not in plan(got).split("FlatMapGroupsInArrow")[0]
+
+
+def test_shortcuts_need_no_search_from_every_departure(spark, monkeypatch):
+    """Shortcuts are the transfers over walks of any length that lead somewhere sooner; no run for each stop and time is made for them, and walks between stops are theirs."""
+    net, lines = frames(spark, lines_network(5))
+    here = net.stops.select(F.col("stop_id").alias("vertex"), F.col("stop_id").alias("hub"), F.lit(0).cast("long").alias("distance"))
+    walks = Hubs(here.unionByName(net.edges.select(F.col("src").alias("vertex"), F.col("dst").alias("hub"), F.col("travel_time").alias("distance"))), here)
+    monkeypatch.setattr(Network, "rides", None)
+    found = shortcuts.event_shortcuts(net, walks, lines)
+    edge = ["from_trip", "from_idx", "to_trip", "to_idx", "travel_time"]
+    assert rows(found.select(*edge)) == rows(T.reduce_transfers(T.line_transfers(net, lines).select(*edge), net))
+    between = rows(shortcuts.stop_shortcuts(net, walks, lines))
+    assert between and set(between) <= set(rows(net.edges))

@@ -259,7 +259,7 @@ def pareto_over_stop_shortcuts(spark, sf_dir):
 def pareto_over_event_shortcuts(spark, sf_dir):
     """The same by a search over trip segments along precomputed shortcuts between halts."""
     net, lines, walks = _sparse(spark, sf_dir)
-    return pareto_by_segments(net, lines, U.event_shortcuts(net, walks), _batch(net), walks=walks)
+    return pareto_by_segments(net, lines, U.event_shortcuts(net, walks, lines), _batch(net), walks=walks)
 
 
 #: Rounds of the oracle for three criteria on this network, whose journeys have up to eight trips at its size; Spark goes on until none improves anything.

@@ -1,18 +1,16 @@
 """Shortcuts for walks between trips: which of all walks of any length journeys need.
 
-For every stop and every time at which a trip can be boarded there, a run asks
-for the earliest arrivals with up to two trips, with walks of any length at the
-start, between the trips and at the end.  All runs are one batch of queries and
-share each round's joins.  Where the best journey of two trips to a stop begins
-at the run's stop without a walk and ends without one, its walk between the
-trips is needed: it is a shortcut.  All other walks are found by searches
-themselves, which walk from their source and to their goals through hubs.
-
-Shortcuts between stops hold for every trip, so of a stop's runs later ones
-prune earlier ones: a label that a later run reaches as early is that run's, by
-waiting, and isn't followed here.  Shortcuts between halts are those of the
-trips that a search boards, which are a line's earliest; no run prunes another
-there.
+From every halt one may walk any length and take the first trip of each line
+there.  Of these changes a trip needs those that lead somewhere sooner than it
+does by staying seated or by its other changes, walks of any length behind them
+included (``line_transfers`` with ``sooner``).  They are found in groups of a
+line's trips, so the work grows with the trips and what lies around them, not
+with a search from every stop at every time.  Other witnesses, such as journeys
+that begin with another trip, aren't looked for; a missed one costs a
+superfluous shortcut, never a wrong journey.  First and last walks are found by
+searches themselves, through hubs.
+
+Shortcuts between halts are these changes; those between stops their walks.
 """
 
 from __future__ import annotations
@@ -20,7 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.hierarchy import Hubs
+from ..operators.assembly import fifo_lines
+from ..operators.hierarchy import Hubs, hub_distances
+from ..operators.triptransfers import line_transfers
 from ..storage import cut
 from .journeys import OneHop, initial_labels, labels
 from .network import Network
@@ -28,45 +28,24 @@ from .network import Network
 _KEY = ["query_id", "stop"]
 
 
-def runs(net: Network) -> DataFrame:
-    """(query_id, source, dep_time): every stop at every time when a trip can be boarded there."""
-    times = net.boardable().select(F.col("stop").alias("source"), F.col("ready").alias("dep_time")).distinct()
-    # numbered by stop and time, without a sort of all
-    return times.select((F.col("source") * F.lit(2**32) + F.col("dep_time") + F.lit(2**31)).alias("query_id"), "source", "dep_time")
-
-
-def _not_later(rows: DataFrame, run: DataFrame) -> DataFrame:
-    """Labels (query_id, stop, arrival, ...) that no later run from the same stop reaches as early."""
-    both = rows.join(run, "query_id")
-    later = Window.partitionBy("source", "stop").orderBy(F.desc("dep_time")).rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("_least", F.min("arrival").over(later)).where("_least is null or arrival < _least").drop("_least", "source", "dep_time")
-
+def event_shortcuts(net: Network, walks: Hubs, lines: DataFrame | None = None) -> DataFrame:
+    """(from_trip, from_idx, from_stop, to_trip, to_idx, to_stop, travel_time): changes between trips that journeys need, those at a stop among them.
 
-def event_shortcuts(net: Network, walks: Hubs, prune: bool = False) -> DataFrame:
-    """(from_trip, from_idx, from_stop, to_trip, to_idx, to_stop): changes between trips that journeys need, those at a stop among them.
-
-    ``prune``: later runs prune earlier ones.
+    ``lines``: (trip, line) without overtaking, made here if not given.
     """
-    run = cut(runs(net))
-    later = (lambda rows: _not_later(rows, run)) if prune else (lambda rows: rows)
-    found = labels(net, run, 2, walks=walks, onward=(lambda new: cut(later(new))) if prune else None)
-    one = found.where("trips = 1").select("query_id", F.col("stop").alias("board_stop"), F.col("trip").alias("from_trip"), F.col("board_stop").alias("_first"), F.col("board_idx").alias("_first_idx"), F.coalesce("via", "stop").alias("from_stop"))
-    two = later(found.where("trips = 2")).where("via is null").select("query_id", F.col("trip").alias("to_trip"), "board_stop", F.col("board_idx").alias("to_idx"))
-    need = two.join(one, ["query_id", "board_stop"]).join(run, "query_id").where(F.col("_first") == F.col("source"))
-    need = need.select("from_trip", "_first_idx", "from_stop", "to_trip", "to_idx", F.col("board_stop").alias("to_stop")).distinct()
-    # the halt where the first trip was left: the first there behind the one where it was boarded
-    halts = net.events.select(F.col("trip").alias("from_trip"), F.col("stop").alias("from_stop"), "idx")
-    left = need.join(halts, ["from_trip", "from_stop"]).where("idx > _first_idx")
-    key = ["from_trip", "from_stop", "to_trip", "to_idx", "to_stop"]
-    return cut(left.groupBy(*key, "_first_idx").agg(F.min("idx").alias("from_idx")).select("from_trip", "from_idx", "from_stop", "to_trip", "to_idx", "to_stop").distinct())
-
-
-def stop_shortcuts(net: Network, walks: Hubs) -> DataFrame:
-    """(src, dst, travel_time): the walks between trips that journeys need, with their distances by hubs."""
-    pairs = event_shortcuts(net, walks, prune=True).where("from_stop <> to_stop").select(F.col("from_stop").alias("src"), F.col("to_stop").alias("dst")).distinct()
-    a = walks.out.select(F.col("vertex").alias("src"), "hub", F.col("distance").alias("_a"))
-    b = walks.into.select(F.col("vertex").alias("dst"), "hub", F.col("distance").alias("_b"))
-    return pairs.join(a, "src").join(b, ["dst", "hub"]).groupBy("src", "dst").agg(F.min(F.col("_a") + F.col("_b")).alias("travel_time"))
+    lines = cut(fifo_lines(net.events)) if lines is None else lines
+    far = net.replace(edges=cut(hub_distances(walks.out, walks.into)))
+    found = cut(line_transfers(far, lines, sooner=True))
+    # a line's trips have the same stops
+    halts = cut(net.events.join(lines, "trip").select("line", "idx", "stop").distinct())
+    a, b = (halts.select(F.col("line").alias(f"{c}_line"), F.col("idx").alias(f"{c}_idx"), F.col("stop").alias(f"{c}_stop")) for c in ("from", "to"))
+    return found.join(a, ["from_line", "from_idx"]).join(b, ["to_line", "to_idx"]).select("from_trip", "from_idx", "from_stop", "to_trip", "to_idx", "to_stop", "travel_time")
+
+
+def stop_shortcuts(net: Network, walks: Hubs, lines: DataFrame | None = None) -> DataFrame:
+    """(src, dst, travel_time): the walks between trips that journeys need."""
+    pairs = event_shortcuts(net, walks, lines).where("from_stop <> to_stop")
+    return pairs.groupBy(F.col("from_stop").alias("src"), F.col("to_stop").alias("dst")).agg(F.min("travel_time").alias("travel_time"))
 
 
 def over_shortcuts(net: Network, queries: DataFrame, walks: Hubs, shortcuts: DataFrame) -> DataFrame:
