@@ -251,8 +251,8 @@ def _sparse(spark, sf_dir):
 @query(_LINE_FAR, lines="customer")
 def pareto_over_stop_shortcuts(spark, sf_dir):
     """Arrival and trips with walks of any length; those between trips are taken from precomputed shortcuts between stops."""
-    net, _, walks = _sparse(spark, sf_dir)
-    return U.over_shortcuts(net, _batch(net), walks, U.stop_shortcuts(net, walks))
+    net, lines, walks = _sparse(spark, sf_dir)
+    return U.over_shortcuts(net, _batch(net), walks, U.stop_shortcuts(net, walks, lines))
 
 
 @query(_LINE_FAR, lines="customer")
