@@ -69,3 +69,12 @@ def test_undominated_rows_keep_ties(spark, seed):
         want = sorted(r for r in rows if not any(beats(o, r) for o in rows + other))
         got = K.undominated(frame(rows), frame(by).drop("name") if other else None, ["k"], ["a", "b"])
         assert table(got, ["k", "a", "b", "name"]) == want
+
+
+def test_last_walks_of_all_trips_at_once(spark, network, monkeypatch):
+    """Labels of all numbers of trips are walked on from and compared together; no table is written for each of them."""
+    net, _, _, walks, batch = network
+    want = table(M.pareto_sets(net, batch, walks=walks))
+    rides = spark.createDataFrame(want, ", ".join(f"{c} long" for c in SETS))
+    monkeypatch.setattr(K, "cut", None)
+    assert table(K.with_last_walk(rides, walks)) == want
